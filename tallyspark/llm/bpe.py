@@ -34,9 +34,9 @@ from .common import table, text_of
 #: Bytes of a model file that may be broadcast; public vocabularies are far below.
 MODEL_LIMIT = 64_000_000
 #: Pieces whose encoding a worker remembers before it starts afresh.
-MEMO = 500_000
+MEMO = 150_000
 #: Texts that are split into words at once.
-CHUNK = 4096
+CHUNK = 2048
 #: Code points above the byte alphabet that stand for "this symbol ends a word".
 ENDED = 0x10000
 #: White space as the model's patterns mean it (the Unicode property, without the ASCII separators).
@@ -288,20 +288,22 @@ def decode(df: DataFrame, model, ids: str = "ids", out: str = "decoded") -> Data
 
     @arrow_udf("string")
     def text_of_ids(lists: pa.Array) -> pa.Array:
-        tables, done, texts = _model(model), 0, []
-        flat = np.asarray(lists.flatten().fill_null(-1), dtype=np.int64)
-        sizes = np.asarray(pa.compute.list_value_length(lists).fill_null(0), dtype=np.int64)
-        ends = np.cumsum(sizes)
-        row = 0
-        while row < len(sizes):  # a bounded number of tokens at once, whole lists
-            upto = max(row + 1, int(np.searchsorted(ends, done + step, side="right")))
-            data, cuts = tables.decode_flat(flat[done : ends[upto - 1]], ends[row:upto] - done)
-            raw, at = data.tobytes(), 0
-            for cut in cuts.tolist():
-                texts.append(raw[at:cut].decode("utf-8"))
-                at = cut
-            done, row = int(ends[upto - 1]), upto
-        return pa.array(texts, pa.string())
+        tables, done = _model(model), []
+        for at in range(0, len(lists), CHUNK):
+            part = lists.slice(at, CHUNK)
+            sizes = np.asarray(pa.compute.list_value_length(part).fill_null(0), dtype=np.int64)
+            flat, ends = np.asarray(part.flatten().fill_null(-1)), np.cumsum(sizes)
+            row, from_, texts = 0, 0, []
+            while row < len(sizes):  # a bounded number of tokens at once, whole lists
+                upto = max(row + 1, int(np.searchsorted(ends, from_ + step, side="right")))
+                data, cuts = tables.decode_flat(flat[from_ : ends[upto - 1]], ends[row:upto] - from_)
+                raw, start = data.tobytes(), 0
+                for cut in cuts.tolist():
+                    texts.append(raw[start:cut].decode("utf-8"))
+                    start = cut
+                from_, row = int(ends[upto - 1]), upto
+            done.append(pa.array(texts, pa.string()))
+        return pa.concat_arrays(done or [pa.array([], pa.string())])
 
     return df.withColumn(out, text_of_ids(F.col(ids)))
 
