@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_bpe
 from .html import op5_html_text
+from .toxicity import op8_toxicity
 from .urls import op9_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op5_html_text": op5_html_text,
+    "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
 }
 
