@@ -8,14 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_bpe
 from .html import op5_html_text
+from . import quality
 from .toxicity import op8_toxicity
 from .urls import op9_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op4_quality": quality.op4_quality,
     "op5_html_text": op5_html_text,
     "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_quality": quality.ORACLE_SQL,
+}
