@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_bpe
 from .html import op5_html_text
-from . import quality
+from . import quality, sharding
 from .toxicity import op8_toxicity
 from .urls import op9_url_filter
 
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op4_quality": quality.op4_quality,
     "op5_html_text": op5_html_text,
+    "op6_sharding": sharding.op6_sharding,
     "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
 }
