@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_bpe
 from .html import op5_html_text
-from . import quality, sharding
+from . import near_duplicates, quality, sharding
 from .toxicity import op8_toxicity
 from .urls import op9_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_ngram_jaccard": near_duplicates.op2_ngram_jaccard,
     "op4_quality": quality.op4_quality,
     "op5_html_text": op5_html_text,
     "op6_sharding": sharding.op6_sharding,
@@ -22,5 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_ngram_jaccard": near_duplicates.op2_ngram_jaccard,
     "op4_quality": quality.ORACLE_SQL,
 }
