@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_bpe
 from .html import op5_html_text
-from . import near_duplicates, quality, sharding
+from . import decontaminate, near_duplicates, quality, sharding
 from .toxicity import op8_toxicity
 from .urls import op9_url_filter
 
@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_sharding": sharding.op6_sharding,
     "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
+    "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
 ORACLE_SQL: dict[str, str] = {
