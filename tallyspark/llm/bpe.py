@@ -33,10 +33,10 @@ from .common import table, text_of
 
 #: Bytes of a model file that may be broadcast; public vocabularies are far below.
 MODEL_LIMIT = 64_000_000
-#: Pieces whose encoding a worker remembers before it starts afresh.
-MEMO = 150_000
+#: Pieces in each of the two generations of encodings that a worker remembers.
+MEMO = 200_000
 #: Texts that are split into words at once.
-CHUNK = 2048
+CHUNK = 4096
 #: Code points above the byte alphabet that stand for "this symbol ends a word".
 ENDED = 0x10000
 #: White space as the model's patterns mean it (the Unicode property, without the ASCII separators).
@@ -91,6 +91,7 @@ class BpeModel:
         self.automaton.make_automaton()
         self.bytes = dict(enumerate(byte_alphabet()))
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
         self._offsets(vocabulary | {x["content"]: x["id"] for x in spec["added_tokens"]})
 
     @staticmethod
@@ -145,46 +146,30 @@ class BpeModel:
         return ok
 
     def encode_symbols(self, symbols: str) -> list[int]:
-        """Ranks of the tokens of one piece.
-
-        Tokens whose neighbours are all compatible are the one encoding there is, so the run of longest
-        matches stands as it is when it passes that test; only otherwise does the walk backtrack.
-        """
+        """Ranks of the tokens of one piece: a row of tokens whose neighbours are all compatible is the one encoding there is."""
         whole = self.table.get(symbols)
         if whole is not None:
             return [whole]
-        out, known = [token for _, token in self.automaton.iter_long(symbols)], self.pair_ok
-        n, lengths, last = len(symbols), self.lengths, -1
-        for token in out:
-            if last >= 0:
-                ok = known.get((last, token))
-                if not (self.follows(last, token) if ok is None else ok):
-                    break
-            last = token
-        else:
-            if sum([lengths[token] for token in out]) == n:
-                return out
-        longest, reach = [-1] * n, [0] * n
-        for end, token in self.automaton.iter(symbols):
-            size = lengths[token]
-            start = end - size + 1
-            if size > reach[start]:
-                reach[start], longest[start] = size, token
-        usable, out, at, token, shorter = [True] * (n + 1), [], 0, longest[0], self.shorter
+        longest, start = {}, 0
+        for end, token in self.automaton.iter_long(symbols):
+            longest[start] = token
+            start = end + 1
+        n, lengths, known, shorter = len(symbols), self.lengths, self.pair_ok, self.shorter
+        out, at, token, closed = [], 0, longest[0], set()
         while at < n:
             end = at + lengths[token]
-            if usable[end]:
+            if end not in closed:
                 ok = known.get((out[-1], token)) if out else True
                 if self.follows(out[-1], token) if ok is None else ok:
                     out.append(token)
                     at = end
-                    if at < n:
-                        token = longest[at]
+                    if at < n and (token := longest.get(at)) is None:
+                        token = longest[at] = next(self.automaton.iter_long(symbols, at))[1]
                     continue
             if shorter[token] >= 0:
                 token = shorter[token]
             else:
-                usable[at] = False
+                closed.add(at)
                 token = out.pop()
                 at -= lengths[token]
         return out
@@ -192,11 +177,14 @@ class BpeModel:
     def encode_piece(self, piece: str) -> tuple[int, ...]:
         found = self.memo.get(piece)
         if found is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            text = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.bytes)
-            ids = self.ids
-            found = self.memo[piece] = tuple([ids[r] for r in self.encode_symbols(text[:-1] + chr(ord(text[-1]) + ENDED))])
+            found = self.older.get(piece)
+            if found is None:
+                text = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.bytes)
+                ids = self.ids
+                found = tuple([ids[r] for r in self.encode_symbols(text[:-1] + chr(ord(text[-1]) + ENDED))])
+            if len(self.memo) >= MEMO:  # what was not asked for since the last turn is forgotten
+                self.older, self.memo = self.memo, {}
+            self.memo[piece] = found
         return found
 
     def encode(self, text: str) -> list[int]:
