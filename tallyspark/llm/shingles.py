@@ -20,9 +20,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: pa.Array, lower=pc.utf8_lower) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the lower-cased words of all texts, laid end to end, and the texts' offsets in them. Null counts as empty."""
-    words = pc.ascii_split_whitespace(pc.utf8_lower(texts.fill_null("")))
+    words = pc.ascii_split_whitespace(lower(texts.fill_null("")))
     offsets = np.asarray(words.offsets, dtype=np.int64)
     flat = words.flatten()
     full = np.asarray(pc.greater(pc.binary_length(flat), 0)) if len(flat) else np.zeros(0, bool)
