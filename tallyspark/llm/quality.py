@@ -87,20 +87,32 @@ def text_hash() -> Column:
     return F.expr("concat_ws(':', xxhash64(coalesce(text, '')), octet_length(coalesce(text, '')))")
 
 
-def judge(docs: DataFrame, share: float = 0.05, least: int = 10, remain: float = 0.5) -> DataFrame:
-    """One row for each row of docs (doc_id, text, source): measures, base_failed, removed_words and kept."""
-    measured = docs.select("doc_id", F.col("source").alias("host_"), text_hash().alias("text_"), *[c.alias(n) for n, c in base_rules().items()])
+def verdicts(docs: DataFrame, share: float, least: int, remain: float, *columns: str) -> DataFrame:
+    """docs' columns (those named), with the measures, removed_words, base_failed and keep_."""
+    measured = docs.select(*columns, F.col("source").alias("host_"), text_hash().alias("text_"), *[c.alias(n + "_") for n, c in base_rules().items()])
     removed = depleted_words(docs, share, least)
     joined = measured.join(removed, F.col("host_").eqNullSafe(F.col("host")) & (F.col("text_") == F.col("text_hash")), "left")
-    n_words, repeat = F.col("measured.n_words"), F.col("measured.n_repeat_words")
+    n_words, repeat = F.col("measured_.n_words"), F.col("measured_.n_repeat_words")
     gone = F.coalesce("removed_words", F.lit(0).cast("long"))
     failed = (n_words < 50) | (repeat * 100 > n_words * 50)
-    return joined.select(
-        "doc_id", n_words.alias("n_words"), "word_chars", "n_symbols", "n_dup_lines", repeat.alias("n_repeat_words"),
-        failed.alias("base_failed"), gone.alias("removed_words"), (~failed & (n_words - gone >= n_words * remain)).alias("kept"),
+    return joined.select(*columns, *[F.col(n + "_") for n in base_rules()], gone.alias("gone_"), failed.alias("failed_"), (~failed & (n_words - gone >= n_words * remain)).alias("keep_"))
+
+
+def judge(docs: DataFrame, share: float = 0.05, least: int = 10, remain: float = 0.5) -> DataFrame:
+    """One row for each row of docs (doc_id, text, source): measures, base_failed, removed_words and kept."""
+    return verdicts(docs, share, least, remain, "doc_id").select(
+        "doc_id", F.col("measured_.n_words").alias("n_words"), F.col("word_chars_").alias("word_chars"), F.col("n_symbols_").alias("n_symbols"),
+        F.col("n_dup_lines_").alias("n_dup_lines"), F.col("measured_.n_repeat_words").alias("n_repeat_words"), F.col("failed_").alias("base_failed"),
+        F.col("gone_").alias("removed_words"), F.col("keep_").alias("kept"),
     )
 
 
+def kept(docs: DataFrame, share: float = 0.05, least: int = 10, remain: float = 0.5) -> DataFrame:
+    """The rows of docs that pass, with their columns."""
+    names = docs.columns
+    return verdicts(docs, share, least, remain, *names).filter("keep_").select(*names)
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document judged, with the production limits."""
     return judge(table(spark, sf_dir, "documents"))

@@ -8,16 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_bpe
 from .html import op5_html_text
-from . import decontaminate, near_duplicates, quality, sharding
+from . import decontaminate, language_model, licenses, near_duplicates, quality, sharding
 from .toxicity import op8_toxicity
 from .urls import op9_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_ngram_jaccard": near_duplicates.op2_ngram_jaccard,
+    "op3_licenses": licenses.op3_licenses,
     "op4_quality": quality.op4_quality,
     "op5_html_text": op5_html_text,
     "op6_sharding": sharding.op6_sharding,
+    "op7_language_model": language_model.op7_language_model,
     "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
     "op10_decontaminate": decontaminate.op10_decontaminate,
@@ -25,5 +27,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op2_ngram_jaccard": near_duplicates.op2_ngram_jaccard,
+    "op3_licenses": licenses.op3_licenses,
     "op4_quality": quality.ORACLE_SQL,
 }
