@@ -1 +1 @@
-""""""
+"""Operators: functions from DataFrames and parameters to DataFrames."""

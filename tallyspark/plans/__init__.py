@@ -1 +1 @@
-""""""
+"""Queries, each beside the SQL that must give the same rows."""

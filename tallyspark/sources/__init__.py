@@ -1 +1 @@
-""""""
+"""Readers of nested and marked-up inputs."""

@@ -1 +1 @@
-""""""
+"""Incremental forms."""
