@@ -69,23 +69,24 @@ def content_id(*parts: Column, length: int = 24) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, length)
 
 
-def normalize_symbol(symbol: Column) -> tuple[Column, Column, Column]:
-    """Code, exchange and market of a security symbol; null where no rule fits."""
+def normalize_symbol(symbol: Column) -> Column:
+    """A struct (code, exchange, market) of a security symbol; null where no rule fits. The first rule that fits counts."""
+
+    def of(code: Column, exchange: str, market: str) -> Column:
+        five = F.when(F.length(code) < 5, F.lpad(code, 5, "0")).otherwise(code) if market == "HK" else code
+        return F.struct(five.alias("code"), F.lit(exchange).alias("exchange"), F.lit(market).alias("market"))
+
+    def rules(raw: Column) -> Column:
+        out = F.when(raw.rlike("^[A-Z][A-Z0-9.-]{0,14}$"), of(raw, "NASDAQ", "US"))
+        for pattern, exchange in reversed(PREFIXES):
+            out = F.when(raw.rlike("^[0-9]{6}$") & raw.rlike(pattern), of(raw, exchange, "CN_A")).otherwise(out)
+        out = F.when(raw.rlike("^[0-9]{4,5}$"), of(raw, "HKEX", "HK")).otherwise(out)
+        for suffix, exchange, market in SUFFIXES:
+            out = F.when(raw.endswith(suffix), of(F.substring_index(raw, suffix, 1), exchange, market)).otherwise(out)
+        return out
+
     raw = F.upper(F.replace(F.trim(symbol), F.lit(" "), F.lit("")))
-    exchange, market, code = F.lit(None).cast("string"), F.lit(None).cast("string"), raw
-    exchange = F.when(raw.rlike("^[A-Z][A-Z0-9.-]{0,14}$"), "NASDAQ")
-    market = F.when(raw.rlike("^[A-Z][A-Z0-9.-]{0,14}$"), "US")
-    six = F.lit(None).cast("string")
-    for pattern, name in reversed(PREFIXES):
-        six = F.when(raw.rlike(pattern), name).otherwise(six)
-    exchange = F.when(raw.rlike("^[0-9]{6}$"), six).when(raw.rlike("^[0-9]{4,5}$"), "HKEX").otherwise(exchange)
-    market = F.when(raw.rlike("^[0-9]{6}$"), F.when(six.isNotNull(), "CN_A")).when(raw.rlike("^[0-9]{4,5}$"), "HK").otherwise(market)
-    for suffix, e, m in SUFFIXES:
-        fits = raw.endswith(suffix)
-        exchange, market = F.when(fits, e).otherwise(exchange), F.when(fits, m).otherwise(market)
-        code = F.when(fits, F.regexp_replace(raw, f"\\{suffix}$", "")).otherwise(code)
-    code = F.when((market == "HK") & (F.length(code) < 5), F.lpad(code, 5, "0")).otherwise(code)
-    return F.when(market.isNotNull(), code), exchange, market
+    return F.element_at(F.transform(F.array(raw), rules), 1)  # the symbol is cleaned once
 
 
 def normalize_language(tag: Column) -> Column:

@@ -1,4 +1,4 @@
 """Queries by name, each with the SQL that must give the same rows."""
 
-from .plans import facts, filings  # noqa: F401
+from .plans import claims, facts, filings, series, text  # noqa: F401
 from .plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
