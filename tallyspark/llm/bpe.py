@@ -12,7 +12,8 @@ pattern; byte-level alphabet; end-of-word suffix). It is read on the driver, onc
 MODEL_LIMIT bytes, and broadcast; workers build the tables when they first need them.
 
 Defined results: a null text counts as empty and gives an empty array; an empty text decodes to "";
-ids outside the vocabulary are left out when decoding, as the library does. Columns of other names
+ids outside the vocabulary are left out when decoding, as the library does. Characters that Unicode has
+assigned only since version 16 may be cut into other pieces than the library's older tables would. Columns of other names
 pass through; an existing column of the output's name is replaced.
 """
 

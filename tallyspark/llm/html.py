@@ -29,12 +29,14 @@ from .common import table
 
 # HTML element names by what they do to text.
 BLOCK = frozenset(
-    "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
-    "frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary "
+    "address article aside blockquote body button center dd details dialog dir div dl dt fieldset figcaption figure footer form "
+    "frameset h1 h2 h3 h4 h5 h6 header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary "
     "table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "math", "canvas")
+#: Elements that stand apart from an article by their meaning: their words never earn, whatever else they are in.
+APART = frozenset(["header", "footer", "nav", "aside", "form", "menu", "dialog", "button", "select", "label"])
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
@@ -123,15 +125,22 @@ def weights() -> tuple[dict[str, float], float, dict[str, float]]:
                 content = part[1].lstrip().startswith("+")
                 rows.append(part[2])
                 labels.append(float(content))
+    for row, label in list(zip(rows, labels, strict=True)):
+        tags = frozenset(f for f in row if f[0] != ".")
+        alone = [tags | {f} for f in row if f[0] == "."] + ([tags] if tags & APART else [])
+        for one in [row] if label else [row, *alone]:  # each sign of what is no article counts by itself; both kinds stand in all surroundings
+            rows += [one, one | {"article", "p"}, one | {"article", "section", "p"}, one | {"div", ".content"}, one | {"div", "p"}]
+            labels += [label] * 5
     known = sorted({f for row in rows for f in row})
     place = {f: i for i, f in enumerate(known)}
     x = np.zeros((len(rows), len(known)))
     for i, row in enumerate(rows):
         x[i, [place[f] for f in row]] = 1.0
-    y, w, bias = np.array(labels), np.zeros(len(known)), 1.0
+    y, w, bias = np.array(labels), np.zeros(len(known)), 1.5
+    share = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     for _ in range(3000):
         error = 1 / (1 + np.exp(-(x @ w + bias))) - y
-        w -= 0.5 * (x.T @ error / len(y) * 4 + 0.001 * w)
+        w -= 2.0 * (x.T @ (error * share) + 0.0005 * w)
     cost = {t: -0.05 - 0.1 * max(0.0, float(np.log((outside.get(t, 0) + 1) / (inside.get(t, 0) + 1)))) for t in {*inside, *outside}}
     return dict(zip(known, w.tolist(), strict=True)), bias, cost
 
@@ -144,15 +153,19 @@ def extract(page: str | None) -> str:
     worth: dict[frozenset[str], float] = {}
     scores: list[float] = []
     pieces: list[tuple[str, int] | None] = []
-    for part in parts(page):
+    page_parts = list(parts(page))
+    plain = {part[3] for part in page_parts if part[0] == "text" and "a" not in part[2] and part[1].strip()}
+    for part in page_parts:
         if part[0] == "tag":
             scores.append(cost.get(part[1], -0.05))
             pieces.append(None)
             continue
         _, text, under, block = part
+        if block in plain:  # a link within a sentence is a part of it
+            under = under - {"a"}
         each = worth.get(under)
         if each is None:
-            total = bias + sum([odds.get(f, 0.0) for f in under])
+            total = -1.0 if under & APART else bias + sum([odds.get(f, 0.0) for f in under])
             each = worth[under] = min(2.0, total) if total > 0 else -0.25
         n = len(text.split())
         scores.append(each * n if each > 0 else max(-2.5, each * n))
