@@ -63,15 +63,16 @@ class Model:
     threshold: float
 
     def pooled(self, responses: list[list[np.ndarray]], words: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Maximum over each text of each filter, and where it stands. words: with two places of padding (the last response row) after each text."""
+        """Maximum over each text of each filter, and where it stands. words, starts: from pad(). A filter starts at a word of the text (at padding if there is none)."""
         best, where = [], []
+        ends = np.maximum(np.append(starts[1:], len(words)) - len(WIDTHS), starts + 1)
+        spans = np.stack([starts, ends], axis=1).ravel()
         for width, tables in zip(WIDTHS, responses, strict=True):
             total = tables[0][words]
             for j in range(1, width):
                 total[:-j] += tables[j][words[j:]]
-            best.append(np.maximum.reduceat(total, starts, axis=0))
+            best.append(np.maximum.reduceat(total, spans, axis=0)[::2])
             if len(starts) <= 64:
-                ends = np.append(starts[1:], len(words))
                 where.append(np.stack([a + total[a:b].argmax(axis=0) for a, b in zip(starts, ends, strict=True)]))
         return np.concatenate(best, axis=1), np.concatenate(where, axis=1) if where else np.zeros(0)
 
@@ -93,8 +94,8 @@ class Model:
 
 
 def pad(words: np.ndarray, offsets: np.ndarray, blank: int) -> tuple[np.ndarray, np.ndarray]:
-    """The texts between the offsets with len(WIDTHS) - 1 blanks after each (one word's place at least), and their starts."""
-    sizes, gap = np.diff(offsets), len(WIDTHS) - 1
+    """The texts between the offsets with len(WIDTHS) blanks after each, so that no filter reaches the next text, and their starts."""
+    sizes, gap = np.diff(offsets), len(WIDTHS)
     ends = np.cumsum(sizes + gap)
     starts = ends - sizes - gap
     padded = np.full(int(ends[-1]), blank, dtype=np.int32)
