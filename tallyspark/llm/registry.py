@@ -25,8 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 
+#: The others are trained, banded or iterative; tests hold them against brute force, the public library or held-out rows.
 ORACLE_SQL: dict[str, str] = {
-    "op2_ngram_jaccard": near_duplicates.op2_ngram_jaccard,
-    "op3_licenses": licenses.op3_licenses,
     "op4_quality": quality.ORACLE_SQL,
 }
