@@ -9,8 +9,8 @@ each distinct n-gram in it once, as a sorted array of 64-bit keys with its own c
 into parts; a part sums the counts over all blocks and answers each block in the block's own order, so
 answers carry no keys. Parts and blocks grow in number, not in size, with the corpus; a word with a third
 of all tokens is one key per block. The block's documents then meet the answers and are scored whole.
-Mixture weights are some dozens of numbers; they are fitted on the held-out tokens of at most `em_blocks`
-blocks (a documented bound: 16 blocks hold over two million such tokens). Counts cover all documents.
+Mixture weights are some dozens of numbers, fitted on the held-out tokens of all blocks: each block sends
+its tokens as counts of (bucket, rounded estimates), of which there are few thousand kinds at any size.
 
 Defined results: a null or empty text is the end token alone; a null doc_id is hashed as an empty string;
 repeated rows are scored alike (each counts). Without training rows N and V are 0 and every score is
@@ -177,7 +177,7 @@ def learn(bins: np.ndarray, weights: np.ndarray, rounds: int = 60) -> np.ndarray
     return mixed
 
 
-def model_score(docs: DataFrame, learn_from=None, deleted_fold=None, em_blocks: int = 16) -> DataFrame:
+def model_score(docs: DataFrame, learn_from=None, deleted_fold=None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     learn_from and deleted_fold: boolean columns: rows to count, and those of them whose tokens fit the mixture.
@@ -208,10 +208,8 @@ def model_score(docs: DataFrame, learn_from=None, deleted_fold=None, em_blocks:
         rows, counts = np.unique(steps, axis=0, return_counts=True)
         return pa.table({name: pa.array(rows[:, k]) for k, name in enumerate(("bucket", "pair", "word", "paired", "known"))} | {"n": pa.array(counts.astype(np.int64))})
 
-    every = max(1, -(-blocks // em_blocks))
-    some = F.pmod(F.xxhash64(F.col("block") + 1), F.lit(every)) == 0 if every > 1 else F.lit(True)
     schema = "bucket bigint, pair bigint, word bigint, paired bigint, known bigint, n bigint"
-    bins = together(marked.filter(some), given.filter(some), held_out_bins, schema).groupBy("bucket", "pair", "word", "paired", "known").agg(F.sum("n").alias("n")).toPandas()
+    bins = together(marked, given, held_out_bins, schema).groupBy("bucket", "pair", "word", "paired", "known").agg(F.sum("n").alias("n")).toPandas()
     left = max(1, n - n_deleted)
     floor = 1.0 / (v + 1)
     estimates = np.stack([bins["bucket"], np.exp2(bins["pair"] / 20) * bins["paired"], np.exp2(bins["word"] / 20) / left * bins["known"], np.full(len(bins), floor)], axis=1) if len(bins) else np.zeros((0, 4))
