@@ -10,7 +10,8 @@ into parts; a part sums the counts over all blocks and answers each block in the
 answers carry no keys. Parts and blocks grow in number, not in size, with the corpus; a word with a third
 of all tokens is one key per block. The block's documents then meet the answers and are scored whole.
 Mixture weights are some dozens of numbers, fitted on the held-out tokens of all blocks: each block sends
-its tokens as counts of (bucket, rounded estimates), of which there are few thousand kinds at any size.
+its tokens as counts of (bucket, two estimates rounded to a quarter of a doubling), which are fewer than
+24 * 128 * 128 kinds at any size.
 
 Defined results: a null or empty text is the end token alone; a null doc_id is hashed as an empty string;
 repeated rows are scored alike (each counts). Without training rows N and V are 0 and every score is
@@ -37,6 +38,8 @@ PART_BYTES = 24_000_000
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
 BUCKETS = 24
+#: Steps to a doubling when estimates of held-out tokens are counted together.
+STEPS = 4
 
 
 def ngram_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -188,7 +191,7 @@ def model_score(docs: DataFrame, learn_from=None, deleted_fold=None) -> DataFram
     size = docs.agg(F.sum(F.octet_length(text_of()) + 1)).first()[0] or 0
     blocks, parts = max(1, -(-size // BLOCK_BYTES)), max(1, -(-size // PART_BYTES))
     role = F.when(~learn_from, 0).when(deleted_fold, 2).otherwise(1)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    id_type = docs.schema["doc_id"].dataType.simpleString()
     marked = docs.select("doc_id", text_of().alias("text"), role.cast("int").alias("role"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
 
     asked = marked.select("text", "role", "block").groupBy("block").applyInArrow(lambda t: requests(t, parts), "part int, block bigint, keys binary, train binary, deleted binary")
@@ -204,15 +207,18 @@ def model_score(docs: DataFrame, learn_from=None, deleted_fold=None) -> DataFram
         c = counted(block, answer, *starts)
         held = np.repeat(np.asarray(block.column("role").combine_chunks()) == 2, np.diff(c.offsets))
         word, pair, context = (c.word - c.word_deleted)[held], (c.pair - c.pair_deleted)[held], (c.context - c.context_deleted)[held]
-        steps = np.stack([bucket(context), np.rint(20 * np.log2(np.maximum(pair, 1) / np.maximum(context, 1))), np.rint(20 * np.log2(np.maximum(word, 1))), pair > 0, word > 0], axis=1).astype(np.int64)
-        rows, counts = np.unique(steps, axis=0, return_counts=True)
-        return pa.table({name: pa.array(rows[:, k]) for k, name in enumerate(("bucket", "pair", "word", "paired", "known"))} | {"n": pa.array(counts.astype(np.int64))})
+        ratio = np.rint(-STEPS * np.log2(np.maximum(pair, 1) / np.maximum(context, 1)))
+        kind = (bucket(context) << 20) | (np.clip(ratio, 0, 255).astype(np.int64) << 12) | (np.rint(STEPS * np.log2(np.maximum(word, 1))).astype(np.int64) << 4) | (pair > 0) << 1 | (word > 0)
+        kinds, counts = np.unique(kind, return_counts=True)
+        return pa.table({"kind": pa.array(kinds.astype(np.int64)), "n": pa.array(counts.astype(np.int64))})
 
-    schema = "bucket bigint, pair bigint, word bigint, paired bigint, known bigint, n bigint"
-    bins = together(marked, given, held_out_bins, schema).groupBy("bucket", "pair", "word", "paired", "known").agg(F.sum("n").alias("n")).toPandas()
+    bins = together(marked, given, held_out_bins, "kind bigint, n bigint").groupBy("kind").agg(F.sum("n").alias("n")).toPandas()
     left = max(1, n - n_deleted)
     floor = 1.0 / (v + 1)
-    estimates = np.stack([bins["bucket"], np.exp2(bins["pair"] / 20) * bins["paired"], np.exp2(bins["word"] / 20) / left * bins["known"], np.full(len(bins), floor)], axis=1) if len(bins) else np.zeros((0, 4))
+    kind = bins["kind"].to_numpy(dtype=np.int64)
+    paired = np.exp2(-((kind >> 12) & 255) / STEPS) * ((kind >> 1) & 1)
+    alone = np.exp2(((kind >> 4) & 255) / STEPS) / left * (kind & 1)
+    estimates = np.stack([kind >> 20, paired, alone, np.full(len(kind), floor)], axis=1)
     mixed = learn(estimates.astype(np.float64), bins["n"].to_numpy(dtype=np.float64))
 
     def scored(block: pa.Table, answer: pa.Table) -> pa.Table:
@@ -233,7 +239,7 @@ def model_score(docs: DataFrame, learn_from=None, deleted_fold=None) -> DataFram
             }
         )
 
-    return together(marked, given, scored, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    return together(marked, given, scored, f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
