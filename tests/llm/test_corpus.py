@@ -173,6 +173,28 @@ def test_leaks_and_paraphrases_are_found(spark):
     assert decontaminate.leaks(df.limit(0), spark.createDataFrame(bench, "item_id long, text string")).count() == 0
 
 
+def test_leaks_of_a_large_benchmark(spark):
+    """Thousands of items, many more than the latent space has dimensions, against all planted copies."""
+    rng = random.Random(8)
+    draw = lambda n: " ".join(f"w{int(rng.paretovariate(0.7))%6000}" for _ in range(n))
+    bench = [(i, draw(rng.randint(15, 60))) for i in range(4000)]
+    rows, want = [], set()
+    for d in range(200):
+        w = draw(rng.choice([0, 40, 200])).split()
+        if d % 2:
+            i, text = rng.choice(bench)
+            at = rng.randrange(len(w) + 1)
+            w = w[:at] + text.split() + w[at:]
+            want.add((d, i))
+        rows.append((d, " ".join(w)))
+    found = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert want <= {(r.doc_id, r.item_id) for r in found if r.lcs == 1.0}
+    texts, items = dict(rows), dict(bench)
+    for r in found:
+        item, span = decontaminate.clean(items[r.item_id]), decontaminate.clean(texts[r.doc_id])[r.first_word : r.last_word]
+        assert r.lcs == decontaminate.lcs(decontaminate.masks(item), len(item), span) / len(item) >= 0.6
+
+
 def test_bit_parallel_lcs():
     rng = random.Random(6)
     for _ in range(200):
