@@ -195,6 +195,21 @@ def test_leaks_of_a_large_benchmark(spark):
         assert r.lcs == decontaminate.lcs(decontaminate.masks(item), len(item), span) / len(item) >= 0.6
 
 
+def test_leaks_of_long_items(spark):
+    """Items over the 128 words of the smallest window, verbatim and altered, wherever they begin."""
+    rng = random.Random(9)
+    bench = [(i, " ".join(f"v{rng.randint(0, 3000)}" for _ in range(n))) for i, n in enumerate((20, 76, 77, 150, 214, 500, 1500))]
+    rows, want = [], set()
+    for d in range(42):
+        i, text = bench[d % len(bench)]
+        b = [x for x in text.split() if d % 2 or rng.random() > 0.2]
+        rows.append((d, " ".join([f"g{rng.randint(0, 99)}" for _ in range(rng.randint(0, 300))] + b + ["g1"] * rng.randint(0, 90))))
+        want.add((d, i))
+    rows += [(100 + d, " ".join(f"g{rng.randint(0, 99)}" for _ in range(300))) for d in range(10)]
+    found = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == want
+
+
 def test_bit_parallel_lcs():
     rng = random.Random(6)
     for _ in range(200):
