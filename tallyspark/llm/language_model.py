@@ -4,29 +4,32 @@ P(w | v) = a * c(vw) / c(v) + b * c(w) / N + (1 - a - b) / (V + 1); a and b depe
 bucket of the context v (powers of two) and are learned by expectation-maximisation: for documents of one
 fold of the training rows, with counts from which that fold is deleted.
 
-How the counts travel. Documents are grouped into blocks of about BLOCK_BYTES by hash. A block asks for
-each distinct n-gram in it once, as a sorted array of 64-bit keys with its own counts, cut by key range
-into parts; a part sums the counts over all blocks and answers each block in the block's own order, so
-answers carry no keys. Parts and blocks grow in number, not in size, with the corpus; a word with a third
-of all tokens is one key per block. The block's documents then meet the answers and are scored whole.
-Mixture weights are some dozens of numbers, fitted on the held-out tokens of all blocks: each block sends
-its tokens as counts of (bucket, two estimates rounded to a quarter of a doubling), which are fewer than
-24 * 128 * 128 kinds at any size.
+How the counts travel. Each partition packs its documents, as they come, into blocks of about BLOCK_BYTES
+(compressed, written once; the deleted fold has blocks of its own), so equal rows need not meet. A block
+asks for each distinct n-gram in it once, as a sorted array of 64-bit keys with its own counts, cut by key
+range into parts; a part sums the counts over all blocks and answers each block in the block's own order,
+so answers carry no keys. Parts and blocks grow in number, not in size, with the corpus; a word with a
+third of all tokens is one key per block. A block sends a row to each part that it has keys for, hence
+never more rows than it has distinct n-grams: the exchange is at most that of single n-grams counted by
+block. The packed documents then meet the answers and are scored whole.
+Mixture weights are some dozens of numbers. They are fitted on the exact held-out counts, which stay
+distributed: a round of expectation-maximisation is one aggregation with a row for each bucket.
 
 Defined results: a null or empty text is the end token alone; a null doc_id is hashed as an empty string;
 repeated rows are scored alike (each counts). Without training rows N and V are 0 and every score is
-that of the uniform floor. Columns of other names do not pass.
+that of the uniform floor. A text longer than a block is a block of its own. Columns of other names do
+not pass.
 """
 
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpoint, table, text_of
@@ -38,8 +41,8 @@ PART_BYTES = 24_000_000
 END = np.uint64(0x5851F42D4C957F2D)
 START = np.uint64(0x14057B7EF767814F)
 BUCKETS = 24
-#: Steps to a doubling when estimates of held-out tokens are counted together.
-STEPS = 4
+#: Rounds of expectation-maximisation.
+ROUNDS = 25
 
 
 def ngram_keys(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,104 +86,129 @@ def cuts(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted(keys, np.array([min(k * width, (1 << 64) - 1) for k in range(1, parts)], dtype=np.uint64)).astype(np.int64)
 
 
-def requests(block: pa.Table, parts: int) -> pa.Table:
-    """The n-grams of a block with its counts in training rows and in the deleted fold, by part."""
-    words, pairs, offsets = ngram_keys(block.column("text").combine_chunks())
-    role = np.repeat(np.asarray(block.column("role").combine_chunks()), np.diff(offsets))
+def packed_blocks(batches, limit: int):
+    """Documents (doc_id, text, role) as rows of block, payload and counts. Odd blocks hold the deleted fold (role 2) alone."""
+    partition, made, waiting = TaskContext.get().partitionId(), 0, {0: [], 1: []}
+    held = {0: 0, 1: 0}
+
+    def block(kind: int) -> pa.RecordBatch:
+        nonlocal made
+        rows = pa.Table.from_batches(waiting[kind]).combine_chunks()
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(rows)
+        training = int(pc.sum(pc.greater(rows.column("role"), 0)).as_py())
+        values = [(partition << 32) + (made << 1) + kind, sink.getvalue().to_pybytes(), held[kind], training, training * kind]
+        made, waiting[kind], held[kind] = made + 1, [], 0
+        return pa.RecordBatch.from_arrays([pa.array([v]) for v in values], names=["block", "payload", "n_bytes", "n_training", "n_deleted"])
+
+    for batch in batches:
+        fold = pc.equal(batch.column(2), 2)
+        for kind, rows in ((0, batch.filter(pc.invert(fold))), (1, batch.filter(fold))):
+            ends, at = np.cumsum(np.asarray(pc.binary_length(rows.column(1)), dtype=np.int64) + 1), 0
+            while at < len(ends):
+                before = ends[at - 1] if at else 0
+                upto = min(len(ends), int(np.searchsorted(ends, before + limit - held[kind], side="left")) + 1)
+                waiting[kind].append(rows.slice(at, upto - at))
+                held[kind] += int(ends[upto - 1] - before)
+                at = upto
+                if held[kind] >= limit:
+                    yield block(kind)
+    for kind in (0, 1):
+        if waiting[kind]:
+            yield block(kind)
+
+
+def documents_of(payload: bytes) -> pa.Table:
+    return pa.ipc.open_stream(payload).read_all().combine_chunks()
+
+
+def texts_of(rows: pa.Table) -> pa.Array:
+    return rows.column("text").combine_chunks()
+
+
+def requests(n: int, rows: pa.Table, parts: int) -> pa.RecordBatch:
+    """The n-grams of a block with its counts in training rows, by part."""
+    words, pairs, offsets = ngram_keys(texts_of(rows))
+    training = np.repeat(np.asarray(rows.column("role").combine_chunks()) > 0, np.diff(offsets))
     keys, at = np.unique(np.concatenate([words, pairs]), return_inverse=True)
-    role = np.concatenate([role, role])
-    train, deleted = np.bincount(at[role > 0], minlength=len(keys)), np.bincount(at[role == 2], minlength=len(keys))
+    counts = np.bincount(at[np.concatenate([training, training])], minlength=len(keys))
     edges = [0, *cuts(keys, parts).tolist(), len(keys)]
     spans = [(p, a, b) for p, (a, b) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if b > a]
-    n = block.column("block")[0].as_py()
-    return pa.table(
-        {
-            "part": pa.array([p for p, _, _ in spans], pa.int32()),
-            "block": pa.array([n] * len(spans), pa.int64()),
-            "keys": pa.array([columns_of(keys[a:b]) for _, a, b in spans], pa.binary()),
-            "train": pa.array([packed(train[a:b]) for _, a, b in spans], pa.binary()),
-            "deleted": pa.array([packed(deleted[a:b]) for _, a, b in spans], pa.binary()),
-        }
-    )
+    columns = [pa.array([p for p, _, _ in spans], pa.int32()), pa.array([n] * len(spans), pa.int64())]
+    columns += [pa.array([columns_of(keys[a:b]) for _, a, b in spans], pa.binary()), pa.array([packed(counts[a:b]) for _, a, b in spans], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "block", "keys", "counts"])
 
 
 def answers(part: pa.Table) -> pa.Table:
-    """Sums over all blocks, for each block in its own order; and one row (block -1) with the part's share of N and V."""
+    """Sums over all blocks, for each block in its own order (for odd blocks also those of the deleted fold); and one row (block -1) with the part's share of N and V."""
     keys = [keys_of(x.as_py()) for x in part.column("keys")]
-    ends = np.cumsum([len(k) for k in keys])
+    counts = [unpacked(x.as_py()) for x in part.column("counts")]
+    blocks = part.column("block").to_pylist()
+    places = np.cumsum([0] + [len(k) for k in keys])
     found, at = np.unique(np.concatenate(keys), return_inverse=True)
-    sums = []
-    for name in ("train", "deleted"):
-        own = np.concatenate([unpacked(x.as_py()) for x in part.column(name)])
-        sums.append(np.bincount(at, weights=own, minlength=len(found)).astype(np.int64))
+    del keys
+    odd = np.repeat(np.array(blocks) % 2 == 1, np.diff(places))
+    own = np.concatenate(counts)
+    sums = np.bincount(at, weights=own, minlength=len(found)).astype(np.int64)
+    deleted = np.bincount(at[odd], weights=own[odd], minlength=len(found)).astype(np.int64)
     word = (found & np.uint64(1)) == 0
-    total = [int(sums[0][word].sum()), int((sums[0][word] > 0).sum()), int(sums[1][word].sum())]
-    places = np.split(at, ends[:-1])
-    p = part.column("part")[0].as_py()
+    total = [int(sums[word].sum()), int((sums[word] > 0).sum()), int(deleted[word].sum())]
+    mine = [at[a:b] for a, b in zip(places[:-1], places[1:], strict=True)]
+    rest = [0] * len(blocks)
     return pa.table(
         {
-            "block": pa.array([*part.column("block").to_pylist(), -1], pa.int64()),
-            "part": pa.array([p] * (len(keys) + 1), pa.int32()),
-            "train": pa.array([*(packed(sums[0][i]) for i in places), None], pa.binary()),
-            "deleted": pa.array([*(packed(sums[1][i]) for i in places), None], pa.binary()),
-            "n_tokens": pa.array([0] * len(keys) + [total[0]], pa.int64()),
-            "n_words": pa.array([0] * len(keys) + [total[1]], pa.int64()),
-            "n_deleted": pa.array([0] * len(keys) + [total[2]], pa.int64()),
+            "block": pa.array([*blocks, -1], pa.int64()),
+            "part": pa.array([part.column("part")[0].as_py()] * (len(blocks) + 1), pa.int32()),
+            "train": pa.array([*(packed(sums[i]) for i in mine), None], pa.binary()),
+            "deleted": pa.array([*(packed(deleted[i]) if n % 2 else None for n, i in zip(blocks, mine, strict=True)), None], pa.binary()),
+            "n_tokens": pa.array([*rest, total[0]], pa.int64()),
+            "n_words": pa.array([*rest, total[1]], pa.int64()),
+            "n_deleted": pa.array([*rest, total[2]], pa.int64()),
         }
     )
 
 
-@dataclass
-class Counted:
-    """A block's documents with the corpus counts of each token."""
-
-    offsets: np.ndarray
-    word: np.ndarray  # c(w)
-    pair: np.ndarray  # c(vw)
-    context: np.ndarray  # c(v)
-    word_deleted: np.ndarray
-    pair_deleted: np.ndarray
-    context_deleted: np.ndarray
-
-
-def counted(block: pa.Table, answer: pa.Table, documents: int, documents_deleted: int) -> Counted:
-    """documents: training rows, the count of the start of a text as a context."""
-    words, pairs, offsets = ngram_keys(block.column("text").combine_chunks())
+def counted(rows: pa.Table, answer: pa.Table, sums: dict[str, int]) -> tuple[np.ndarray, dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+    """Offsets of a block's documents, and by kind of count c(w), c(vw), c(v) of each token. sums: the kinds wanted, with the count of the start of a text as a context."""
+    words, pairs, offsets = ngram_keys(texts_of(rows))
     keys, at = np.unique(np.concatenate([words, pairs]), return_inverse=True)
     order = np.argsort(np.asarray(answer.column("part").combine_chunks()), kind="stable").tolist()
-    out = []
-    for name, starts in (("train", documents), ("deleted", documents_deleted)):
+    out = {}
+    for name, starts in sums.items():
         column = answer.column(name)
-        sums = np.concatenate([unpacked(column[i].as_py()) for i in order])
-        if len(sums) != len(keys):
+        found = np.concatenate([unpacked(column[i].as_py()) for i in order])
+        if len(found) != len(keys):
             raise ValueError("answers do not match the block")
-        word, pair = sums[at[: len(words)]], sums[at[len(words) :]]
+        word, pair = found[at[: len(words)]], found[at[len(words) :]]
         context = np.empty_like(word)
         context[1:] = word[:-1]
         context[offsets[:-1]] = starts
-        out.append((word, pair, context))
-    (w, p, c), (wd, pd_, cd) = out
-    return Counted(offsets, w, p, c, wd, pd_, cd)
+        out[name] = (word, pair, context)
+    return offsets, out
 
 
 def bucket(context: np.ndarray) -> np.ndarray:
     return np.minimum(np.ceil(np.log2(context + 1)), BUCKETS - 1).astype(np.int64)
 
 
-def learn(bins: np.ndarray, weights: np.ndarray, rounds: int = 60) -> np.ndarray:
-    """Mixture weights (BUCKETS x 3) by EM. bins: rows of bucket and the three probabilities; weights: held-out tokens in each."""
-    kinds, probabilities = bins[:, 0].astype(np.int64), bins[:, 1:]
+def learn(bins: DataFrame, left: int, floor: float, rounds: int = ROUNDS) -> np.ndarray:
+    """Mixture weights (BUCKETS x 3) by EM on bins: n held-out tokens with the counts pair, context and word, and the context's bucket."""
+    estimates = [F.col("pair") / F.greatest("context", F.lit(1)), F.col("word") / F.lit(max(1, left)), F.lit(floor)]
     mixed = np.full((BUCKETS, 3), 1 / 3)
     for _ in range(rounds):
-        share = mixed[kinds] * probabilities
-        share *= (weights / np.maximum(share.sum(axis=1), 1e-300))[:, None]
-        new = np.stack([np.bincount(kinds, weights=share[:, k], minlength=BUCKETS) for k in range(3)], axis=1) + np.array([0.1, 0.1, 0.1])
+        parts = [e * F.element_at(F.array(*[F.lit(float(x)) for x in mixed[:, k]]), F.col("bucket") + 1) for k, e in enumerate(estimates)]
+        shared = bins.select("bucket", "n", *[p.alias(f"p{k}") for k, p in enumerate(parts)])
+        share = F.col("n") / (F.col("p0") + F.col("p1") + F.col("p2"))
+        new = np.full((BUCKETS, 3), 0.1)
+        for row in shared.groupBy("bucket").agg(*[F.sum(F.col(f"p{k}") * share) for k in range(3)]).collect():  # a row for each bucket
+            new[row[0]] += row[1:]
         mixed = new / new.sum(axis=1, keepdims=True)
     mixed[0] = [0.0, mixed[0, 0] + mixed[0, 1], mixed[0, 2]]  # an unseen context has no pair estimate
     return mixed
 
 
-def model_score(docs: DataFrame, learn_from=None, deleted_fold=None) -> DataFrame:
+def model_score(docs: DataFrame, learn_from: Column | None = None, deleted_fold: Column | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document.
 
     learn_from and deleted_fold: boolean columns: rows to count, and those of them whose tokens fit the mixture.
@@ -188,58 +216,62 @@ def model_score(docs: DataFrame, learn_from=None, deleted_fold=None) -> DataFram
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     learn_from = crc % 7 != 2 if learn_from is None else learn_from
     deleted_fold = crc % 7 == 3 if deleted_fold is None else deleted_fold
-    size = docs.agg(F.sum(F.octet_length(text_of()) + 1)).first()[0] or 0
-    blocks, parts = max(1, -(-size // BLOCK_BYTES)), max(1, -(-size // PART_BYTES))
     role = F.when(~learn_from, 0).when(deleted_fold, 2).otherwise(1)
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    marked = docs.select("doc_id", text_of().alias("text"), role.cast("int").alias("role"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).alias("block"))
-
-    asked = marked.select("text", "role", "block").groupBy("block").applyInArrow(lambda t: requests(t, parts), "part int, block bigint, keys binary, train binary, deleted binary")
+    limit = BLOCK_BYTES
+    marked = docs.select("doc_id", text_of().alias("text"), role.cast("int").alias("role"))
+    stored = checkpoint(marked.mapInArrow(lambda it: packed_blocks(it, limit), "block bigint, payload binary, n_bytes bigint, n_training bigint, n_deleted bigint"))
+    size, *starts = stored.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_bytes", "n_training", "n_deleted")]).first()
+    parts = max(1, -(-size // PART_BYTES))
+
+    def ask(batches):
+        for batch in batches:
+            for n, payload in zip(batch.column(0), batch.column(1), strict=True):
+                yield requests(n.as_py(), documents_of(payload.as_buffer()), parts)
+
+    asked = stored.select("block", "payload").mapInArrow(ask, "part int, block bigint, keys binary, counts binary")
     answered = checkpoint(asked.groupBy("part").applyInArrow(answers, "block bigint, part int, train binary, deleted binary, n_tokens bigint, n_words bigint, n_deleted bigint"))
-    n, v, n_deleted = answered.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum("n_deleted"), F.lit(0))).first()
-    starts = marked.agg(F.coalesce(F.sum((F.col("role") > 0).cast("long")), F.lit(0)), F.coalesce(F.sum((F.col("role") == 2).cast("long")), F.lit(0))).first()
-    given = answered.filter("block >= 0").select("block", "part", "train", "deleted")
-
-    def together(df: DataFrame, sent: DataFrame, run, schema: str) -> DataFrame:
-        return df.groupBy("block").cogroup(sent.groupBy("block")).applyInArrow(run, schema)
+    n, v, n_deleted = answered.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("n_tokens", "n_words", "n_deleted")]).first()
+    floor = 1.0 / (v + 1)
+    blocks, given = stored.select("block", "payload"), answered.filter("block >= 0")
 
     def held_out_bins(block: pa.Table, answer: pa.Table) -> pa.Table:
-        c = counted(block, answer, *starts)
-        held = np.repeat(np.asarray(block.column("role").combine_chunks()) == 2, np.diff(c.offsets))
-        word, pair, context = (c.word - c.word_deleted)[held], (c.pair - c.pair_deleted)[held], (c.context - c.context_deleted)[held]
-        ratio = np.rint(-STEPS * np.log2(np.maximum(pair, 1) / np.maximum(context, 1)))
-        kind = (bucket(context) << 20) | (np.clip(ratio, 0, 255).astype(np.int64) << 12) | (np.rint(STEPS * np.log2(np.maximum(word, 1))).astype(np.int64) << 4) | (pair > 0) << 1 | (word > 0)
-        kinds, counts = np.unique(kind, return_counts=True)
-        return pa.table({"kind": pa.array(kinds.astype(np.int64)), "n": pa.array(counts.astype(np.int64))})
-
-    bins = together(marked, given, held_out_bins, "kind bigint, n bigint").groupBy("kind").agg(F.sum("n").alias("n")).toPandas()
-    left = max(1, n - n_deleted)
-    floor = 1.0 / (v + 1)
-    kind = bins["kind"].to_numpy(dtype=np.int64)
-    paired = np.exp2(-((kind >> 12) & 255) / STEPS) * ((kind >> 1) & 1)
-    alone = np.exp2(((kind >> 4) & 255) / STEPS) / left * (kind & 1)
-    estimates = np.stack([kind >> 20, paired, alone, np.full(len(kind), floor)], axis=1)
-    mixed = learn(estimates.astype(np.float64), bins["n"].to_numpy(dtype=np.float64))
+        rows = documents_of(block.column("payload")[0].as_buffer())
+        _, c = counted(rows, answer, {"train": starts[0], "deleted": starts[1]})
+        word, pair, context = (a - b for a, b in zip(c["train"], c["deleted"], strict=True))
+        order = np.lexsort((word, context, pair))
+        triples = np.stack([pair, context, word])[:, order]
+        first = np.flatnonzero(np.concatenate([[True], (np.diff(triples) != 0).any(axis=0)]))
+        triples = triples[:, first]
+        counts = np.diff(np.append(first, len(order)))
+        return pa.table({"bucket": pa.array(bucket(triples[1]), pa.int32()), **{k: pa.array(x, pa.int64()) for k, x in zip(("pair", "context", "word"), triples, strict=True)}, "n": pa.array(counts, pa.int64())})
+
+    odd = F.col("block") % 2 == 1
+    held = blocks.filter(odd).groupBy("block").cogroup(given.filter(odd).select("block", "part", "train", "deleted").groupBy("block"))
+    bins = checkpoint(held.applyInArrow(held_out_bins, "bucket int, pair bigint, context bigint, word bigint, n bigint"))
+    mixed = learn(bins, n - n_deleted, floor)
 
     def scored(block: pa.Table, answer: pa.Table) -> pa.Table:
-        c = counted(block, answer, *starts)
-        weights = mixed[bucket(c.context)]
-        p = weights[:, 0] * c.pair / np.maximum(c.context, 1) + weights[:, 1] * c.word / max(1, n) + weights[:, 2] * floor
-        at = c.offsets[:-1]
-        sums = [np.add.reduceat(x, at) for x in ((c.word > 0).astype(np.int64), np.log10((c.word + 1) / (n + (v + 1))), np.log10(p))]
+        rows = documents_of(block.column("payload")[0].as_buffer())
+        offsets, c = counted(rows, answer, {"train": starts[0]})
+        word, pair, context = c["train"]
+        weights = mixed[bucket(context)]
+        p = weights[:, 0] * pair / np.maximum(context, 1) + weights[:, 1] * word / max(1, n) + weights[:, 2] * floor
+        sums = [np.add.reduceat(x, offsets[:-1]) for x in ((word > 0).astype(np.int64), np.log10((word + 1) / (n + (v + 1))), np.log10(p))]
         return pa.table(
             {
-                "doc_id": block.column("doc_id"),
-                "held_out": pa.array(np.asarray(block.column("role").combine_chunks()) == 0),
-                "n_tokens": pa.array(np.diff(c.offsets)),
+                "doc_id": rows.column("doc_id"),
+                "held_out": pa.array(np.asarray(rows.column("role").combine_chunks()) == 0),
+                "n_tokens": pa.array(np.diff(offsets)),
                 "n_known": pa.array(sums[0]),
-                "train_tokens": pa.array(np.full(len(at), n, dtype=np.int64)),
+                "train_tokens": pa.array(np.full(len(offsets) - 1, n, dtype=np.int64)),
                 "base_score": pa.array(sums[1]),
                 "score": pa.array(sums[2]),
             }
         )
 
-    return together(marked, given, scored, f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
+    together = blocks.groupBy("block").cogroup(given.select("block", "part", "train").groupBy("block"))
+    return together.applyInArrow(scored, f"doc_id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double")
 
 
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
