@@ -18,14 +18,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the session names.
+    """Cut the lineage with a reliable checkpoint in the folder that the session names in spark.checkpoint.dir.
 
-    The cluster's spark.checkpoint.dir is used when it is set; only a session without any (a test
-    on one machine) gets a temporary folder.
+    A session on one machine that names none (a test) gets a temporary folder; a cluster must name a shared one.
     """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tally-"))
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tally-"))
     return df.checkpoint(eager=True)
 
 
