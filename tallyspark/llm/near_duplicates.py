@@ -5,7 +5,7 @@ shingle); two are linked when the Jaccard similarity is at least 0.8. Rows and b
 target recall of a pair just at the threshold.
 
 1. One pass over the texts gives an exact signature (of the word sequence) and the band hashes. Rows of
-   one signature are a class of copies with one representative and a count; copies never meet as pairs.
+   one signature are a class of copies with a number of its own and a count; copies never meet as pairs.
 2. Representatives that share a band hash are candidates. A bucket gives one edge from each member to
    its smallest member, so a bucket of m makes m edges; connected components of these edges hold every
    candidate pair inside.
@@ -17,11 +17,13 @@ target recall of a pair just at the threshold.
 
 Result: one row for each row of the input: doc_id, class_id (the smallest doc_id connected through
 links), copy_of (the smallest doc_id with the same words), n_links (rows linked with this one, copies
-included). With pairs=True, verified() also returns the linked pairs of representatives.
+included). linked_pairs() returns the linked pairs of representatives; one_of_each() keeps one row of
+each class.
 
-Defined results: texts without a word are copies of each other; a null text counts as empty. A null
-doc_id is kept as a row; a class of such rows alone has a negative id. doc_id is taken to identify a
-text. An empty table gives an empty result. Columns of other names do not pass.
+Defined results: texts without a word are copies of each other; a null text counts as empty. Rows are
+told apart by their texts, not by doc_id: rows with a null or a repeated doc_id are linked like any
+others, and different texts under one doc_id stay different. A class without any doc_id has a negative
+id. An empty table gives an empty result. Columns of other names pass through one_of_each() only.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import checkpoint, has_rows, table
@@ -45,6 +47,8 @@ BLOCK = 384
 BLOCK_BYTES = 8_000_000
 #: Bytes of ids that may be broadcast; more are joined by a shuffle.
 BROADCAST = 32_000_000
+#: Nodes with many edges are joined by themselves; there are at most so many of them.
+HUBS = 100_000
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -77,9 +81,15 @@ def band_hashes(words: np.ndarray, offsets: np.ndarray, bands: int, rows: int) -
     return out
 
 
+def raw_hash(text: str = "text") -> Column:
+    """Identity of an exact text (null: empty): two hashes and the length."""
+    t = F.coalesce(F.col(text), F.lit(""))
+    return F.concat_ws(":", F.xxhash64(t), F.crc32(t.cast("binary")), F.octet_length(t))
+
+
 def signatures(docs: DataFrame, bands: int, rows: int, text: str = "text") -> DataFrame:
-    """doc_id, sig_a, sig_b, n_bytes and the band hashes (none for a text without words) of every row."""
-    slim = docs.select("doc_id", F.col(text).alias("text"))
+    """doc_id, raw (of the exact text), sig_a, sig_b, n_bytes and the band hashes (none for a text without words) of every row."""
+    slim = docs.select("doc_id", F.col(text).alias("text"), raw_hash(text).alias("raw"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -94,30 +104,36 @@ def signatures(docs: DataFrame, bands: int, rows: int, text: str = "text") -> Da
                 sig = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[8 * a : 8 * b]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]), dtype=np.int64).reshape(-1, 2)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(np.where(sizes > 0, bands, 0))]), pa.int32()), pa.array(found[sizes > 0].ravel(), pa.int64()))
                 size = pa.compute.binary_length(texts.fill_null("")).cast(pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sig[:, 0]), pa.array(sig[:, 1]), size, lists], names=["doc_id", "sig_a", "sig_b", "n_bytes", "bands"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("raw"), pa.array(sig[:, 0]), pa.array(sig[:, 1]), size, lists], names=["doc_id", "raw", "sig_a", "sig_b", "n_bytes", "bands"])
 
-    return slim.mapInArrow(run, f"doc_id {kind}, sig_a bigint, sig_b bigint, n_bytes bigint, bands array<bigint>")
+    return slim.mapInArrow(run, f"doc_id {kind}, raw string, sig_a bigint, sig_b bigint, n_bytes bigint, bands array<bigint>")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(id, root) for every id of the edges (u, v): root is the smallest id connected with it.
 
     Alternating large-star and small-star steps: a few equi-joins and minima each, a number of rounds that
-    grows with the logarithm of the longest chain. Only counts come to the driver.
+    grows with the logarithm of the longest chain. Only counts come to the driver. Nodes with so many
+    edges that they would fill a task are HUBS at most; they are broadcast and their edges stay where they are.
     """
     edges = checkpoint(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = None
+    before, n = None, edges.count()
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree"))
+        many = max(1000, 2 * n // HUBS)
+        hubs = F.broadcast(least.filter(F.col("degree") > many).select("u", "m"))
+        few = both.join(hubs.select("u"), "u", "left_anti").join(least.filter(F.col("degree") <= many).select("u", "m"), "u")
+        large = both.join(hubs, "u").unionByName(few).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         edges = checkpoint(small.filter("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, n = now, now[0]
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = edges.groupBy("u").agg(F.min("v").alias("root"))
     return roots.select(F.col("u").alias("id"), "root").unionByName(roots.select(F.col("root").alias("id"), "root").distinct())
 
@@ -178,21 +194,21 @@ def in_bounds(df: DataFrame, rows: int, bytes_a_row: int = 64) -> DataFrame:
     return F.broadcast(df) if rows * bytes_a_row <= BROADCAST else df
 
 
-def verified(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES, pairs: bool = False) -> DataFrame:
-    """One row for each row of docs: doc_id, class_id, copy_of, n_links; with pairs: rep_a, rep_b, jaccard of linked representatives."""
-    spark = docs.sparkSession
-    bands, rows = choose_bands(threshold, recall, hashes)
-    marked = checkpoint(signatures(docs, bands, rows))
-    empty_id = -1 - F.shiftrightunsigned(F.col("sig_a"), 1)
-    classes = marked.groupBy("sig_a", "sig_b").agg(F.min("doc_id").cast("long").alias("least"), F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes"), F.first("bands").alias("bands"))
-    classes = checkpoint(classes.select("sig_a", "sig_b", F.coalesce("least", empty_id).alias("rep"), "copies", "n_bytes", "bands"))
+def classes_of(marked: DataFrame) -> DataFrame:
+    """One row for each signature: rep (a number of its own), keep (its first row by doc_id and text), least (its smallest doc_id), copies, n_bytes, raw, bands."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("raw"))).alias("keep")
+    found = marked.groupBy("sig_a", "sig_b").agg(first, F.min("doc_id").cast("long").alias("least"), F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes"), F.first("bands").alias("bands"))
+    return checkpoint(found.select("*", F.col("keep.raw").alias("raw"), F.monotonically_increasing_id().alias("rep")))
+
 
+def cells_of(docs: DataFrame, classes: DataFrame):
+    """Classes that share a band with another, with one text each, grouped in cells of bounded size; and whether a component has several cells."""
     banded = classes.select("rep", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("other")).filter("hub <> other").select("band", "hub")
     edges = banded.join(hubs, "band").select(F.col("rep").alias("u"), F.col("hub").alias("v"))
     found = checkpoint(components(edges))
 
-    members = found.join(classes.select("sig_a", "sig_b", "rep", "copies", "n_bytes"), found["id"] == classes["rep"]).drop("id")
+    members = found.join(classes.select("rep", "raw", "copies", "n_bytes"), found["id"] == classes["rep"]).drop("id")
     sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("total"))
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / BLOCK_BYTES), F.lit(1)).cast("int")
     members = checkpoint(members.join(sizes.select("root", "n", "total", blocks.alias("blocks")), "root"))
@@ -200,31 +216,78 @@ def verified(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECA
     packs = max(1, -(-whole[0] // (BLOCK // 2)), -(-whole[1] // (BLOCK_BYTES // 2)))
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("other")
-    spread = members.select("sig_a", "sig_b", "rep", F.col("root").alias("comp"), "copies", "blocks", block.alias("block"), other)
+    spread = members.select("raw", "rep", F.col("root").alias("comp"), "copies", "blocks", block.alias("block"), other)
     alone = F.col("other") == -1
     spread = spread.select(
-        "sig_a", "sig_b", "rep", "comp", "copies",
+        "raw", "rep", "comp", "copies",
         F.when(alone, F.pmod(F.xxhash64("comp"), F.lit(packs))).otherwise(F.col("comp")).alias("pack"),
         F.when(alone, -1).otherwise(F.least("block", "other")).alias("row_"), F.when(alone, -1).otherwise(F.greatest("block", "other")).alias("col_"),
         F.when(alone | (F.col("block") == F.col("other")), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
     )
 
-    # one text for each member: the document that the representative is named after
-    keyed = docs.select(F.col("doc_id").cast("long").alias("rep_"), F.col("text"))
-    wanted = members.select("rep").filter("rep is not null")
-    kept = keyed.join(in_bounds(wanted, whole[0]), F.col("rep_") == F.col("rep"), "left_semi")
-    texts = kept.groupBy("rep_").agg(F.first("text").alias("text"))
-    cells = spread.join(texts, F.col("rep") == F.col("rep_")).select("pack", "row_", "col_", "comp", "rep", "copies", "side", "text").groupBy("pack", "row_", "col_")
-    if pairs:
-        return cells.applyInPandas(lambda c: verify_cell(c, threshold, True), "rep_a bigint, rep_b bigint, jaccard double")
+    # one text for each member, found again by the identity of the text
+    keyed = docs.select(raw_hash().alias("raw_"), F.coalesce("text", F.lit("")).alias("text"))
+    kept = keyed.join(in_bounds(members.select("raw"), whole[0]), F.col("raw_") == F.col("raw"), "left_semi")
+    texts = kept.groupBy("raw_").agg(F.first("text").alias("text"))
+    cells = spread.join(texts, F.col("raw") == F.col("raw_")).select("pack", "row_", "col_", "comp", "rep", "copies", "side", "text").groupBy("pack", "row_", "col_")
+    return cells, whole[2] is not None and whole[2] > 1
+
+
+def linked_pairs(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> DataFrame:
+    """rep_a, rep_b (signatures' first doc_ids, the smaller first) and jaccard of the linked pairs of different texts; a null id where a text has none."""
+    classes = classes_of(checkpoint(signatures(docs, *choose_bands(threshold, recall, hashes))))
+    cells, _ = cells_of(docs, classes)
+    found = cells.applyInPandas(lambda c: verify_cell(c, threshold, True), "rep_a bigint, rep_b bigint, jaccard double").toDF("a", "b", "jaccard")
+    named = classes.select("rep", "least")
+    both = found.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b")
+    return both.select(F.least("x", "y").alias("rep_a"), F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.greatest("x", "y")).alias("rep_b"), "jaccard")
+
+
+def grouped(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[DataFrame, DataFrame]:
+    """The marked rows (doc_id, raw, sig_a, sig_b), and for each signature: class_id, copy_of, n_links, keep (the row that stands for its class), n_rows of the class."""
+    marked = checkpoint(signatures(docs, *choose_bands(threshold, recall, hashes)))
+    classes = classes_of(marked)
+    cells, several = cells_of(docs, classes)
     checked = checkpoint(cells.applyInPandas(lambda c: verify_cell(c, threshold), "rep bigint, links bigint, root bigint"))
     links = checked.groupBy("rep").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
-    if whole[2] is not None and whole[2] > 1:  # a component of many cells: its classes meet across them
+    if several:  # a component of many cells: its classes meet across them
         joined = components(checked.select(F.col("rep").alias("u"), F.col("root").alias("v")))
         links = links.drop("root").join(joined, links["rep"] == joined["id"], "left").select("rep", "links", F.coalesce("root", "rep").alias("root"))
-    known = classes.select("sig_a", "sig_b", F.col("rep").alias("copy_of"), "copies").join(links, F.col("copy_of") == F.col("rep"), "left")
-    known = known.select("sig_a", "sig_b", "copy_of", F.coalesce("root", "copy_of").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return marked.select("doc_id", "sig_a", "sig_b").join(known, ["sig_a", "sig_b"]).select("doc_id", "class_id", "copy_of", "n_links")
+    links = checkpoint(links)
+    nameless = -1 - F.shiftrightunsigned(F.col("sig_a"), 1)
+    slim = classes.select("sig_a", "sig_b", "rep", "keep", "least", nameless.alias("nameless"), "copies")
+    own = slim.join(links, "rep")
+    roots = own.groupBy("root").agg(F.coalesce(F.min("least"), F.min("nameless")).alias("class_id"), F.min("keep").alias("first_row"), F.sum("copies").alias("n_rows"))
+    linked = own.select("rep", "links", "root").join(roots, "root").drop("root")
+    known = slim.join(linked, "rep", "left")
+    own_id = F.coalesce("least", "nameless")
+    known = known.select(
+        "sig_a", "sig_b", own_id.alias("copy_of"), F.coalesce("class_id", own_id).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
+        F.coalesce("first_row", "keep").alias("keep"), F.coalesce("n_rows", "copies").alias("n_rows"),
+    )
+    return marked.select("doc_id", "raw", "sig_a", "sig_b"), known
+
+
+def verified(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> DataFrame:
+    """One row for each row of docs: doc_id, class_id, copy_of, n_links."""
+    marked, known = grouped(docs, threshold, recall, hashes)
+    return marked.join(known, ["sig_a", "sig_b"]).select("doc_id", "class_id", "copy_of", "n_links")
+
+
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> DataFrame:
+    """docs with one row of each class: that with the smallest doc_id (null last), then by text; of rows equal in both, one."""
+    marked, known = grouped(docs, threshold, recall, hashes)
+    rows = marked.join(known.filter("n_rows > 1").select("sig_a", "sig_b", "keep"), ["sig_a", "sig_b"]).groupBy("doc_id", "raw", "keep").agg(F.count("*").alias("n"))
+    stays = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("raw") == F.col("keep.raw"))
+    rows = checkpoint(rows.select(F.col("doc_id").alias("id_"), F.col("raw").alias("raw_"), stays.alias("stays"), "n").filter("not stays or n > 1"))
+    size = rows.count()
+
+    def matching(which: DataFrame, how: str) -> DataFrame:
+        keyed = docs.withColumn("text_id_", raw_hash())
+        return keyed.join(in_bounds(which.select("id_", "raw_"), size), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_id_") == F.col("raw_")), how)
+
+    repeated = matching(rows.filter("stays"), "left_semi").dropDuplicates(["doc_id", "text_id_"])
+    return matching(rows, "left_anti").unionByName(repeated).select(*docs.columns)
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
