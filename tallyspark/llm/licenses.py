@@ -1,14 +1,16 @@
 """Licence scan: a trained paragraph classifier with an unknown class, confirmed against templates.
 
-A text is cut into pieces (lines, and sentences within lines). Features are the words and word pairs of a
-piece that occur in the templates; a softmax regression, trained in numpy on altered template sentences
-and on ordinary ones, gives each piece a probability for each licence family and for "unknown". The
-probabilities are calibrated by one temperature on held-out altered sentences. A family is reported when
-its probability is at least `least` and the piece holds at least `share` of the word pairs of one of the
-family's sentences, in their order.
+A text is cut into paragraphs at blank lines; the lines of a paragraph are joined, without indentation and
+comment marks, so that wrapping does not matter. A paragraph is scanned by its sentences, and a sentence
+over WINDOW words by overlapping windows of so many. Features are the words and word pairs of the templates
+that a window holds (once or more alike); a softmax regression, trained in numpy on altered template
+sentences within ordinary words and on ordinary sentences, gives each window a probability for each licence
+family and for "unknown". The probabilities are calibrated by one temperature on held-out altered sentences.
+A paragraph names a family when one of its windows has a probability of at least `least` for it and holds at
+least `share` of the word pairs of one of the family's sentences, in their order.
 
 The model is fitted on the driver from the sentences below, a fixed few hundred features, and broadcast.
-Every piece of every text is classified, whole.
+Every window of every text is classified, whole.
 
 Defined results: a null or empty text has no licence (families is an empty array, license null). Ties
 between families go to the first by name. Repeated rows give equal rows. Columns of other names pass.
@@ -30,23 +32,30 @@ from .common import table, text_of
 
 EDGE = ".,;:!?|()[]{}<>\"'`*#$%&_"
 UNKNOWN = "unknown"
+#: Words in a window of a long sentence; windows start at every half of it.
+WINDOW = 64
+#: Marks that begin a line of a comment or a quotation.
+PREFIX = r"(\A|\n)[ \t]*(?:(?://+|/\*+|\*+/?|#+|;+|--+|%+|>+|<!--+)[ \t]*)*"
 
 # Licence families and sentences by which their notices are known.
+GNU = "you can redistribute it and or modify it under the terms of the gnu {} as published by the free software foundation either version {} of the license or at your option any later version"
 TEMPLATES = {
-    "agpl": ["licensed under the gnu affero general public license version 3", "released under the agpl 3.0", "under the terms of the gnu affero general public license as published by the free software foundation"],
-    "apache-2.0": ["licensed under the apache license version 2.0", "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license", "apache license version 2.0 january 2004", "released under the apache 2.0 license", "spdx-license-identifier apache-2.0"],
-    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "released under the bsd 3-clause license", "licensed under the bsd license", "distributed under the 2-clause bsd license"],
-    "cc-by": ["licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license", "released under the creative commons attribution license"],
-    "cc-by-nc": ["licensed under cc by-nc 4.0", "this work is licensed under a creative commons attribution-noncommercial 4.0 international license", "licensed under cc by-nc-sa 4.0"],
-    "cc-by-sa": ["licensed under cc by-sa 4.0", "this work is licensed under a creative commons attribution-sharealike 4.0 international license", "text is available under the creative commons attribution-sharealike license"],
-    "cc0": ["to the extent possible under law the author has waived all copyright and related rights to this work", "released under cc0 1.0 universal public domain dedication", "dedicated to the public domain under cc0"],
-    "gpl-2.0": ["this program is licensed under the gnu general public license version 2", "licensed under the gnu gpl version 2 only", "released under gpl 2.0"],
-    "gpl-3.0": ["this work is licensed under the gnu general public license version 3", "licensed under the gnu gpl version 3 or later", "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", "released under gpl 3.0"],
-    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "released under the isc license"],
-    "lgpl": ["licensed under the gnu lesser general public license version 3", "under the terms of the gnu lesser general public license", "released under the lgpl 2.1"],
-    "mit": ["released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"],
-    "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2.0", "licensed under the mozilla public license version 2.0", "released under the mpl 2.0"],
-}
+    "agpl": ["licensed under the gnu affero general public license version 3", "released under the agpl 3.0", "under the terms of the gnu affero general public license as published by the free software foundation", GNU.format("affero general public license", "3"), "spdx-license-identifier agpl-3.0-only"],
+    "apache-2.0": ["licensed under the apache license version 2.0", "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license", "apache license version 2.0 january 2004", "released under the apache 2.0 license", "spdx-license-identifier apache-2.0",
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied"],
+    "bsd": ["redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "released under the bsd 3-clause license", "licensed under the bsd license", "distributed under the 2-clause bsd license", "spdx-license-identifier bsd-3-clause", "spdx-license-identifier bsd-2-clause",
+        "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"],
+    "cc-by": ["licensed under cc by 4.0", "this work is licensed under a creative commons attribution 4.0 international license", "released under the creative commons attribution license", "spdx-license-identifier cc-by-4.0"],
+    "cc-by-nc": ["licensed under cc by-nc 4.0", "this work is licensed under a creative commons attribution-noncommercial 4.0 international license", "licensed under cc by-nc-sa 4.0", "spdx-license-identifier cc-by-nc-4.0"],
+    "cc-by-sa": ["licensed under cc by-sa 4.0", "this work is licensed under a creative commons attribution-sharealike 4.0 international license", "text is available under the creative commons attribution-sharealike license", "spdx-license-identifier cc-by-sa-4.0"],
+    "cc0": ["to the extent possible under law the author has waived all copyright and related rights to this work", "released under cc0 1.0 universal public domain dedication", "dedicated to the public domain under cc0", "spdx-license-identifier cc0-1.0"],
+    "gpl-2.0": ["this program is licensed under the gnu general public license version 2", "licensed under the gnu gpl version 2 only", "released under gpl 2.0", GNU.format("general public license", "2"), "spdx-license-identifier gpl-2.0-only"],
+    "gpl-3.0": ["this work is licensed under the gnu general public license version 3", "licensed under the gnu gpl version 3 or later", GNU.format("general public license", "3"), "released under gpl 3.0", "spdx-license-identifier gpl-3.0-or-later"],
+    "isc": ["permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "released under the isc license", "spdx-license-identifier isc"],
+    "lgpl": ["licensed under the gnu lesser general public license version 3", "under the terms of the gnu lesser general public license", "released under the lgpl 2.1", GNU.format("lesser general public license", "2.1"), "spdx-license-identifier lgpl-2.1-only"],
+    "mit": ["released under the mit license", "licensed under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "spdx-license-identifier mit"],
+    "mpl-2.0": ["this source code form is subject to the terms of the mozilla public license v 2.0", "licensed under the mozilla public license version 2.0", "released under the mpl 2.0", "if a copy of the mpl was not distributed with this file you can obtain one at", "spdx-license-identifier mpl-2.0"],
+}
 
 # Sentences that hold the same words and are no licences.
 ORDINARY = """
@@ -62,14 +71,30 @@ it was as hot in may as in july|and so it is with the version of the story that
 """.replace("\n", "|")
 
 
-def pieces_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Lines and their sentences of all texts, laid end to end, and the texts' offsets in them."""
-    cut = texts.fill_null("")
+def pieces_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Sentences of all paragraphs, laid end to end; the paragraphs' offsets in them; and the texts' offsets in the paragraphs."""
+    cut = pc.replace_substring(pc.replace_substring(texts.fill_null(""), "\r\n", "\n"), "\r", "\n")
+    cut = pc.replace_substring(pc.replace_substring_regex(cut, PREFIX, "\\1"), "/", " ")
+    paragraphs = pc.split_pattern(cut, "\n\n")
+    joined = pc.replace_substring(paragraphs.flatten(), "\n", " ")
     for mark in (". ", "! ", "? "):
-        cut = pc.replace_substring(cut, mark, mark[0] + "\n")
-    lists = pc.split_pattern(cut, "\n")
-    offsets = np.asarray(lists.offsets, dtype=np.int64)
-    return lists.flatten(), offsets - offsets[0]
+        joined = pc.replace_substring(joined, mark, mark[0] + "\n")
+    sentences = pc.split_pattern(joined, "\n")
+    of, at = (np.asarray(x.offsets, dtype=np.int64) for x in (sentences, paragraphs))
+    return sentences.flatten(), of - of[0], at - at[0]
+
+
+def windows_of(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the words of all windows, laid end to end, the windows' offsets in them and the sentence of each."""
+    sizes = np.diff(offsets)
+    half = WINDOW // 2
+    n = np.where(sizes <= WINDOW, 1, -(-(sizes - WINDOW) // half) + 1)
+    sentence = np.repeat(np.arange(len(sizes)), n)
+    shift = (np.arange(len(sentence)) - np.repeat(np.cumsum(n) - n, n)) * half
+    begin = offsets[:-1][sentence] + shift
+    length = np.minimum(begin + WINDOW, offsets[1:][sentence]) - begin
+    ends = np.cumsum(length)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begin - (ends - length), length), np.concatenate([[0], ends]), sentence
 
 
 def clean(text: str) -> list[str]:
@@ -104,10 +129,11 @@ class Classifier:
         owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         for places, weights in ((ids, self.word_weights), (pair, self.pair_weights)):
             hit = np.flatnonzero(places >= 0)
-            if len(hit):
-                rows = owner[hit]
+            if len(hit):  # a feature counts once in a window, as in training
+                once = np.unique(owner[hit] * len(weights) + places[hit])
+                rows = once // len(weights)
                 starts = np.flatnonzero(np.diff(rows, prepend=-1))
-                out[rows[starts]] += np.add.reduceat(weights[places[hit]], starts, axis=0)
+                out[rows[starts]] += np.add.reduceat(weights[once % len(weights)], starts, axis=0)
         return out
 
     def probabilities(self, ids: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -116,39 +142,48 @@ class Classifier:
         return z / z.sum(axis=1, keepdims=True)
 
     def confirmed(self, family: int, codes: np.ndarray, share: float) -> bool:
-        """Whether enough of one sentence's pairs stand in the piece, in order."""
+        """Whether enough of one sentence's pairs stand in the window, in order: their longest common subsequence, bit by bit."""
         for of, wanted in self.sentences:
             if of != family:
                 continue
-            need, at, met = share * len(wanted), 0, 0
-            where = {c: i for i, c in enumerate(wanted.tolist())}
+            where: dict[int, int] = {}
+            for i, c in enumerate(wanted.tolist()):
+                where[c] = where.get(c, 0) | 1 << i
+            full = free = (1 << len(wanted)) - 1
             for c in codes.tolist():
-                i = where.get(c, -1)
-                if i >= at:
-                    at, met = i + 1, met + 1
-            if met >= need:
+                if m := where.get(c):
+                    u = free & m
+                    free = ((free + u) | (free - u)) & full
+            if len(wanted) - free.bit_count() >= share * len(wanted):
                 return True
         return False
 
 
 @cache
-def trained(copies: int = 40, rounds: int = 400, seed: int = 0) -> Classifier:
+def trained(copies: int = 30, rounds: int = 300, seed: int = 0) -> Classifier:
     """Fit on altered template sentences and ordinary ones; a quarter of the alterations is kept for the temperature."""
     rng = np.random.default_rng(seed)
     families = [*sorted(TEMPLATES), UNKNOWN]
     vocabulary = {w: i for i, w in enumerate(sorted({w for ss in TEMPLATES.values() for s in ss for w in clean(s)}))}
     n = len(vocabulary)
     known = sorted(vocabulary)
+    ordinary = [clean(s) for s in ORDINARY.split("|") if s.strip()]
+
+    def around() -> list[str]:
+        words = ordinary[int(rng.integers(len(ordinary)))] + ["x"] * 10
+        return [str(w) for w in rng.choice(words, int(rng.integers(0, 16)))] if rng.random() < 0.6 else []
+
+    held = [{w for t in TEMPLATES[f] for w in clean(t)} for f in families[:-1]]
+    telling = {w for w in vocabulary if sum(w in h for h in held) == 1}  # without these an altered sentence may be another family's
     rows: list[tuple[list[str], int]] = []
     for k, family in enumerate(families[:-1]):
         for sentence in TEMPLATES[family]:
             words = clean(sentence)
             rows.append((words, k))
             for _ in range(copies):
-                some = [w for w in words if rng.random() > 0.08]
-                front, back = (["x"] * int(rng.integers(0, 6)) for _ in range(2))
+                some = [w for w in words if w in telling or w.isdigit() or rng.random() > 0.08]
+                front, back = (around() for _ in range(2))
                 rows.append((front + some + back, k))
-    ordinary = [clean(s) for s in ORDINARY.split("|") if s.strip()]
     for words in ordinary:
         rows += [([w for w in words if rng.random() > 0.1], len(families) - 1) for _ in range(copies // 2)]
     for _ in range(copies * 25):
@@ -188,29 +223,32 @@ def trained(copies: int = 40, rounds: int = 400, seed: int = 0) -> Classifier:
 
 
 def scan_batch(model: Classifier, texts: pa.Array, least: float, share: float) -> pa.Array:
-    pieces, ends = pieces_of(texts)
-    words = pc.ascii_split_whitespace(pc.utf8_lower(pieces))
+    sentences, of, at = pieces_of(texts)
+    words = pc.ascii_split_whitespace(pc.utf8_lower(sentences))
+    known = pa.array(list(model.vocabulary), pa.string())
+    ids = np.asarray(pc.index_in(pc.utf8_trim(words.flatten(), characters=EDGE), value_set=known).fill_null(-1), dtype=np.int64)
     offsets = np.asarray(words.offsets, dtype=np.int64)
-    coded = words.flatten().dictionary_encode()
-    ids = np.array([model.vocabulary.get(w.strip(EDGE), -1) for w in coded.dictionary.to_pylist()], dtype=np.int64)
-    flat = ids[np.asarray(coded.indices)] if len(coded) else np.zeros(0, np.int64)
-    offsets = offsets - offsets[0]
+    places, offsets, sentence = windows_of(offsets - offsets[0])
+    flat = ids[places]
     chance = model.probabilities(flat, offsets)
     best = chance[:, :-1].argmax(axis=1)
     sure = np.flatnonzero(chance[np.arange(len(best)), best] >= least)
-    found: dict[int, list] = {}
+    found: dict[int, dict] = {}
     _, codes = model.features(flat, offsets)
     for i in sure.tolist():
         own = codes[offsets[i] : offsets[i + 1]]
         if model.confirmed(int(best[i]), own, share):
-            doc = int(np.searchsorted(ends, i, side="right")) - 1
-            found.setdefault(doc, []).append((model.families[best[i]], float(chance[i, best[i]]), i - int(ends[doc])))
-    out = [sorted(found.get(d, []), key=lambda x: x[2]) for d in range(len(texts))]
-    return pa.array([[{"family": f, "probability": p, "piece": k} for f, p, k in row] for row in out], pa.list_(pa.struct([("family", pa.string()), ("probability", pa.float64()), ("piece", pa.int32())])))
+            paragraph = int(np.searchsorted(of, sentence[i], side="right")) - 1
+            doc = int(np.searchsorted(at, paragraph, side="right")) - 1
+            key = (paragraph - int(at[doc]), model.families[best[i]])
+            mine = found.setdefault(doc, {})
+            mine[key] = max(mine.get(key, 0.0), float(chance[i, best[i]]))
+    out = [[{"family": f, "probability": p, "piece": k} for (k, f), p in sorted(found.get(d, {}).items())] for d in range(len(texts))]
+    return pa.array(out, pa.list_(pa.struct([("family", pa.string()), ("probability", pa.float64()), ("piece", pa.int32())])))
 
 
 def scan(df: DataFrame, text: str = "text", out: str = "notices", least: float = 0.5, share: float = 0.7) -> DataFrame:
-    """df with an array of (family, probability, piece): the confirmed notices of the whole text, in order."""
+    """df with an array of (family, probability, piece: the paragraph): the confirmed notices of the whole text, in order."""
     shared = df.sparkSession.sparkContext.broadcast(trained())
 
     @arrow_udf("array<struct<family:string,probability:double,piece:int>>")
