@@ -4,7 +4,8 @@ Lines are normalised (lower case, digits alike, white space collapsed) and hashe
 column source) the engine counts the distinct documents that hold a line; exact copies of a text on a
 host count once, so that a much-copied document is not taken for boilerplate. A line above the limit,
 max(least, share * distinct documents of the host), is removed; a document that keeps less than `remain`
-of its words is depleted and rejected.
+of its words is depleted and rejected. judge() measures, kept() gives the documents that pass, without
+their frequent lines.
 
 DataFrame and SQL functions only. Line hashes of the distinct texts are the one thing shuffled (16 bytes
 a line); counting is by (host, line), so a host with a third of all rows spreads over all tasks, and
@@ -63,14 +64,17 @@ def base_rules(text: str = "text") -> dict[str, Column]:
     }
 
 
+#: SQL for the normalised form of a line l.
+NORMAL = "btrim(regexp_replace(translate(lower(l), '123456789', '000000000'), '[\\\\x20\\\\x09-\\\\x0D]+', ' '))"
+
+
 def hashed_lines(text: str = "text") -> Column:
     """Array of (hash of the normalised line, number of its words) for the lines with a word."""
-    normal = f"btrim(regexp_replace(translate(lower(l), '123456789', '000000000'), '[\\\\x20\\\\x09-\\\\x0D]+', ' '))"
-    return F.expr(f"transform(filter(split(coalesce({text}, ''), '\\n', -1), l -> btrim(l, {BLANKS}) <> ''), l -> struct(xxhash64({normal}) as h, size({words('l')}) as n))")
+    return F.expr(f"transform(filter(split(coalesce({text}, ''), '\\n', -1), l -> btrim(l, {BLANKS}) <> ''), l -> struct(xxhash64({NORMAL}) as h, size({words('l')}) as n))")
 
 
-def depleted_words(docs: DataFrame, share: float = 0.05, least: int = 10) -> DataFrame:
-    """For each distinct (source, text): host, text_hash and removed_words, the words of its lines above the limit."""
+def frequent_lines(docs: DataFrame, share: float, least: int) -> DataFrame:
+    """For each distinct (source, text) its lines above the limit: host, text_hash, h, n (words)."""
     texts = docs.select(F.col("source").alias("host"), text_hash().alias("text_hash"), hashed_lines().alias("lines"))
     texts = checkpoint(texts.groupBy("host", "text_hash").agg(F.first("lines").alias("lines")))
     held = texts.select("host", F.explode(F.array_distinct(F.col("lines.h"))).alias("h")).groupBy("host", "h").agg(F.count("*").alias("n"))
@@ -78,8 +82,7 @@ def depleted_words(docs: DataFrame, share: float = 0.05, least: int = 10) -> Dat
     frequent = held.filter(F.col("n") > least).join(hosts, F.col("host").eqNullSafe(F.col("of"))).filter(F.col("n") > F.col("n_texts") * share)
     frequent = frequent.select(F.col("host").alias("of"), F.col("h").alias("line"))
     lines = texts.select("host", "text_hash", F.inline("lines"))
-    hit = lines.join(frequent, F.col("host").eqNullSafe(F.col("of")) & (F.col("h") == F.col("line")), "left_semi")
-    return hit.groupBy("host", "text_hash").agg(F.sum("n").alias("removed_words"))
+    return lines.join(frequent, F.col("host").eqNullSafe(F.col("of")) & (F.col("h") == F.col("line")), "left_semi")
 
 
 def text_hash() -> Column:
@@ -88,14 +91,15 @@ def text_hash() -> Column:
 
 
 def verdicts(docs: DataFrame, share: float, least: int, remain: float, *columns: str) -> DataFrame:
-    """docs' columns (those named), with the measures, removed_words, base_failed and keep_."""
+    """docs' columns (those named), with the measures, removed_words, the hashes of the removed lines, base_failed and keep_."""
     measured = docs.select(*columns, F.col("source").alias("host_"), text_hash().alias("text_"), *[c.alias(n + "_") for n, c in base_rules().items()])
-    removed = depleted_words(docs, share, least)
+    lines = F.collect_set("h") if "text" in columns else F.lit(None)
+    removed = frequent_lines(docs, share, least).groupBy("host", "text_hash").agg(F.sum("n").alias("removed_words"), lines.alias("lines_"))
     joined = measured.join(removed, F.col("host_").eqNullSafe(F.col("host")) & (F.col("text_") == F.col("text_hash")), "left")
     n_words, repeat = F.col("measured_.n_words"), F.col("measured_.n_repeat_words")
     gone = F.coalesce("removed_words", F.lit(0).cast("long"))
     failed = (n_words < 50) | (repeat * 100 > n_words * 50)
-    return joined.select(*columns, *[F.col(n + "_") for n in base_rules()], gone.alias("gone_"), failed.alias("failed_"), (~failed & (n_words - gone >= n_words * remain)).alias("keep_"))
+    return joined.select(*columns, "lines_", *[F.col(n + "_") for n in base_rules()], gone.alias("gone_"), failed.alias("failed_"), (~failed & (n_words - gone >= n_words * remain)).alias("keep_"))
 
 
 def judge(docs: DataFrame, share: float = 0.05, least: int = 10, remain: float = 0.5) -> DataFrame:
@@ -108,9 +112,11 @@ def judge(docs: DataFrame, share: float = 0.05, least: int = 10, remain: float =
 
 
 def kept(docs: DataFrame, share: float = 0.05, least: int = 10, remain: float = 0.5) -> DataFrame:
-    """The rows of docs that pass, with their columns."""
+    """The rows of docs that pass, with their columns; text is without its lines above the limit."""
     names = docs.columns
-    return verdicts(docs, share, least, remain, *names).filter("keep_").select(*names)
+    rest = F.expr(f"array_join(filter(split(text, '\\n', -1), l -> btrim(l, {BLANKS}) = '' or not array_contains(lines_, xxhash64({NORMAL}))), '\\n')")
+    passed = verdicts(docs, share, least, remain, *names).filter("keep_")
+    return passed.withColumn("text", F.when(F.col("lines_").isNull(), F.col("text")).otherwise(rest)).select(*names)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
