@@ -5,11 +5,15 @@ costs) the log odds, learned from the same pages, that words under its open elem
 id names belong to the article. One linear scan finds the contiguous run with the highest sum; blocks
 inside the run whose words cost (adverts, notices, forms, reader comments) are left out.
 
-Weights come from LABELLED, a few small pages written down here with their article blocks.
+Weights come from LABELLED, a few small pages written down here with their article blocks. A header inside
+an article is a feature of its own: what it holds is the article's headline, not the site's.
 
 Defined results: a null or empty html, or one without an earning word, gives the empty text. Unclosed
 and stray tags are tolerated (an end tag without its start is ignored; an unclosed script or style runs
-to the end). Nothing is capped. Columns of other names pass through; outputs replace equal names.
+to the end; a page title ends where the body begins; a "<" that opens no tag is text). Reading is linear in
+the page, however deep or broken it is: a tag ends before the next "<" outside quotes, end tags without a
+start are known by a count, and elements pass on only features that have a weight. Nothing is capped.
+Columns of other names pass through; outputs replace equal names.
 """
 
 from __future__ import annotations
@@ -34,12 +38,15 @@ BLOCK = frozenset(
     "table tbody td tfoot th thead tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = ("script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "math", "canvas")
-#: Elements that stand apart from an article by their meaning: their words never earn, whatever else they are in.
-APART = frozenset(["header", "footer", "nav", "aside", "form", "menu", "dialog", "button", "select", "label"])
+RAW = ("script", "style")
+#: Elements of which each stands for its kind in training, whatever else it is in.
+APART = frozenset(["header", "footer", "nav", "aside", "form", "menu", "dialog", "button", "select", "label", "textarea", "title", "template", "noscript"])
+#: Elements that carry features: blocks, links and those that are not shown as running text.
+NAMED = BLOCK | {"a", "title", "textarea", "template", "noscript"}
+HEAD = {"head", "title"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][\w:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[^<]++|<", re.S)
 RAW_END = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 PART = re.compile(r"[a-z]+", re.I)
@@ -55,7 +62,7 @@ LABELLED = (
     "<p>+Long text stands here.</p><p>+And <a>+a link</a>+ in text.</p><table><tr><td>+cell</td><td>+value</td></tr></table></div>"
     '<div id="sidebar" class="widget"><ul><li><a>Archive</a></li></ul><p>Popular posts</p></div><div id="comments" class="comments"><h3>Comments</h3><div class="comment"><p>Nice one, I agree</p></div></div>'
     '<div id="footer" class="footer bottom">Legal notice and terms</div>',
-    '<div class="cookie notice consent banner"><p>We use cookies to improve</p><button>Accept</button></div><article class="article story"><header><p>By a writer</p></header><p>+Body text is here.</p>'
+    '<div class="cookie notice consent banner"><p>We use cookies to improve</p><button>Accept</button></div><article class="article story"><header><p>+By a writer</p></header><p>+Body text is here.</p>'
     '<form class="newsletter subscribe signup"><label>Your mail</label><p>Subscribe to our letter</p></form><pre>+code block</pre><p>+End of text.</p>'
     '<section class="comments reader responses" id="comments"><h2>Reader comments</h2><article class="comment"><p>I do not think so</p></article></section></article>'
     '<aside class="related promo recommended"><p>See also this</p></aside>',
@@ -67,6 +74,8 @@ LABELLED = (
     "<header><h2>Daily news</h2><p>All the news of today</p></header><section><h2>+Part one</h2><p>+Plain page text.</p><figure><figcaption>+A caption</figcaption></figure></section>"
     "<section><p>+Other part.</p></section><footer><p>All rights reserved here</p><ul><li><a>Terms</a></li></ul></footer>",
     "<p>+A page of paragraphs only.</p><p>+Second paragraph.</p><div>+Third one.</div>",
+    "<head><title>Name of the page</title></head><body><noscript><p>Please turn scripts on</p></noscript><article><header><h1>+Own headline</h1><p>+Its lead</p></header><p>+Text with <math>+x = y</math>+ in it.</p>"
+    "<object><p>+Words for the picture</p></object><footer><p>Filed under news</p></footer></article><template><p>Fill this in</p></template><textarea>Write here</textarea></body>",
 )
 
 
@@ -78,11 +87,16 @@ def names_of(tag: str, attributes: str) -> frozenset[str]:
     return frozenset(found)
 
 
-def parts(page: str):
-    """The page as ("tag", name) and ("text", characters, features of the open elements, block number)."""
+def parts(page: str, known=None):
+    """The page as ("tag", name) and ("text", characters, features of the open elements, block number). known: features to keep (default: all)."""
     stack: list[tuple[str, frozenset[str]]] = []
     under: frozenset[str] = frozenset()
+    opened: dict[str, int] = {}
     block, at, end = 0, 0, len(page)
+
+    def pop() -> None:
+        opened[stack.pop()[0]] -= 1
+
     while at < end:
         m = TOKEN.match(page, at)
         at = m.end()
@@ -95,9 +109,10 @@ def parts(page: str):
         if name in BLOCK:
             block += 1
         if m[1]:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if k is not None:
-                del stack[k:]
+            if opened.get(name):
+                while stack[-1][0] != name:
+                    pop()
+                pop()
                 under = stack[-1][1] if stack else frozenset()
         elif name in RAW_END:
             close = None if m[3].endswith("/") else RAW_END[name].search(page, at)
@@ -105,10 +120,16 @@ def parts(page: str):
         elif name == "br":
             yield "text", " ", under, block
         elif name not in VOID:
-            while stack and stack[-1][0] in CLOSES.get(name, ()):
-                stack.pop()
-            under = (stack[-1][1] if stack else frozenset()) | (names_of(name, m[3]) if name in BLOCK or name == "a" else frozenset())
+            while stack and (stack[-1][0] in CLOSES.get(name, ()) or (stack[-1][0] in HEAD and name in BLOCK)):
+                pop()
+            under = stack[-1][1] if stack else frozenset()
+            if name in NAMED:
+                found = names_of(name, m[3])
+                if name == "header" and opened.get("article"):
+                    found = found - {"header"} | {"header-of-article"}
+                under = under | (found if known is None else found & known)
             stack.append((name, under))
+            opened[name] = opened.get(name, 0) + 1
 
 
 @cache
@@ -127,7 +148,7 @@ def weights() -> tuple[dict[str, float], float, dict[str, float]]:
                 labels.append(float(content))
     for row, label in list(zip(rows, labels, strict=True)):
         tags = frozenset(f for f in row if f[0] != ".")
-        alone = [tags | {f} for f in row if f[0] == "."] + ([tags] if tags & APART else [])
+        alone = [tags | {f} for f in row if f[0] == "."] + [frozenset({f}) for f in tags & APART]
         for one in [row] if label else [row, *alone]:  # each sign of what is no article counts by itself; both kinds stand in all surroundings
             rows += [one, one | {"article", "p"}, one | {"article", "section", "p"}, one | {"div", ".content"}, one | {"div", "p"}]
             labels += [label] * 5
@@ -153,7 +174,7 @@ def extract(page: str | None) -> str:
     worth: dict[frozenset[str], float] = {}
     scores: list[float] = []
     pieces: list[tuple[str, int] | None] = []
-    page_parts = list(parts(page))
+    page_parts = list(parts(page, odds.keys()))
     plain = {part[3] for part in page_parts if part[0] == "text" and "a" not in part[2] and part[1].strip()}
     for part in page_parts:
         if part[0] == "tag":
@@ -165,7 +186,7 @@ def extract(page: str | None) -> str:
             under = under - {"a"}
         each = worth.get(under)
         if each is None:
-            total = -1.0 if under & APART else bias + sum([odds.get(f, 0.0) for f in under])
+            total = bias + sum([odds.get(f, 0.0) for f in under])
             each = worth[under] = min(2.0, total) if total > 0 else -0.25
         n = len(text.split())
         scores.append(each * n if each > 0 else max(-2.5, each * n))
