@@ -1,19 +1,18 @@
 """Sharding by histogram sort: shards of nearly equal bytes, one exchange.
 
-Rows are ordered by (hash of the text, doc_id): equal texts are neighbours, and only a group larger than
-a shard is cut, by doc_id. Splitters are found by counting: each round counts the exact bytes and rows
-below a few candidate boundaries for every open splitter (one aggregation over the slim, checkpointed
-keys, a handful of rows to the driver), shrinks the splitter's bracket to the keys that are really there
-and interpolates anew, until each splitter is within `tolerance` of its target or no boundary is nearer.
-Rows are then exchanged once, by the range they fall in; exact counts below each range make the slots
-of a shard gapless.
+Rows are ordered by (hash of the text, doc_id, a number of the row): equal texts are neighbours, and only a
+group larger than a shard is cut, by doc_id and then anywhere. Splitters are found by counting: each round
+counts the exact bytes and rows below a few candidate boundaries for every open splitter (one aggregation
+over the slim, checkpointed keys, a handful of rows to the driver), shrinks the splitter's bracket to the
+keys that are really there and interpolates anew, until each splitter is within `tolerance` of its target or
+no boundary is nearer. Rows are then exchanged once, by shard and, where a shard has more rows than a task
+should sort, by a hash of the whole key; counts of these parts make the slots of a shard gapless.
 
-DataFrame and SQL functions only. A range is a shard or, in a large table, one of `fine` parts of it, so
-that no task sorts a whole shard.
+DataFrame and SQL functions only.
 
 Defined results: a null text counts as empty (size 1, crc32 0); a null doc_id sorts first; rows equal in
-text and doc_id are not told apart and stay together; an empty table gives an empty result. Columns of
-other names pass through; size, text_crc32, law, shard, slot and grown_shard replace equal names.
+text and doc_id are cut like any others; an empty table gives an empty result. Columns of other names pass
+through; size, text_crc32, law, shard, slot and grown_shard replace equal names.
 """
 
 from __future__ import annotations
@@ -36,21 +35,25 @@ def size_and_crc(text: str = "text") -> dict[str, Column]:
 
 
 def keyed(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with size, text_crc32 and the sort key key_h, key_d."""
-    key = {"key_h": F.xxhash64(text_of(text)), "key_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW))}
+    """df with size, text_crc32 and the sort key key_h, key_d, key_r; to be checkpointed, as rows are numbered as they come."""
+    key = {"key_h": F.xxhash64(text_of(text)), "key_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)), "key_r": F.monotonically_increasing_id()}
     return df.withColumns(size_and_crc(text) | key)
 
 
 def place(bounds: list[int]) -> Column:
-    """How many of the boundaries (128-bit keys) are at most the row's key."""
+    """How many of the boundaries (192-bit keys) are at most the row's key."""
     if not bounds:
         return F.lit(0)
-    probes = F.array(*[F.struct(F.lit(b // SPAN + LOW).cast("long").alias("h"), F.lit(b % SPAN + LOW).cast("long").alias("d")) for b in bounds])
-    return F.size(F.filter(probes, lambda p: (p["h"] < F.col("key_h")) | ((p["h"] == F.col("key_h")) & (p["d"] <= F.col("key_d")))))
+    probes = ", ".join("struct({}, {}, {})".format(*[long_sql(x + LOW) for x in (b // SPAN // SPAN, b // SPAN % SPAN, b % SPAN)]) for b in bounds)
+    return F.expr(f"size(filter(array({probes}), p -> p <= struct(key_h, key_d, key_r)))")
 
 
-def packed(h: int, d: int) -> int:
-    return (h - LOW) * SPAN + (d - LOW)
+def long_sql(x: int) -> str:
+    return f"{x}L" if x > LOW else f"({x + 1}L - 1L)"
+
+
+def packed(h: int, d: int, r: int) -> int:
+    return ((h - LOW) * SPAN + (d - LOW)) * SPAN + (r - LOW)
 
 
 class Splitter:
@@ -97,33 +100,33 @@ class Splitter:
             self.high = most + 1
 
 
-def splitters(keys: DataFrame, shards: int, tolerance: float, fine: int, rounds: int = 200) -> tuple[list[tuple[int, int, int]], int]:
-    """Boundaries of shards * fine ranges, each with exact bytes and rows below it; and the rows of all."""
-    whole = keys.agg(F.sum("size"), F.count("*"), F.min("key_h"), F.max("key_h"), F.max("size")).first()
+def splitters(keys: DataFrame, shards: int, tolerance: float, rounds: int = 200) -> tuple[list[tuple[int, int, int]], int]:
+    """Boundaries of the shards, each with exact bytes and rows below it; and the rows of all."""
+    whole = keys.agg(F.sum("size"), F.count("*"), F.min("key_h"), F.max("key_h")).first()
     total, rows = whole[0] or 0, whole[1]
     if not rows:
         return [], 0
-    low, high = packed(whole[2], LOW), packed(whole[3], -LOW - 1) + 1
-    sought = []
-    for j in range(1, shards * fine):
-        slack = tolerance * total / shards if j % fine == 0 else 0.2 * total / (shards * fine)
-        sought.append(Splitter(total * j / (shards * fine), slack, low, high, total, rows))
+    most = -LOW - 1
+    low, high = packed(whole[2], LOW, LOW), packed(whole[3], most, most) + 1
+    sought = [Splitter(total * j / shards, tolerance * total / shards, low, high, total, rows) for j in range(1, shards)]
+    ends = [f(k) for k in ("key_h", "key_d", "key_r") for f in (F.min, F.max)]
     for _ in range(rounds):
         active = [s for s in sought if s.open()]
         if not active:
-            break
-        probes = sorted({p for s in active for p in s.probes()})
-        counted = keys.groupBy(place(probes).alias("cell")).agg(F.sum("size"), F.count("*"), F.min("key_h"), F.max("key_h"), F.min("key_d"), F.max("key_d"))
+            return [s.best() for s in sought], rows
+        probes = sorted({p for s in active for p in [s.low, *s.probes(), s.high]})  # the ends of a bracket part its rows from others
+        counted = keys.groupBy(place(probes).alias("cell")).agg(F.sum("size"), F.count("*"), *ends)
         cells = {r[0]: r for r in counted.collect()}  # at most one row more than there are probes
         below, before, sums = 0, 0, []
         for i, p in enumerate(probes):
             if i in cells:
                 below, before = below + cells[i][1], before + cells[i][2]
             sums.append((p, below, before))
-        spans = []
-        for cell in cells.values():
-            one = cell[3] == cell[4]
-            spans.append((packed(cell[3], cell[5] if one else LOW), packed(cell[4], cell[6] if one else -LOW - 1)))
+        spans, edges = [], [low, *probes, high]
+        for cell, (_, _, _, h, h2, d, d2, r, r2) in cells.items():
+            d, d2, one = (d, d2, d == d2) if h == h2 else (LOW, most, False)
+            r, r2 = (r, r2) if one else (LOW, most)
+            spans.append((max(edges[cell], packed(h, d, r)), min(edges[cell + 1] - 1, packed(h2, d2, r2))))
         spans.sort()
         for s in active:
             for found in sums:
@@ -131,26 +134,26 @@ def splitters(keys: DataFrame, shards: int, tolerance: float, fine: int, rounds:
             inside = [(a, b) for a, b in spans if b >= s.low and a < s.high]
             if inside:
                 s.shrink(inside[0][0], inside[-1][1])
-    return [s.best() for s in sought], rows
+    raise RuntimeError(f"splitters did not settle in {rounds} rounds")
 
 
-def assign(df: DataFrame, keys: DataFrame, shards: int = 16, tolerance: float = 0.001, rows_a_range: int = 1_000_000) -> DataFrame:
-    """df (from keyed()) with law, shard, slot and grown_shard. keys: its size, key_h and key_d, cheap to read again and again."""
-    n = keys.count()
-    fine = max(1, min(16, -(-n // (shards * rows_a_range))))
-    found, _ = splitters(keys, shards, tolerance, fine)
-    bounds = [b for b, _, _ in found] if found else []
-    starts = [0] + [r for _, _, r in found]
-    base = [starts[k] - starts[k - k % fine] for k in range(len(starts))]
-    ranged = df.withColumn("range_", place(bounds))
-    order = W.partitionBy("range_").orderBy("key_h", "key_d")
-    slot = F.row_number().over(order) - 1 + F.element_at(F.array(*[F.lit(b).cast("long") for b in base]), F.col("range_") + 1)
-    return ranged.withColumns(
-        {"law": F.lit("bytes"), "slot": slot.cast("long"), "shard": F.floor(F.col("range_") / fine).cast("int"), "grown_shard": F.lit(None).cast("int")}
-    ).drop("range_", "key_h", "key_d")
+def assign(df: DataFrame, keys: DataFrame, shards: int = 16, tolerance: float = 0.001, rows_a_part: int = 1_000_000) -> DataFrame:
+    """df (from keyed(), checkpointed) with law, shard, slot and grown_shard. keys: its size, key_h, key_d and key_r, cheap to read again and again."""
+    found, n = splitters(keys, shards, tolerance)
+    parts = max(1, -(-n // (shards * rows_a_part)))
+    where = {"shard": place([b for b, _, _ in found]).cast("int"), "part_": F.pmod(F.xxhash64("key_h", "key_d", "key_r"), F.lit(parts)).cast("int")}
+    dealt = df.withColumns(where)
+    slot = F.row_number().over(W.partitionBy("shard", "part_").orderBy("key_h", "key_d", "key_r")) - 1
+    if parts > 1:  # a row for each part of a shard
+        counts = keys.withColumns(where).groupBy("shard", "part_").agg(F.count("*").alias("n"))
+        before = F.sum("n").over(W.partitionBy("shard").orderBy("part_")) - F.col("n")
+        counts = counts.select(F.col("shard").alias("s_"), F.col("part_").alias("p_"), before.alias("before_"))
+        dealt = dealt.join(F.broadcast(counts), (F.col("shard") == F.col("s_")) & (F.col("part_") == F.col("p_"))).drop("s_", "p_")
+        slot = slot + F.col("before_")
+    return dealt.withColumns({"law": F.lit("bytes"), "slot": slot.cast("long"), "grown_shard": F.lit(None).cast("int")}).drop("part_", "before_", "key_h", "key_d", "key_r")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's shard of 16: doc_id, size, text_crc32, law, shard, slot, grown_shard."""
     slim = checkpoint(keyed(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"))
-    return assign(slim, slim.select("size", "key_h", "key_d")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    return assign(slim, slim.select("size", "key_h", "key_d", "key_r")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
