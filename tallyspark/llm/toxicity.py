@@ -13,7 +13,7 @@ language with under 20 toxic rows there takes the threshold of all.
 
 Defined results: a null text counts as empty; an empty text gets the score of padding alone; without
 labels of both kinds every score is 0 and nothing is flagged. A doc_id labelled twice counts as toxic if
-one label says so. Columns of other names pass through; outputs replace equal names.
+one label says so; of rows that share a doc_id the first by text is learned from. Columns of other names pass through; outputs replace equal names.
 """
 
 from __future__ import annotations
@@ -187,8 +187,9 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 6000, longest: int = 2
     sample = known.filter("toxic = 1").orderBy(*order).limit(rows // 3).unionByName(known.filter("toxic = 0").orderBy(*order).limit(rows - rows // 3))
     language = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     fitting = docs.select("doc_id", text_of().alias("text"), language.alias("lang")).filter(F.length("text") <= longest)
-    # the sample has at most `rows` rows of two numbers
-    found = fitting.join(F.broadcast(sample), "doc_id").toPandas().drop_duplicates("doc_id").sort_values("doc_id")
+    # the sample has at most `rows` rows of two numbers; of rows that share a doc_id one reaches the driver
+    each = fitting.join(F.broadcast(sample), "doc_id").groupBy("doc_id").agg(F.min(F.struct("text", "lang")).alias("row"), F.max("toxic").alias("toxic"))
+    found = each.select("doc_id", "row.text", "row.lang", "toxic").toPandas().sort_values("doc_id")
     return fit(found["text"].tolist(), found["toxic"].to_numpy(dtype=np.float64), found["lang"].tolist())
 
 
