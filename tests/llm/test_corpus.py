@@ -70,13 +70,22 @@ def test_frequent_lines_deplete(spark):
     assert quality.judge(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_kept_documents_lose_their_frequent_lines(spark):
+    """Lines above the limit go from the text, whatever their digits and blanks; other lines and empty ones stay as they are."""
+    rng = random.Random(4)
+    own = [" ".join(f"p{rng.randint(0, 9999)}" for _ in range(60)) for _ in range(40)]
+    rows = [(i, f"Site menu {i + 10}\n\n{t}\n  SITE   menu 77", "h", "en", 0) for i, t in enumerate(own)] + [(100, own[0], "h", "en", 0), (101, None, "h", "en", 0)]
+    got = {r.doc_id: r.text for r in quality.kept(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: f"\n{t}" for i, t in enumerate(own)} | {100: own[0]}
+
+
 def test_shards_are_even_and_gapless(spark):
     rng = random.Random(2)
     rows = [(i, "same text" if i % 3 == 0 else "x" * rng.randint(0, 400)) for i in range(4000)] + [(None, None), (None, None), (5, "é"), (5, "é")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
     slim = checkpoint(sharding.keyed(df).drop("text"))
     for a_range in (10**6, 40):
-        got = sharding.assign(slim, slim.select("size", "key_h", "key_d"), rows_a_range=a_range).toPandas()
+        got = sharding.assign(slim, slim.select("size", "key_h", "key_d", "key_r"), rows_a_part=a_range).toPandas()
         assert len(got) == len(rows) and set(got["shard"]) == set(range(16)) and set(got["law"]) == {"bytes"}
         sums = got.groupby("shard")["size"].sum()
         assert sums.max() - sums.min() <= 2 * 402 + 0.004 * sums.mean()
@@ -84,7 +93,37 @@ def test_shards_are_even_and_gapless(spark):
     one = got[got["doc_id"] == 5]
     assert {zlib.crc32("é".encode())} <= set(one["text_crc32"]) and got["size"].min() == 1
     empty = sharding.keyed(df.limit(0)).drop("text")
-    assert sharding.assign(empty, empty.select("size", "key_h", "key_d")).count() == 0
+    assert sharding.assign(empty, empty.select("size", "key_h", "key_d", "key_r")).count() == 0
+
+
+def test_shards_cut_a_hot_repeated_row(spark):
+    """Rows equal in text and doc_id that fill half of all bytes; columns of clashing names."""
+    rows = [(7, "the very same row " * 5)] * 3000 + [(i, "other row " * (i % 19)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({k: F.lit("x") for k in ("slot", "shard", "part_", "law")})
+    slim = checkpoint(sharding.keyed(df).drop("text"))
+    for parts in (10**6, 50):
+        got = sharding.assign(slim, slim.select("size", "key_h", "key_d", "key_r"), rows_a_part=parts).toPandas()
+        sums = got.groupby("shard")["size"].sum()
+        assert len(got) == 6000 and sums.max() - sums.min() <= 400 and all(sorted(x) == list(range(len(x))) for _, x in got.groupby("shard")["slot"])
+        others = got[got["doc_id"] != 7]
+        cut = others.groupby("text_crc32")["shard"].nunique()
+        assert (cut > 1).sum() <= 15  # a splitter cuts one group at most
+
+
+def test_splitters_equal_a_sort(spark):
+    """Each boundary against the sorted table: no other boundary is nearer to its target by more than the tolerance."""
+    rng = random.Random(3)
+    df = spark.createDataFrame([(i, "y" * rng.randint(0, 900)) for i in range(2000)], "doc_id long, text string")
+    keys = checkpoint(sharding.keyed(df).select("size", "key_h", "key_d", "key_r"))
+    found, n = sharding.splitters(keys, 16, 0.001)
+    rows = sorted((sharding.packed(r.key_h, r.key_d, r.key_r), r["size"]) for r in keys.collect())
+    total = sum(s for _, s in rows)
+    sums = np.concatenate([[0], np.cumsum([s for _, s in rows])])
+    assert n == 2000
+    for j, (boundary, below, before) in enumerate(found, start=1):
+        at = sum(k < boundary for k, _ in rows)
+        assert (below, before) == (sums[at], at)
+        assert abs(below - total * j / 16) <= max(0.001 * total / 16, np.abs(sums - total * j / 16).min()) + 1e-6
 
 
 def shingle_set(t):
@@ -131,8 +170,8 @@ def test_near_duplicates_across_cells(spark, monkeypatch):
     df = spark.createDataFrame(rows, SCHEMA)
     want = brute_links(rows)
     assert {r.doc_id: (r.n_links, r.class_id) for r in near_duplicates.verified(df).collect()} == want
-    pairs = near_duplicates.verified(df, pairs=True).collect()
-    assert all(r.jaccard >= 0.8 - 1e-9 and r.rep_a < r.rep_b for r in pairs) and len({(r.rep_a, r.rep_b) for r in pairs}) == len(pairs)
+    pairs = near_duplicates.linked_pairs(df).collect()
+    assert len(pairs) > 0 and all(r.jaccard >= 0.8 - 1e-9 and r.rep_a < r.rep_b for r in pairs) and len({(r.rep_a, r.rep_b) for r in pairs}) == len(pairs)
 
 
 def test_near_duplicates_of_odd_rows(spark):
@@ -142,6 +181,42 @@ def test_near_duplicates_of_odd_rows(spark):
     assert near_duplicates.verified(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_near_duplicates_without_or_with_equal_ids(spark):
+    """Rows are told apart by their texts: near copies without ids are linked, different texts of one id are not; one row of each class stays."""
+    rng = random.Random(11)
+    base = [[f"u{rng.randint(0, 9999)}" for _ in range(100)] for _ in range(4)]
+    near = [" ".join([*b[:50], "changed", *b[51:]]) for b in base]
+    text = [" ".join(b) for b in base]
+    rows = [(None, text[0]), (None, near[0]), (7, text[1]), (7, text[2]), (8, near[2]), (9, text[3]), (9, text[3]), (None, "alone here"), (None, None), (10, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"raw": F.lit(1), "sig_a": F.lit(2), "n": F.lit(3)})
+    got = collections.Counter((r.doc_id, r.class_id if r.class_id >= 0 else None, r.n_links) for r in near_duplicates.verified(df).collect())
+    assert got == collections.Counter([(None, None, 1), (None, None, 1), (7, 7, 0), (7, 7, 1), (8, 7, 1), (9, 9, 1), (9, 9, 1), (None, None, 0), (None, 10, 1), (10, 10, 1)])
+    one = near_duplicates.one_of_each(df).collect()
+    assert collections.Counter(r.text for r in one if r.doc_id is not None) == collections.Counter([text[1], text[2], text[3], ""])
+    assert sorted(r.text for r in one if r.doc_id is None) == sorted([min(text[0], near[0], key=lambda t: [r.text for r in one].count(t) * -1), "alone here"])
+    assert all(r.n == 3 for r in one) and near_duplicates.one_of_each(df.limit(0)).count() == 0
+
+
+def test_components_of_hubs_and_chains(spark, monkeypatch):
+    """Against a walk over the graph; nodes of many edges are joined apart."""
+    monkeypatch.setattr(near_duplicates, "HUBS", 2)
+    rng = random.Random(13)
+    edges = [(1, i) for i in range(2, 1500)] + [(5000 + i, 5001 + i) for i in range(60)] + [(rng.randint(6000, 6400), rng.randint(6000, 6400)) for _ in range(150)]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        parent[max(a, b)] = min(a, b)
+    want = {x: find(x) for e in edges if e[0] != e[1] for x in e}
+    got = {r.id: r.root for r in near_duplicates.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == want
+
+
 def test_bands_reach_the_recall():
     bands, rows = near_duplicates.choose_bands(0.8, 0.9995, 100)
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9995 and bands * rows <= 100
@@ -195,6 +270,38 @@ def test_leaks_of_a_large_benchmark(spark):
         assert r.lcs == decontaminate.lcs(decontaminate.masks(item), len(item), span) / len(item) >= 0.6
 
 
+def test_leaks_recall_against_exhaustive_search(spark):
+    """Verbatim and altered items of 15 to 2,000 words: nearly all that an exhaustive longest common subsequence finds, and nothing else."""
+    rng = random.Random(21)
+    draw = lambda n: [f"k{int(rng.paretovariate(0.8)) % 3000}" for _ in range(n)]
+    bench = [(i, " ".join(draw(rng.choice([15, 25, 40, 60, 300, 2000]) if i else 2000))) for i in range(150)]
+    rows = []
+    for d in range(300):
+        w = draw(rng.choice([0, 40, 200]))
+        if d % 2:
+            own = rng.choice(bench)[1].split()
+            own = [x if rng.random() > 0.12 else f"new{rng.randint(0, 99)}" for x in own if rng.random() > 0.08] if d % 4 == 1 else own
+            at = rng.randrange(len(w) + 1)
+            w = w[:at] + own + w[at:]
+        rows.append((d, " ".join(w)))
+    rows.append(rows[1])
+    want = set()
+    for d, text in rows:
+        words = decontaminate.clean(text)
+        for i, item in bench:
+            own, answer = decontaminate.clean(item), decontaminate.answer_of(item)
+            size = len(own)
+            for at in range(0, max(1, len(words) - size // 2), max(1, size // 4)):
+                near = words[at : at + size + size // 4]
+                if len(set(own) & set(near)) >= 0.3 * len(set(own)) and decontaminate.lcs(decontaminate.masks(own), size, near) >= 0.6 * size and decontaminate.lcs(decontaminate.masks(answer), len(answer), near) >= 0.4 * len(answer):
+                    want.add((d, i))
+                    break
+    found = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id) for r in found}
+    assert len(want) > 120 and len(got & want) >= 0.95 * len(want)
+    assert all(r.lcs >= 0.6 and r.answer_lcs >= 0.4 for r in found) and sum(r.doc_id == 1 for r in found) % 2 == 0
+
+
 def test_leaks_of_long_items(spark):
     """Items over the 128 words of the smallest window, verbatim and altered, wherever they begin."""
     rng = random.Random(9)
@@ -238,10 +345,51 @@ def test_language_model_counts_and_scores(docs, monkeypatch):
     assert sum(r.score for r in held) > sum(r.base_score for r in held) - 1.0
 
 
-def test_language_model_probabilities_sum_to_one(spark):
-    """The mixture over all words and unseen ones, from pair, word and floor estimates, for a seen context."""
-    weights = language_model.learn(np.array([[1, 0.5, 0.1, 0.01], [2, 0.0, 0.2, 0.01]]), np.array([10.0, 5.0]))
-    assert np.allclose(weights.sum(axis=1), 1) and (weights >= 0).all() and weights[0, 0] == 0
+def test_language_model_scores_equal_brute_force(docs, monkeypatch):
+    """The mixture fitted by EM on exact held-out counts, and every score; probabilities of all words after a context sum to one."""
+    monkeypatch.setattr(language_model, "BLOCK_BYTES", 4_000)
+    monkeypatch.setattr(language_model, "PART_BYTES", 9_000)
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    rows = [(zlib.crc32(str(r[0]).encode()) % 7, words_of((r[1] or "").translate(lower)) + ["</s>"]) for r in corpus()]
+
+    def counts(folds):
+        word, pair = collections.Counter(), collections.Counter()
+        for fold, ws in rows:
+            if fold in folds:
+                word.update([*ws, "<s>"])
+                pair.update(zip(["<s>", *ws], ws))
+        return word, pair
+
+    training = {0, 1, 3, 4, 5, 6}
+    word, pair = counts(training)
+    word_less, pair_less = counts(training - {3})
+    n, v, n_less = (sum(c for w, c in x.items() if w != "<s>") for x in (word, dict.fromkeys(word, 1), word_less))
+    bucket = lambda c: min(math.ceil(math.log2(c + 1)), language_model.BUCKETS - 1)
+    held = [(bucket(word_less[a]), pair_less[a, b] / max(1, word_less[a]), word_less[b] / n_less, 1 / (v + 1)) for fold, ws in rows if fold == 3 for a, b in zip(["<s>", *ws], ws)]
+    mixed = np.full((language_model.BUCKETS, 3), 1 / 3)
+    for _ in range(language_model.ROUNDS):
+        new = np.full(mixed.shape, 0.1)
+        for k, *p in held:
+            new[k] += mixed[k] * p / (mixed[k] @ p)
+        mixed = new / new.sum(axis=1, keepdims=True)
+    mixed[0] = [0, mixed[0, 0] + mixed[0, 1], mixed[0, 2]]
+
+    def probability(a, b):
+        return mixed[bucket(word[a])] @ [pair[a, b] / max(1, word[a]), word[b] / n, 1 / (v + 1)]
+
+    want = {r[0]: sum(math.log10(probability(a, b)) for a, b in zip(["<s>", *ws], ws)) for r, (_, ws) in zip(corpus(), rows)}
+    got = {r.doc_id: r.score for r in language_model.model_score(docs).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
+    for context in ["<s>", *random.Random(1).sample(sorted(set(word) - {"</s>", "<s>"}), 5), "never seen"]:
+        assert sum(probability(context, w) for w in word if w != "<s>") + probability(context, "never seen") == pytest.approx(1)
+
+
+def test_language_model_of_odd_rows(spark):
+    """Repeated rows are scored alike, a long text is whole, columns of clashing names do no harm."""
+    long = " ".join(f"w{i % 700}" for i in range(400_000))
+    df = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, long), (3, None), (None, "a b")], "doc_id long, text string").withColumns({k: F.lit("x") for k in ("block", "payload", "role", "score", "part")})
+    got = language_model.model_score(df).collect()
+    assert sorted(r.n_tokens for r in got) == [1, 3, 4, 4, 400_001] and len({r.score for r in got if r.doc_id == 1}) == 1
 
 
 def test_language_model_on_nothing(spark):
@@ -279,3 +427,19 @@ def test_pipeline_keeps_clean_documents(spark, tmp_path):
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    """Rows without or with equal ids are told apart by their texts; empty tables run through."""
+    import corpus_pipeline
+
+    rng = random.Random(18)
+    text = [" ".join(f"n{rng.randint(0, 9999)}" for _ in range(80)) for _ in range(6)]
+    rows = [(None, text[0]), (None, text[1]), (3, text[2]), (3, text[3]), (4, text[4]), (4, text[4]), (5, text[4]), (6, None), (7, "")]
+    for name, kept in (("some", rows), ("none", [])):
+        folder = f"{tmp_path}/{name}"
+        spark.createDataFrame([(i, t, "s", "en", len(t or "")) for i, t in kept], SCHEMA).write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        spark.createDataFrame([], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+        got = corpus_pipeline.run(spark, folder).collect()
+        assert sorted(str(r.doc_id) for r in got) == (["3", "3", "4", "None", "None"] if kept else [])
