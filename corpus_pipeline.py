@@ -4,8 +4,9 @@ Each stage takes (spark, docs, sf_dir) and gives the documents that it keeps, wi
 documents; the last gives digests of the token ids of what is left. Stages decide on all rows of their
 input and on nothing else.
 
-Nulls, empty texts, repeated rows and empty tables have the results that the operators define. Of rows
-that share a doc_id, the near-duplicate stage keeps one; rows without a doc_id are one document there.
+Nulls, empty texts, repeated rows and empty tables have the results that the operators define. Rows are told
+apart by their texts: those without a doc_id, or with a doc_id that others have too, are judged each by its
+own text. The quality stage takes frequent lines out of the texts that it keeps, and n_chars follows.
 """
 
 from __future__ import annotations
@@ -16,17 +17,10 @@ from pyspark.sql import functions as F
 from tallyspark.llm import bpe, decontaminate, near_duplicates, quality, toxicity
 from tallyspark.llm.common import checkpoint, table
 
-#: Bytes of ids that may be broadcast to drop or keep documents; more are joined by a shuffle.
+#: Bytes of text identities that may be broadcast to drop documents; more are joined by a shuffle.
 BROADCAST = 32_000_000
 
 
-def matching(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """docs with (left_semi) or without (left_anti) the ids; a null id equals a null id. ids is small or is not broadcast."""
-    ids = ids.select(F.col("doc_id").alias("id_")).distinct()
-    ids = F.broadcast(ids) if ids.count() * 24 <= BROADCAST else ids
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("id_")), how)
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under their language's threshold."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
@@ -35,21 +29,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the rules and are not depleted by frequent lines."""
-    return quality.kept(docs)
+    """Documents that pass the rules and are not depleted by frequent lines, without these lines."""
+    kept = quality.kept(docs)
+    return kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else kept
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class of near duplicates."""
-    found = near_duplicates.verified(docs).select("doc_id", "class_id")
-    others = checkpoint(found.groupBy("doc_id").agg(F.min("class_id").alias("class_id")).filter("doc_id <> class_id").select("doc_id"))
-    return matching(docs, others, "left_anti").dropDuplicates(["doc_id"])
+    """One document of each class of near duplicates: that with the smallest id."""
+    return near_duplicates.one_of_each(docs)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    found = decontaminate.leaks(docs, table(spark, sf_dir, "benchmark"))
-    return matching(docs, checkpoint(found.select("doc_id").distinct()), "left_anti")
+    identity = near_duplicates.raw_hash()
+    found = decontaminate.leaks(docs.select(identity.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    leaking = checkpoint(found.select(F.col("doc_id").alias("leaking_text_")).distinct())
+    leaking = F.broadcast(leaking) if leaking.count() * 64 <= BROADCAST else leaking
+    return docs.join(leaking, identity == F.col("leaking_text_"), "left_anti")
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,7 +61,7 @@ STAGES = [
     ("BPE encoding and decoding", tokenize),
 ]
 
-#: SQL cannot express the trained stages; tests hold the whole against a brute-force version.
+#: SQL cannot express the trained stages; tests hold each operator against brute force and the whole against planted rows.
 ORACLE_SQL = None
 
 
