@@ -24,6 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
@@ -46,7 +47,7 @@ def word_buckets(word: str) -> tuple[int, int, int, int]:
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Buckets of the distinct words (a row of four each), the words of all texts as places in them, and the texts' ends."""
-    words = pa.compute.ascii_split_whitespace(texts)
+    words = pc.ascii_split_whitespace(texts)
     coded = words.values.dictionary_encode()
     buckets = np.array([word_buckets(w) for w in coded.dictionary.to_pylist()], dtype=np.int32).reshape(-1, 4)
     return buckets, np.asarray(coded.indices, dtype=np.int32), np.asarray(words.offsets, dtype=np.int64)
@@ -201,7 +202,7 @@ def score(df: DataFrame, model: Model | None, text: str = "text", out: str = "sc
 
     @arrow_udf("double")
     def score_of(texts: pa.Array) -> pa.Array:
-        return pa.concat_arrays([pa.array(shared.value.scores(*tokens(texts.slice(at, 4096))), pa.float64()) for at in range(0, len(texts), 4096)] or [pa.array([], pa.float64())])
+        return pa.concat_arrays([pa.array(shared.value.scores(*tokens(texts.slice(at, 1024))), pa.float64()) for at in range(0, len(texts), 1024)] or [pa.array([], pa.float64())])
 
     return df.withColumn(out, score_of(text_of(text)))
 
