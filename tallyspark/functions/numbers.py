@@ -69,3 +69,52 @@ def confidence(value: Column) -> Column:
 
 def confidence_tier(value: Column) -> Column:
     return F.when(value.isNull(), "unknown").when(value >= 0.8, "high").when(value >= 0.55, "medium").otherwise("low")
+
+
+#: A printed number as it stands in statement rows, and the marks of a footnote before it.
+ROW_NUMBER = r"(?<![\p{L}\p{N}_.])(?:\(\s*[+-]?[0-9,]+(?:\.[0-9]+)?\s*\)|[+-]?\s*[0-9,]+(?:\.[0-9]+)?|[—–-])"
+FOOTNOTE = r"^(?:\([^)]{0,4}\)|\[[^\]]{0,4}\]|[①②③④⑤⑥⑦⑧⑨⑩])\s*"
+
+
+def row_value(tail: Column) -> Column:
+    """The first value behind a row's label: a footnote mark is passed over, and a short note number before a number with commas; a dash is none."""
+    head = F.substring(F.regexp_replace(F.btrim(tail), FOOTNOTE, ""), 1, 400)
+
+    def value(found: Column) -> Column:
+        first, second = F.get(found, 0), F.coalesce(F.get(found, 1), F.lit(""))
+        note = F.regexp_replace(first, ",", "").rlike(r"^\s*[0-9]{1,3}\s*$") & second.contains(",")
+        token = F.regexp_replace(F.when(note, second).otherwise(first), r"[\s,]", "")
+        size = F.regexp_replace(token, "[()-]", "").try_cast("double")
+        return F.when(token.startswith("(") | token.startswith("-"), -size).otherwise(size)
+
+    return F.get(F.transform(F.array(F.regexp_extract_all(head, F.lit(ROW_NUMBER), 0)), value), 0)
+
+
+def plausible(value: Column) -> Column:
+    return (value != 0) & (F.abs(value) < 1e18)
+
+
+def ratio(value: Column) -> Column:
+    """A ratio that may be told in per cent."""
+    return F.when(F.abs(value) > 1, value / 100).otherwise(value)
+
+
+def clamp(value: Column, low: float, high: float) -> Column:
+    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+
+
+def probability_pair(value: Column) -> Column:
+    """(low, high) of a variant {"low":, "high":} or [low, high]; null unless 0 <= low <= high <= 1."""
+    kind = F.coalesce(F.schema_of_variant(value), F.lit(""))
+    listed = F.try_variant_get(value, "$", "array<variant>")
+    part = lambda name, i: F.when(kind.startswith("OBJECT"), F.try_variant_get(value, f"$.{name}", "double")).when(F.size(listed) == 2, F.try_variant_get(value, f"$[{i}]", "double"))
+    low, high = part("low", 0), part("high", 1)
+    return F.when((low >= 0) & (low <= high) & (high <= 1), F.struct(low.alias("low"), high.alias("high")))
+
+
+def format_percent(value: Column) -> Column:
+    return F.when(value.isNull(), "—").otherwise(F.format_string("%.1f%%", value * 100))
+
+
+def format_range(pair: Column, none: str = "Insufficient evidence") -> Column:
+    return F.when(pair.isNull(), none).otherwise(F.format_string("%.0f%%–%.0f%%", pair["low"] * 100, pair["high"] * 100))

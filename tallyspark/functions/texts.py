@@ -104,3 +104,86 @@ def key_values(text: Column) -> Column:
 
 def topic_pattern(topic: str) -> str:
     return "(?i)(" + "|".join(TOPICS[topic]) + ")"
+
+
+# Words that mark banks, insurers and brokers.
+FINANCIAL = ["银行", "保险", "证券", "信托", "bank", "insurance", "securities", "brokerage"]
+# Default currency and accounting standard of a market.
+MARKETS = {"US": ("USD", "US_GAAP"), "CN_A": ("CNY", "CAS"), "HK": ("HKD", "UNKNOWN")}
+# Titles of the three statements, and marks of scope.
+STATEMENTS = {
+    "balance_sheet": ["合并资产负债表", "资产负债表", "consolidated balance sheet", "statement of financial position"],
+    "income_statement": ["合并利润表", "利润表", "consolidated income statement", "statement of profit or loss"],
+    "cash_flow": ["合并现金流量表", "现金流量表", "consolidated cash flow statement", "statement of cash flows"],
+}
+EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
+EMAIL_WITHIN = r"[^@\s()<>;,]+@[^@\s()<>;,]+\.[^@\s()<>;,]+"
+
+
+def holds(text: Column, marks: list[str]) -> Column:
+    """Whether a text holds one of the marks."""
+    return F.exists(F.array(*[F.lit(m) for m in marks]), lambda m: F.contains(text, m))
+
+
+def industry_support(name: Column, industry: Column) -> Column:
+    return F.when(holds(F.lower(F.concat_ws(" ", name, industry)), FINANCIAL), "financial_beta").otherwise("standard")
+
+
+def build_company(symbol: Column, name: Column, industry: Column, currency: Column) -> Column:
+    """A listing: code, exchange, market, security id, currencies, standard and support; null where the symbol fits no rule."""
+
+    def of(s: Column) -> Column:
+        money, standard = F.lit(None).cast("string"), F.lit(None).cast("string")
+        for market, (m, a) in MARKETS.items():
+            money, standard = F.when(s["market"] == market, m).otherwise(money), F.when(s["market"] == market, a).otherwise(standard)
+        label = F.coalesce(F.nullif(F.trim(name), F.lit("")), s["code"])
+        return F.struct(
+            s["code"].alias("ticker"), label.alias("name"), s["exchange"].alias("exchange"), s["market"].alias("market"), F.concat_ws(":", s["market"], s["exchange"], s["code"]).alias("security_id"),
+            money.alias("listing_currency"), F.coalesce(F.nullif(F.upper(F.trim(currency)), F.lit("")), money).alias("reporting_currency"), standard.alias("accounting_standard"), industry_support(name, industry).alias("industry_support"),
+        )
+
+    known = F.filter(F.array(normalize_symbol(symbol)), lambda s: s.isNotNull())
+    return F.get(F.transform(known, of), 0)
+
+
+def statement_title(text: Column) -> Column:
+    """(statement, scope) of a page whose first two lines hold a statement's title, else null."""
+
+    def of(heading: Column) -> Column:
+        scope = F.when(holds(heading, ["consolidated", "合并"]), "consolidated").when(holds(heading, ["parent", "母公司"]), "parent").otherwise("unknown")
+        out = F.lit(None).cast("struct<statement:string,scope:string>")
+        for statement, titles in reversed(STATEMENTS.items()):
+            out = F.when(holds(heading, titles), F.struct(F.lit(statement).alias("statement"), scope.alias("scope"))).otherwise(out)
+        return out
+
+    return F.get(F.transform(F.array(F.lower(F.substring_index(text, "\n", 2))), of), 0)
+
+
+def authority(title: Column, company_id: Column) -> Column:
+    """How native a document is to an A-share issuer: full annual reports count, translations, mirrored notices and summaries count against."""
+    t = F.lower(title)
+    points = F.when(holds(t, ["港股公告", "h股公告", "英文版", "english"]), -100).otherwise(0) + F.when(holds(t, ["年度报告", "年度報告", "annual report"]), 30).otherwise(0)
+    return F.when(F.lower(company_id).startswith("cn_a:"), points - F.when(holds(t, ["摘要", "summary"]), 40).otherwise(0)).otherwise(0)
+
+
+def revision_rank(title: Column, revision: Column, supersedes: Column) -> Column:
+    """Corrected versions by their mark or title, one more where they name what they replace."""
+    corrected = ~F.lower(revision).isin("", "original", "orig") | holds(F.lower(title), ["更正", "修订", "revision", "restated", "corrigendum"])
+    return corrected.cast("int") + (F.coalesce(supersedes, F.lit("")) != "").cast("int")
+
+
+def redact(text: Column, secrets: list[str]) -> Column:
+    for s in secrets:
+        text = F.replace(text, F.lit(s), F.lit("[REDACTED]")) if s else text
+    return text
+
+
+def filing_titled(title: Column, period: Column, form: Column) -> tuple[Column, Column]:
+    """Period and form of a filing by its title (half-year before quarters before years), else those given; null period where neither says."""
+    low = F.lower(title)
+    rules = [(["半年度报告", "中期报告", "interim report"], "H1", "INTERIM_REPORT"), (["第一季度报告", "first quarter"], "Q1", "QUARTERLY_REPORT"), (["第三季度报告", "third quarter"], "Q3", "QUARTERLY_REPORT"), (["年度报告", "年报", "annual report"], "FY", "ANNUAL_REPORT")]
+    given = F.when(F.upper(period).isin("FY", "H1", "Q1", "Q3"), F.upper(period))
+    out_period, out_form = given, F.when(given.isNotNull(), F.coalesce(F.nullif(form, F.lit("")), F.when(given == "FY", "ANNUAL_REPORT").otherwise("INTERIM_REPORT")))
+    for marks, p, f in reversed(rules):
+        out_period, out_form = F.when(holds(low, marks), p).otherwise(out_period), F.when(holds(low, marks), f).otherwise(out_form)
+    return out_period, out_form

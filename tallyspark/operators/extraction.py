@@ -63,3 +63,21 @@ def candidate_score(label: Column, line: Column, in_statement: Column, has_unit:
     narrative = line.rlike("约占|激励|比例为|同比|说明：")
     points = F.length(label) * 2 + F.when(F.startswith(F.lower(line), F.lower(label)), 60).otherwise(0)
     return points + F.when(in_statement, 35).otherwise(0) + F.when(has_unit, 10).otherwise(0) - F.when(summary, 90).otherwise(0) - F.when(narrative, 80).otherwise(0)
+
+
+def fact_evidence(facts: DataFrame) -> DataFrame:
+    """Facts as evidence records."""
+    return facts.select(
+        F.concat(F.lit("fact:"), "fact_id").alias("evidence_id"), F.lit("financial_fact").alias("kind"), "concept", "value", F.col("currency").alias("unit"),
+        F.col("year").alias("fiscal_year"), F.col("period").alias("fiscal_period"), "end_date", "filed_at",
+    )
+
+
+def bounded_context(facts: DataFrame, years: int, interim: int, evidence: int) -> DataFrame:
+    """For each company its newest annual years, interim periods and the number of facts that go along; sets are sliced, never the facts of a company collected."""
+    place = F.when(F.col("period") == "Q3", 3).when(F.col("period") == "H1", 2).otherwise(1)
+    annual = F.collect_set(F.when(F.col("period") == "FY", F.col("year")))
+    partial = F.collect_set(F.when(F.col("period") != "FY", F.struct("year", place.alias("place"), F.col("period").alias("period"))))
+    newest = lambda found, n: F.slice(F.sort_array(found, asc=False), 1, n)
+    told = F.transform(newest(partial, interim), lambda p: F.concat_ws("-", p["year"], p["period"]))
+    return facts.groupBy("company").agg(F.array_join(newest(annual, years).cast("array<string>"), "|").alias("years"), F.array_join(F.reverse(F.array_sort(told)), "|").alias("interim"), F.least(F.count("*"), F.lit(evidence)).alias("evidence"))

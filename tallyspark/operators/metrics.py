@@ -64,3 +64,10 @@ def interim_comparison(interim: DataFrame) -> DataFrame:
 
 def interim_metrics(interim: DataFrame) -> DataFrame:
     return interim_comparison(interim).drop("prior_revenue").withColumns(ratios())
+
+
+def covered_columns(df: DataFrame, key: str, order: str, names: list[str], most: int) -> DataFrame:
+    """The newest `most` rows of each key: how many there are, and the names of the columns with a value in any of them, joined by |."""
+    newest = df.withColumn("_rank", F.row_number().over(W.partitionBy(key).orderBy(F.col(order).desc()))).filter(F.col("_rank") <= most)
+    present = F.concat_ws("|", *[F.when(F.count(n) > 0, F.lit(n)) for n in names])
+    return newest.groupBy(key).agg(F.count("*").alias("rows"), present.alias("columns"))

@@ -55,3 +55,12 @@ def first_source(candidates: DataFrame, keys: list[str], precedence: list[str],
     for i, s in enumerate(precedence):
         rank = F.when(F.col("source") == s, i).otherwise(rank)
     return best_per_key(candidates.filter("valid"), keys, [-rank], position)
+
+
+def filing_sort() -> list[Column]:
+    """Newest period first, then annual before quarterly before interim before listing, native documents, latest filed."""
+    kind = F.lit(-1)
+    for form, rank in (("ANNUAL_REPORT", 4), ("QUARTERLY_REPORT", 3), ("INTERIM_REPORT", 2), ("PROSPECTUS", 1), ("LISTING_REPORT", 0)):
+        kind = F.when(F.col("form_type") == form, rank).otherwise(kind)
+    end = F.coalesce(F.substring("period_end", 1, 10).try_cast("date"), F.lit("0001-01-01").cast("date"))
+    return [end.desc(), kind.desc(), F.col("authority").desc(), F.col("filed_at").desc()]
