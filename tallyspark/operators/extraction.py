@@ -81,3 +81,16 @@ def bounded_context(facts: DataFrame, years: int, interim: int, evidence: int) -
     newest = lambda found, n: F.slice(F.sort_array(found, asc=False), 1, n)
     told = F.transform(newest(partial, interim), lambda p: F.concat_ws("-", p["year"], p["period"]))
     return facts.groupBy("company").agg(F.array_join(newest(annual, years).cast("array<string>"), "|").alias("years"), F.array_join(F.reverse(F.array_sort(told)), "|").alias("interim"), F.least(F.count("*"), F.lit(evidence)).alias("evidence"))
+
+
+def topic_pages(pages: DataFrame, topics: dict[str, list[str]], before: int, after: int, least: int) -> DataFrame:
+    """For each document and topic the first page that holds a label: the first label in the topic's order, and the text from `before` characters ahead of it."""
+    low = F.lower("text")
+    label = lambda names: F.get(F.filter(F.array(*[F.lit(n) for n in names]), lambda n: F.contains(low, n)), 0)
+    told = F.inline(F.filter(F.array(*[F.struct(F.lit(t).alias("topic"), label(names).alias("label")) for t, names in topics.items()]), lambda m: m["label"].isNotNull()))
+    found = pages.select("document_id", "page", "text", told)
+    start = F.greatest(F.position(F.col("label"), F.lower("text")) - before, F.lit(1))
+    excerpt = F.btrim(F.regexp_replace(F.substring("text", start, F.position(F.col("label"), F.lower("text")) - start + after), r"\s+", " "))
+    told = found.withColumn("excerpt", excerpt).filter(F.length("excerpt") >= least)
+    first = told.groupBy("document_id", "topic").agg(F.min_by(F.struct("page", "label", "excerpt"), "page").alias("f"))
+    return first.select("document_id", "topic", "f.*")
