@@ -1,4 +1,4 @@
 """Queries by name, each with the SQL that must give the same rows."""
 
-from .plans import claims, discovery, facts, filings, records, scalars, series, statements, text, windows  # noqa: F401
+from .plans import claims, discovery, facts, filings, identity, records, scalars, series, statements, text, windows  # noqa: F401
 from .plans.registry import ORACLE_SQL, QUERIES  # noqa: F401
