@@ -54,12 +54,12 @@ def wide_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.groupBy("company", "year", F.col("p.period").alias("period")).agg(*[F.sum(c).cast("double").alias(c) for c in CONCEPTS])
 
 
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def facts(spark: SparkSession, sf_dir: str, groups: DataFrame | None = None) -> DataFrame:
     """The groups as a long table of facts; companies with an even key file again a month later, with exact values.
 
-    A few facts lack their accession or their currency, so that the gates have something to find.
+    A few facts lack their accession or their currency, so that the gates have something to find. groups: those of wide_groups(), if they are at hand.
     """
-    long = wide_groups(spark, sf_dir).unpivot(["company", "year", "period"], CONCEPTS, "concept", "exact").filter("exact is not null")
+    long = (wide_groups(spark, sf_dir) if groups is None else groups).unpivot(["company", "year", "period"], CONCEPTS, "concept", "exact").filter("exact is not null")
     end = F.lit(None).cast("string")
     for p, _, day in PERIODS:
         end = F.when(F.col("period") == p, F.concat(F.col("year").cast("string"), F.lit("-" + day))).otherwise(end)

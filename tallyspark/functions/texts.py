@@ -16,7 +16,7 @@ TOPICS = {
     "capital_allocation": [r"\bcapital expenditures?\b", r"\bcapital allocation\b"],
     "growth": [r"\bgrowth strateg(?:y|ies)\b", r"\bgrowth opportunities\b", r"\bnew products?\b"],
 }
-#: Title markers and the form and period that they mean; the first that fits counts.
+# Title markers and the form and period that they mean; the first that fits counts.
 TITLES = [
     ("interim report|half-year report|半年度报告|中期报告", "INTERIM_REPORT", "H1"),
     ("prospectus|招股说明书", "PROSPECTUS", "IPO"),
@@ -37,6 +37,7 @@ LANGUAGES = [
     ("zh-CN", "^(zh-hans|zh-cn|zh-sg|zh)(-.*)?$"),
     ("en", "^en(-.*)?$"),
 ]
+# Fixed value: how internal ids look.
 INTERNAL_ID = r"(?i)(fact|evidence|filing|artifact|run):[A-Za-z0-9_.:/-]+"
 
 

@@ -45,3 +45,9 @@ def interrupt_running(runs: DataFrame, reason: str) -> DataFrame:
 def add_missing_columns(old: DataFrame, defaults: dict[str, Column]) -> DataFrame:
     """Additive migration: columns that are missing come with their defaults, nothing is dropped."""
     return old.withColumns({n: c for n, c in defaults.items() if n not in old.columns})
+
+
+def replace_evidence(evidence: DataFrame, incoming: DataFrame, documents: DataFrame, accessions: DataFrame) -> DataFrame:
+    """evidence without that of the accessions' documents and of every document in incoming, and incoming."""
+    replaced = documents.join(accessions.distinct(), "accession", "left_semi").select("document").union(incoming.select("document")).distinct()
+    return evidence.join(replaced, "document", "left_anti").unionByName(incoming)

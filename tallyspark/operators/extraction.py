@@ -15,8 +15,8 @@ GRADES = ["A", "B", "C", "D", "E", "U"]
 def first_hits(df: DataFrame, key: str, text: str, topics: dict[str, str], before: int, size: int, least: int) -> DataFrame:
     """For each row and topic the place of the pattern's first hit (in lower case) and the text around it, `least` characters or more."""
     low = F.lower(text)
-    tries = F.explode(F.array(*[F.struct(F.lit(t).alias("topic"), F.regexp_extract(low, p, 1).alias("hit")) for t, p in topics.items()])).alias("t")
-    found = df.select(key, text, tries).filter("t.hit <> ''").select(key, text, "t.topic", F.expr(f"locate(t.hit, lower({text}))").alias("place"))
+    tries = F.inline(F.array(*[F.struct(F.lit(t).alias("topic"), F.regexp_instr(low, F.lit(p)).alias("place")) for t, p in topics.items()]))
+    found = df.select(key, text, tries).filter("place > 0")
     excerpt = F.expr(f"substring({text}, greatest(place - {before}, 1), {size})")
     return found.select(key, "topic", "place", excerpt.alias("excerpt")).filter(F.length("excerpt") >= least)
 

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 
 def latest_per_key(df: DataFrame, keys: list[str], order: str, position: str) -> DataFrame:
     """The row with the highest order in each key; of equals, the one that came last."""
-    w = W.partitionBy(*keys).orderBy(F.col(order).desc_nulls_last(), F.col(position).desc_nulls_last())
-    return df.withColumn("_rank", F.row_number().over(w)).filter("_rank = 1").drop("_rank")
+    rest = [c for c in df.columns if c not in keys]
+    # an aggregation: a key with very many rows is reduced before the exchange
+    latest = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(order, position)).alias("_row"))
+    return latest.select(*keys, "_row.*").select(*df.columns)
 
 
 def best_per_key(df: DataFrame, keys: list[str], rank: list[Column], position: str) -> DataFrame:

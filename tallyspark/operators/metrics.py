@@ -7,7 +7,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.numbers import growth_rate, safe_divide
-from .latest import latest_value
 
 # Period tokens that stand for a full year, and the order of interim periods within one.
 ANNUAL = ["", "FY", "CY", "ANNUAL"]
@@ -26,10 +25,10 @@ def interim_order(period: str = "period") -> Column:
     return out
 
 
-def matrix(facts: DataFrame, keys: list[str], concepts: list[str]) -> DataFrame:
-    """One row for each key with the latest filed value of each concept; an absent concept stays null."""
-    latest = latest_value(facts, [*keys, "concept"], "value", "filed_at", "input_pos")
-    return latest.groupBy(*keys).pivot("concept", concepts).agg(F.first("value"))
+def matrix(facts: DataFrame, keys: list[str], concepts: list[str], *more: Column) -> DataFrame:
+    """One row for each key with the latest filed value of each concept (an absent concept stays null) and more aggregates, by one aggregation."""
+    newest = lambda c: F.max_by(F.when(F.col("concept") == c, F.col("value")), F.when(F.col("concept") == c, F.struct("filed_at", "input_pos")))
+    return facts.groupBy(*keys).agg(*[newest(c).alias(c) for c in concepts], *more)
 
 
 def ratios(revenue: str = "revenue") -> dict[str, Column]:

@@ -64,3 +64,12 @@ def filing_sort() -> list[Column]:
         kind = F.when(F.col("form_type") == form, rank).otherwise(kind)
     end = F.coalesce(F.substring("period_end", 1, 10).try_cast("date"), F.lit("0001-01-01").cast("date"))
     return [end.desc(), kind.desc(), F.col("authority").desc(), F.col("filed_at").desc()]
+
+
+def search(companies: DataFrame, wanted: str, limit: int) -> DataFrame:
+    """companies (ticker, name) that hold the wanted text, best first; equal scores by ticker."""
+    w, ticker, name = wanted.strip().lower(), F.lower("ticker"), F.lower("name")
+    found = companies.filter(ticker.contains(w) | name.contains(w) | F.replace(ticker, F.lit("."), F.lit("")).contains(w))
+    points = [(ticker == w, 100), (name == w, 80), (ticker.startswith(w), 40), (name.startswith(w), 20)]
+    score = sum((hit.cast("int") * n for hit, n in points), F.lit(0))
+    return found.withColumn("score", score).orderBy(F.col("score").desc(), "ticker").limit(max(1, limit))

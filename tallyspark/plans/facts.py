@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +24,12 @@ def annual(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def interim(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = facts(spark, sf_dir).filter(~metrics.is_annual())
-    keys = ["company", "year", "period"]
-    return metrics.matrix(known, keys, CONCEPTS).join(known.groupBy(*keys).agg(F.max("end_date").alias("period_end")), keys)
+    return metrics.matrix(known, ["company", "year", "period"], CONCEPTS, F.max("end_date").alias("period_end"))
+
+
+def once(groups: DataFrame) -> DataFrame:
+    """The groups, a few for each company, kept so that the star tables are read and joined once; executors recompute what they lose."""
+    return groups.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def shown(df: DataFrame, keys: list[str], ratio: list[str] = ()) -> DataFrame:
@@ -179,9 +184,11 @@ def issues_sql(rules: dict[str, str]) -> str:
 VALID_SQL = FLAGGED_SQL + f", valid as (select *, {issues_sql(BALANCE_SQL | STRICT_SQL)} as issues, case when {issues_sql(BALANCE_SQL | STRICT_SQL)} = '' then 'VERIFIED' else 'REJECTED' end as status from flagged)"
 
 
-def validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+def validated(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
+    """Groups with their issues and status. known: the groups of wide_groups(), persisted by a caller that reads them again."""
     keys = ["company", "year", "period"]
-    groups = wide_groups(spark, sf_dir).join(gates.group_flags(facts(spark, sf_dir), keys), keys)
+    known = once(wide_groups(spark, sf_dir)) if known is None else known
+    groups = known.join(gates.group_flags(facts(spark, sf_dir, known), keys), keys)
     return gates.validate(groups, gates.balance_rules() | gates.coverage_rules())
 
 
@@ -207,8 +214,9 @@ def fail_closed_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {FACTS_SQL}, ok as (with {VALID_SQL} select company, year, period from valid where status = 'VERIFIED') select company, year, period, concept, input_pos, round(value, 4) as value from facts semi join ok using (company, year, period) where currency = 'USD'")
 def accepted_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = validated(spark, sf_dir).filter("status = 'VERIFIED'").select("company", "year", "period")
-    return facts(spark, sf_dir).filter("currency = 'USD'").join(good, ["company", "year", "period"], "left_semi").select("company", "year", "period", "concept", "input_pos", F.round("value", 4).alias("value"))
+    known = once(wide_groups(spark, sf_dir))
+    good = validated(spark, sf_dir, known).filter("status = 'VERIFIED'").select("company", "year", "period")
+    return facts(spark, sf_dir, known).filter("currency = 'USD'").join(good, ["company", "year", "period"], "left_semi").select("company", "year", "period", "concept", "input_pos", F.round("value", 4).alias("value"))
 
 
 @query(

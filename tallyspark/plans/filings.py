@@ -118,15 +118,13 @@ def recent_runs(spark: SparkSession, sf_dir: str, limit: int = 50) -> DataFrame:
 
 
 @query(
-    "with s as (select c_custkey, c_name, (lower(c_name) = 'customer#000000012')::int * 100 + starts_with(lower(c_name), 'customer#00000001')::int * 40 + (contains(lower(c_name), '12'))::int * 20 as score from customer where contains(lower(c_name), '12')) "
-    "select c_custkey, c_name, score from s order by score desc, c_name, c_custkey limit 15"
+    "with c as (select c_custkey, 'C.' || c_custkey as ticker, c_name as name from customer), s as (select *, (lower(ticker) = 'c.12')::int * 100 + (lower(name) = 'c.12')::int * 80 + starts_with(lower(ticker), 'c.12')::int * 40 + starts_with(lower(name), 'c.12')::int * 20 as score from c "
+    "where contains(lower(ticker), 'c.12') or contains(lower(name), 'c.12') or contains(replace(lower(ticker), '.', ''), 'c.12')) select c_custkey, ticker, score from s order by score desc, ticker limit 15"
 )
-def company_search(spark: SparkSession, sf_dir: str, wanted: str = "12", limit: int = 15) -> DataFrame:
-    """Companies whose name holds the wanted text, whatever its case; exact names first, then prefixes."""
-    name = F.lower("c_name")
-    score = (name == f"customer#{int(wanted):09d}").cast("int") * 100 + name.startswith(f"customer#{int(wanted):09d}"[:-1]).cast("int") * 40 + name.contains(wanted).cast("int") * 20
-    found = table(spark, sf_dir, "customer").filter(name.contains(wanted.lower())).select("c_custkey", "c_name", score.alias("score"))
-    return found.orderBy(F.col("score").desc(), "c_name", "c_custkey").limit(limit)
+def company_search(spark: SparkSession, sf_dir: str, wanted: str = "c.12", limit: int = 15) -> DataFrame:
+    """Companies whose name or ticker (with or without its dots) holds the wanted text, whatever its case: exact tickers, exact names, prefixes. The limit is the feature."""
+    companies = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("C."), F.col("c_custkey").cast("string")).alias("ticker"), F.col("c_name").alias("name"))
+    return selection.search(companies, wanted, limit).select("c_custkey", "ticker", "score")
 
 
 # Changes to tables.

@@ -17,14 +17,15 @@ def latest_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return latest.latest_per_key(events, ["user_id", "event_type"], "day", "event_id").select("user_id", "event_type", "event_id", "day", "value")
 
 
-COLUMNS_SQL = "cols as (select n_nationkey as column_id, n_nationkey * 400.0::double as center, n_nationkey * 400.0::double - 300 as left, n_nationkey * 400.0::double + 300 as right from nation)"
-
-
-@query(f'with {COLUMNS_SQL.replace(" left,", chr(32) + chr(34) + "left" + chr(34) + ",").replace(" right from", chr(32) + chr(34) + "right" + chr(34) + " from")} select c_custkey, c_acctbal, column_id, center from customer join cols on c_acctbal between cols."left" and cols."right" qualify row_number() over (partition by c_custkey order by abs(c_acctbal - center), column_id) = 1')
+@query(
+    'with cols as (select n_nationkey as page, i as column_id, i * 400.0::double + n_nationkey as center from nation, range(-3, 26) r(i)) select c_nationkey as page, c_custkey, c_acctbal, column_id, center from customer join cols on c_nationkey = page and c_acctbal between center - 300 and center + 300 '
+    "qualify row_number() over (partition by c_custkey order by abs(c_acctbal - center), column_id) = 1"
+)
 def interval_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    center = F.col("n_nationkey") * 400.0
-    columns = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("column_id"), center.alias("center"), (center - 300).alias("left"), (center + 300).alias("right"))
-    return series.interval_nearest(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), columns, "c_custkey", "c_acctbal", 400.0)
+    """Points and columns of one page each: a nation is a page."""
+    columns = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("page"), F.explode(F.expr("sequence(-3L, 25L)")).alias("column_id")).withColumn("center", F.col("column_id") * 400.0 + F.col("page"))
+    points = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("page"), "c_custkey", "c_acctbal")
+    return series.interval_nearest(points, columns.withColumns({"left": F.col("center") - 300, "right": F.col("center") + 300}), ["page"], "c_custkey", "c_acctbal", 400.0)
 
 
 @query('select s_suppkey, s_nationkey, s_acctbal, coalesce((lag(s_acctbal) over w + s_acctbal) / 2, s_acctbal - 90) as "left", coalesce((lead(s_acctbal) over w + s_acctbal) / 2, s_acctbal + 90) as "right" from supplier window w as (partition by s_nationkey order by s_acctbal)')

@@ -39,14 +39,14 @@ def strip_internal_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "with h as (select doc_id, topic, regexp_extract(lower(text), pattern) as hit, strpos(lower(text), regexp_extract(lower(text), pattern)) as place, text from documents cross join (values "
-    + ", ".join(f"('{t}', '({w})')" for t, w in (("first", "th[a-z]+on"), ("second", "er[a-z]*ing"), ("third", "des [a-z]+")))
-    + ") as p(topic, pattern)) "
-    "select doc_id, topic, cast(place as int) as place, substr(text, greatest(place - 200, 1), 600) as excerpt from h where hit <> '' and length(substr(text, greatest(place - 200, 1), 600)) >= 120"
+    "with h as (select doc_id, topic, length(string_split_regex(lower(text), pattern)[1]) + 1 as place, text from documents cross join (values "
+    + ", ".join(f"('{t}', '{w}')" for t, w in (("first", " th[a-z]+on[ ,.]"), ("second", " er[a-z]*ing[ ,.]"), ("third", " des [a-z]+[ ,.]")))
+    + ") as p(topic, pattern) where regexp_matches(lower(text), pattern)) "
+    "select doc_id, topic, cast(place as int) as place, substr(text, greatest(place - 200, 1), 600) as excerpt from h where length(substr(text, greatest(place - 200, 1), 600)) >= 120"
 )
 def topic_first_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first place of each topic's pattern in each document, with the text around it."""
-    topics = {"first": "(th[a-z]+on)", "second": "(er[a-z]*ing)", "third": "(des [a-z]+)"}
+    topics = {"first": " th[a-z]+on[ ,.]", "second": " er[a-z]*ing[ ,.]", "third": " des [a-z]+[ ,.]"}
     return extraction.first_hits(table(spark, sf_dir, "documents"), "doc_id", "text", topics, before=200, size=600, least=120)
 
 

@@ -31,11 +31,11 @@ def tickers(raw: DataFrame) -> DataFrame:
 def filings(raw: DataFrame, forms: list[str] | None = ANNUAL_FORMS, newest: int | None = None) -> DataFrame:
     """The parallel arrays filings.recent as rows, in their order: cik, position, form, accession, primary document and dates.
 
-    forms: those to keep (None: all). newest: the first so many kept rows of each company.
+    An array that is missing or shorter gives nulls. forms: those to keep (None: all). newest: the first so many kept rows of each company.
     """
     arrays = ",".join(f"{n}:array<string>" for n in RECENT)
     parsed = raw.select(F.from_json("raw", f"struct<cik:string,filings:struct<recent:struct<{arrays}>>>").alias("d"))
-    zipped = parsed.select(F.lpad("d.cik", 10, "0").alias("cik"), F.posexplode(F.arrays_zip(*[F.col(f"d.filings.recent.{n}").alias(n) for n in RECENT])).alias("position", "r"))
+    zipped = parsed.select(F.lpad("d.cik", 10, "0").alias("cik"), F.posexplode(F.arrays_zip(*[F.coalesce(F.col(f"d.filings.recent.{n}"), F.array().cast("array<string>")).alias(n) for n in RECENT])).alias("position", "r"))
     rows = zipped.select(
         "cik", "position", F.col("r.form").alias("form_type"), F.col("r.accessionNumber").alias("accession_number"), F.col("r.primaryDocument").alias("primary_document"),
         F.coalesce("r.reportDate", F.lit("")).alias("period_end"), F.coalesce("r.filingDate", F.lit("")).alias("filed_at"),

@@ -164,8 +164,9 @@ def test_topic_evidence_does_not_overlap(spark):
 
 def test_interval_and_bounds(spark):
     columns = spark.createDataFrame([(1, 0.0, -10.0, 60.0), (2, 100.0, 40.0, 160.0)], "column_id int, center double, left double, right double")
-    points = spark.createDataFrame([(1, 45.0), (2, 55.0), (3, 500.0)], "id int, x double")
-    assert rows(series.interval_nearest(points, columns, "id", "x", 50.0).select("id", "column_id"), "id") == [(1, 1), (2, 2)]
+    points = spark.createDataFrame([(1, 1, 45.0), (1, 2, 55.0), (1, 3, 500.0), (2, 4, 45.0), (1, 5, 45.0)], "page int, id int, x double")
+    found = series.interval_nearest(points, columns.withColumn("page", F.lit(1)), ["page"], "id", "x", 50.0)
+    assert rows(found.select("id", "column_id"), "id") == [(1, 1), (2, 2), (5, 1)]  # a column of another page holds nothing, equal points stay two
     bounds = series.column_bounds(columns.withColumn("p", F.lit(1)).select("p", "center"), "p", "center")
     assert rows(bounds, "center") == [(1, 0.0, -90.0, 50.0), (1, 100.0, 50.0, 190.0)]
 
