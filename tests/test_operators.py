@@ -1,6 +1,9 @@
 """Operators on small frames with known results."""
 
+import html
 import math
+import re
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -178,3 +181,18 @@ def test_set_comparison(spark):
     diff = sets.section_diff(spark.createDataFrame([(1, 5), (2, None), (3, 1)], "k int, v int"), spark.createDataFrame([(1, 6), (2, None), (4, 1)], "k int, v int"), "k", "v")
     assert {r.k: r.change for r in diff.collect()} == {1: "changed", 2: "equal", 3: "left_only", 4: "right_only"}
     assert math.isclose(1.0, 1.0)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001/pages.parquet").exists(), reason="test tables are absent")
+def test_readable_text_equals_a_plain_reading_of_all_pages(spark):
+    """Every page against regular expressions: silent elements and comments out, a line for each block, entities decoded."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+
+    def plain(page):
+        shown = re.sub(r"(?is)<(script|style|ix:hidden)\b.*?</\1\s*>|<!--.*?-->|<![^>]*>", "", page or "")
+        lined = re.sub(r"(?i)<(p|div|br|tr|li|h[1-4]|table)\b[^>]*>", "\n", shown)
+        lines = [" ".join(x.split()) for x in html.unescape(re.sub(r"<[^>]*>", "", lined)).split("\n")]
+        return "\n".join(x for x in lines if x)
+
+    got = {r.page_id: (r.text, r.html) for r in markup.readable_text(pages, "html", "text").collect()}
+    assert len(got) > 0 and all(text == plain(page) for text, page in got.values())
