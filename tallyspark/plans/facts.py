@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,11 +26,6 @@ def interim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.matrix(known, ["company", "year", "period"], CONCEPTS, F.max("end_date").alias("period_end"))
 
 
-def once(groups: DataFrame) -> DataFrame:
-    """The groups, a few for each company, kept so that the star tables are read and joined once; executors recompute what they lose."""
-    return groups.persist(StorageLevel.MEMORY_AND_DISK)
-
-
 def shown(df: DataFrame, keys: list[str], ratio: list[str] = ()) -> DataFrame:
     """Money to its four decimals, ratios to six digits."""
     own = [c for c in (*CONCEPTS, "free_cash_flow") if c in df.columns]
@@ -185,9 +179,9 @@ VALID_SQL = FLAGGED_SQL + f", valid as (select *, {issues_sql(BALANCE_SQL | STRI
 
 
 def validated(spark: SparkSession, sf_dir: str, known: DataFrame | None = None) -> DataFrame:
-    """Groups with their issues and status. known: the groups of wide_groups(), persisted by a caller that reads them again."""
+    """Groups with their issues and status. known: the groups of wide_groups(), where a caller reads them too: one plan, whose exchanges Spark reuses."""
     keys = ["company", "year", "period"]
-    known = once(wide_groups(spark, sf_dir)) if known is None else known
+    known = wide_groups(spark, sf_dir) if known is None else known
     groups = known.join(gates.group_flags(facts(spark, sf_dir, known), keys), keys)
     return gates.validate(groups, gates.balance_rules() | gates.coverage_rules())
 
@@ -214,7 +208,7 @@ def fail_closed_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"with {FACTS_SQL}, ok as (with {VALID_SQL} select company, year, period from valid where status = 'VERIFIED') select company, year, period, concept, input_pos, round(value, 4) as value from facts semi join ok using (company, year, period) where currency = 'USD'")
 def accepted_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    known = once(wide_groups(spark, sf_dir))
+    known = wide_groups(spark, sf_dir)
     good = validated(spark, sf_dir, known).filter("status = 'VERIFIED'").select("company", "year", "period")
     return facts(spark, sf_dir, known).filter("currency = 'USD'").join(good, ["company", "year", "period"], "left_semi").select("company", "year", "period", "concept", "input_pos", F.round("value", 4).alias("value"))
 
