@@ -25,6 +25,7 @@ import unicodedata
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,10 +35,13 @@ from .common import table, text_of
 
 #: Bytes of a model file that may be broadcast; public vocabularies are far below.
 MODEL_LIMIT = 64_000_000
-#: Pieces in each of the two generations of encodings that a worker remembers.
-MEMO = 200_000
+#: Bytes of pieces and ids in each of the two generations of encodings that a worker remembers, counting MEMO_ENTRY for each.
+MEMO_BYTES = 12_000_000
+MEMO_ENTRY = 200
+#: Pairs of tokens whose compatibility a worker remembers.
+PAIRS = 100_000
 #: Texts that are split into words at once.
-CHUNK = 4096
+CHUNK = 1024
 #: Code points above the byte alphabet that stand for "this symbol ends a word".
 ENDED = 0x10000
 #: White space as the model's patterns mean it (the Unicode property, without the ASCII separators).
@@ -68,14 +72,14 @@ class BpeModel:
         self.base = len(order)
         order += [self._joined(a, b, suffix) for a, b in pairs]
         rank = {t: i for i, t in enumerate(order)}
-        self.ids = [vocabulary[t] for t in order]
+        self.names = [vocabulary[t].to_bytes(4, "little") for t in order]
         self.split = [(i, i) for i in range(self.base)]
         self.merged = {}
         for i, (a, b) in enumerate(pairs, start=self.base):
             self.split.append((rank[a], rank[b]))
             self.merged[rank[a], rank[b]] = i
         self.lengths = [len(to_symbols[t]) for t in order]
-        self.pair_ok: dict[tuple[int, int], bool] = {}
+        self.pair_ok: dict[int, bool] = {}
         reachable = [True] * self.base
         for i in range(self.base, len(order)):
             a, b = self.split[i]
@@ -91,8 +95,9 @@ class BpeModel:
                     break
         self.automaton.make_automaton()
         self.bytes = dict(enumerate(byte_alphabet()))
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.memo_bytes = 0
         self._offsets(vocabulary | {x["content"]: x["id"] for x in spec["added_tokens"]})
 
     @staticmethod
@@ -141,9 +146,12 @@ class BpeModel:
                         return True
 
     def follows(self, left: int, right: int) -> bool:
-        ok = self.pair_ok.get((left, right))
+        key = left * len(self.split) + right
+        ok = self.pair_ok.get(key)
         if ok is None:
-            ok = self.pair_ok[left, right] = self._compatible(left, right, len(self.split))
+            if len(self.pair_ok) >= PAIRS:
+                self.pair_ok.clear()
+            ok = self.pair_ok[key] = self._compatible(left, right, len(self.split))
         return ok
 
     def encode_symbols(self, symbols: str) -> list[int]:
@@ -155,12 +163,12 @@ class BpeModel:
         for end, token in self.automaton.iter_long(symbols):
             longest[start] = token
             start = end + 1
-        n, lengths, known, shorter = len(symbols), self.lengths, self.pair_ok, self.shorter
+        n, size, lengths, known, shorter = len(symbols), len(self.split), self.lengths, self.pair_ok, self.shorter
         out, at, token, closed = [], 0, longest[0], set()
         while at < n:
             end = at + lengths[token]
             if end not in closed:
-                ok = known.get((out[-1], token)) if out else True
+                ok = known.get(out[-1] * size + token) if out else True
                 if self.follows(out[-1], token) if ok is None else ok:
                     out.append(token)
                     at = end
@@ -175,30 +183,37 @@ class BpeModel:
                 at -= lengths[token]
         return out
 
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
+    def encode_piece(self, piece: str) -> bytes:
+        """The ids of one piece as 32-bit numbers."""
         found = self.memo.get(piece)
         if found is None:
             found = self.older.get(piece)
             if found is None:
                 text = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(self.bytes)
-                ids = self.ids
-                found = tuple([ids[r] for r in self.encode_symbols(text[:-1] + chr(ord(text[-1]) + ENDED))])
-            if len(self.memo) >= MEMO:  # what was not asked for since the last turn is forgotten
-                self.older, self.memo = self.memo, {}
+                found = self.id_bytes(self.encode_symbols(text[:-1] + chr(ord(text[-1]) + ENDED)))
+            self.memo_bytes += len(piece) + len(found) + MEMO_ENTRY
+            if self.memo_bytes > MEMO_BYTES:  # what was not asked for since the last turn is forgotten
+                self.older, self.memo, self.memo_bytes = self.memo, {}, len(piece) + len(found) + MEMO_ENTRY
             self.memo[piece] = found
         return found
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
+    def id_bytes(self, ranks: list[int]) -> bytes:
+        names = self.names
+        return names[ranks[0]] if len(ranks) == 1 else b"".join([names[r] for r in ranks])
+
+    def encode_text(self, text: str) -> bytes:
+        out: list[bytes] = []
         for part in self.cut.split(text) if self.cut and "<" in text else [text]:
             if part in self.special:
-                out.append(self.special[part])
+                out.append(self.special[part].to_bytes(4, "little"))
                 continue
             if not part.isascii():  # lower case goes character by character: no final sigma
                 part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-            for piece in self.pieces.findall(part.lower()):
-                out += self.encode_piece(piece)
-        return out
+            out += [self.encode_piece(piece) for piece in self.pieces.findall(part.lower())]
+        return out[0] if len(out) == 1 else b"".join(out)
+
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.encode_text(text), dtype="<i4").tolist()
 
     def encode_batch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, laid end to end, and where each text ends in them.
@@ -206,18 +221,43 @@ class BpeModel:
         No piece crosses ASCII white space, so each distinct word between such is encoded once and its
         ids are copied to its places.
         """
-        words = pa.compute.ascii_split_whitespace(texts)
+        words = pc.ascii_split_whitespace(texts)
         ends = np.asarray(words.offsets, dtype=np.int64)
         coded = words.values.dictionary_encode()
-        ids = [self.encode(w) for w in coded.dictionary.to_pylist()]
-        sizes = np.array([len(x) for x in ids], dtype=np.int64)
+        ids = [self.encode_text(w) for w in coded.dictionary.to_pylist()]
+        sizes = np.array([len(x) // 4 for x in ids], dtype=np.int64)
         starts = np.cumsum(sizes) - sizes
-        flat = np.fromiter((i for x in ids for i in x), dtype=np.int32, count=int(sizes.sum()))
+        flat = np.frombuffer(b"".join(ids), dtype="<i4")
         at = np.asarray(coded.indices, dtype=np.int64)
         total = np.concatenate([[0], np.cumsum(sizes[at])])
         places = np.repeat((starts[at] - total[:-1]).astype(np.int32), sizes[at]) + np.arange(total[-1], dtype=np.int32)
         return flat[places], total[ends]
 
+    def encode_lists(self, texts: pa.Array) -> pa.ListArray:
+        ids, ends = self.encode_batch(texts)
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
+
+    def decode_lists(self, lists: pa.ListArray, step: int = 1 << 16) -> pa.Array:
+        """The texts of lists of ids, a bounded number of tokens (whole lists) at once."""
+        sizes = np.asarray(pc.list_value_length(lists).fill_null(0), dtype=np.int64)
+        flat, ends = np.asarray(lists.flatten().fill_null(-1)), np.cumsum(sizes)
+        row, from_, texts = 0, 0, []
+        while row < len(sizes):
+            upto = max(row + 1, int(np.searchsorted(ends, from_ + step, side="right")))
+            data, cuts = self.decode_flat(flat[from_ : ends[upto - 1]], ends[row:upto] - from_)
+            raw, start = data.tobytes(), 0
+            for cut in cuts.tolist():
+                texts.append(raw[start:cut].decode("utf-8"))
+                start = cut
+            from_, row = int(ends[upto - 1]), upto
+        return pa.array(texts, pa.string())
+
+    def forget(self) -> None:
+        """Free what was remembered; the tables stay."""
+        self.memo, self.older, self.memo_bytes = {}, {}, 0
+        self.pair_ok.clear()
+        pa.default_memory_pool().release_unused()
+
     def decode_flat(self, ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of many lists of ids, laid end to end, and where each list ends in them."""
         good = (ids >= 0) & (ids < len(self.known))
@@ -260,43 +300,42 @@ def encode(df: DataFrame, model, text: str = "text", out: str = "ids") -> DataFr
 
     @arrow_udf("array<int>")
     def ids_of(texts: pa.Array) -> pa.Array:
-        tables, ends, parts, total = _model(model), [np.zeros(1, np.int64)], [np.zeros(0, np.int32)], 0
-        for row in range(0, len(texts), CHUNK):
-            ids, upto = tables.encode_batch(texts.slice(row, CHUNK))
-            parts.append(ids)
-            ends.append(upto[1:] + total)
-            total += len(ids)
-        return pa.ListArray.from_arrays(pa.array(np.concatenate(ends), pa.int32()), pa.array(np.concatenate(parts)))
+        done = [_model(model).encode_lists(texts.slice(row, CHUNK)) for row in range(0, len(texts), CHUNK)]
+        return pa.concat_arrays(done or [pa.array([], pa.list_(pa.int32()))])
 
     return df.withColumn(out, ids_of(text_of(text)))
 
 
 def decode(df: DataFrame, model, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """df with the string column `out`, the tokens of the ids joined by one space. Null ids count as none."""
-    step = 1 << 16
 
     @arrow_udf("string")
     def text_of_ids(lists: pa.Array) -> pa.Array:
-        tables, done = _model(model), []
-        for at in range(0, len(lists), CHUNK):
-            part = lists.slice(at, CHUNK)
-            sizes = np.asarray(pa.compute.list_value_length(part).fill_null(0), dtype=np.int64)
-            flat, ends = np.asarray(part.flatten().fill_null(-1)), np.cumsum(sizes)
-            row, from_, texts = 0, 0, []
-            while row < len(sizes):  # a bounded number of tokens at once, whole lists
-                upto = max(row + 1, int(np.searchsorted(ends, from_ + step, side="right")))
-                data, cuts = tables.decode_flat(flat[from_ : ends[upto - 1]], ends[row:upto] - from_)
-                raw, start = data.tobytes(), 0
-                for cut in cuts.tolist():
-                    texts.append(raw[start:cut].decode("utf-8"))
-                    start = cut
-                from_, row = int(ends[upto - 1]), upto
-            done.append(pa.array(texts, pa.string()))
+        done = [_model(model).decode_lists(lists.slice(row, CHUNK)) for row in range(0, len(lists), CHUNK)]
         return pa.concat_arrays(done or [pa.array([], pa.string())])
 
     return df.withColumn(out, text_of_ids(F.col(ids)))
 
 
+def encode_decode(df: DataFrame, model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns `keep` of df with ids and decoded, for whole tables: CHUNK rows at a time go in and out, and a task leaves nothing but the tables in its worker."""
+    rows = df.select(*keep, text_of(text).alias("text"))
+
+    def run(batches):
+        tables = _model(model)
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, CHUNK):
+                    part = batch.slice(at, CHUNK)
+                    ids = tables.encode_lists(part.column(len(keep)))
+                    yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], ids, tables.decode_lists(ids)], names=[*keep, "ids", "decoded"])
+        finally:
+            tables.forget()
+
+    kinds = [f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep]
+    return rows.mapInArrow(run, ", ".join([*kinds, "ids array<int>", "decoded string"]))
+
+
 def default_model_path() -> str:
     import public_tokenizers
 
@@ -310,7 +349,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     model = load_model(docs.sparkSession, path or default_model_path())
-    coded = decode(encode(docs.select("doc_id", "text"), model), model)
+    coded = encode_decode(docs, model)
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
