@@ -47,8 +47,9 @@ BLOCK = 384
 BLOCK_BYTES = 8_000_000
 #: Bytes of ids that may be broadcast; more are joined by a shuffle.
 BROADCAST = 32_000_000
-#: Nodes with many edges are joined by themselves; there are at most so many of them.
+#: Nodes with many edges are joined by themselves; there are at most so many of them. Fewer edges than APART fit a task, whatever node they are of.
 HUBS = 100_000
+APART = 1_000_000
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> tuple[int, int]:
@@ -114,17 +115,22 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Alternating large-star and small-star steps: a few equi-joins and minima each, a number of rounds that
     grows with the logarithm of the longest chain. Only counts come to the driver. Nodes with so many
-    edges that they would fill a task are HUBS at most; they are broadcast and their edges stay where they are.
+    edges that they would fill a task are HUBS at most; they are broadcast and their edges stay where they
+    are, once there are edges enough for that.
     """
     edges = checkpoint(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before, n = None, edges.count()
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("degree"))
-        many = max(1000, 2 * n // HUBS)
-        hubs = F.broadcast(least.filter(F.col("degree") > many).select("u", "m"))
-        few = both.join(hubs.select("u"), "u", "left_anti").join(least.filter(F.col("degree") <= many).select("u", "m"), "u")
-        large = both.join(hubs, "u").unionByName(few).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        if n > APART:
+            many = max(1000, 2 * n // HUBS)
+            hubs = F.broadcast(least.filter(F.col("degree") > many).select("u", "m"))
+            few = both.join(hubs.select("u"), "u", "left_anti").join(least.filter(F.col("degree") <= many).select("u", "m"), "u")
+            met = both.join(hubs, "u").unionByName(few)
+        else:
+            met = both.join(least.select("u", "m"), "u")
+        large = met.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
         edges = checkpoint(small.filter("u <> v").distinct())

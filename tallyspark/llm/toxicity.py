@@ -163,7 +163,8 @@ def fit(texts: list[str], labels: np.ndarray, languages: list[str], epochs: int
             np.add.at(squares[0], target, change**2)
             np.add.at(model.embeddings, target, -rate * change / np.sqrt(squares[0][target]))
     if held.any():
-        model.threshold, model.thresholds = calibrated(model.scores(buckets, words, offsets)[held], labels[held], np.array(languages, dtype=object)[held])
+        unseen = tokens(pa.array([texts[i] for i in np.flatnonzero(held)], pa.string()))
+        model.threshold, model.thresholds = calibrated(model.scores(*unseen), labels[held], np.array(languages, dtype=object)[held])
     return model
 
 

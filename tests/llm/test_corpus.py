@@ -200,6 +200,7 @@ def test_near_duplicates_without_or_with_equal_ids(spark):
 def test_components_of_hubs_and_chains(spark, monkeypatch):
     """Against a walk over the graph; nodes of many edges are joined apart."""
     monkeypatch.setattr(near_duplicates, "HUBS", 2)
+    monkeypatch.setattr(near_duplicates, "APART", 100)
     rng = random.Random(13)
     edges = [(1, i) for i in range(2, 1500)] + [(5000 + i, 5001 + i) for i in range(60)] + [(rng.randint(6000, 6400), rng.randint(6000, 6400)) for _ in range(150)]
     parent = {x: x for e in edges for x in e}
