@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_bpe
 from .html import op5_html_text
-from . import decontaminate, language_model, licenses, merkle, near_duplicates, quality, sharding, whitening
+from . import decontaminate, language_model, licenses, merkle, near_duplicates, pii, quality, sharding, whitening
 from .toxicity import op8_toxicity
 from .urls import op9_url_filter
 
@@ -23,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_url_filter": op9_url_filter,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_pii": pii.op11_pii,
     "op12_whitening": whitening.op12_whitening,
     "op13_merkle": merkle.op13_merkle,
 }
