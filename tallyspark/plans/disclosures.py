@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..adapters import table
 from ..functions import texts
 from ..operators import dml, extraction
-from ..sources import disclosures, markup
+from ..sinks.store import scratch
+from ..sources import disclosures, fact_files, markup
 from .records import said
 from .registry import query
 from .scalars import pick
@@ -111,3 +112,20 @@ def safe_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = pick(F.col("event_id") % 4, said('{"k": ', F.col("event_id"), "}"), "{}", "broken", "")
     tree = F.coalesce(F.try_parse_json(text), F.parse_json(F.lit('{"_empty": true}')))
     return table(spark, sf_dir, "events").select("event_id", F.try_variant_get(tree, "$.k", "long").alias("k"), F.try_variant_get(tree, "$._empty", "boolean").isNull().alias("readable"))
+
+
+@query(
+    "select lpad(o_custkey::varchar, 10, '0') as cik, o_orderkey::varchar as accession_number, o_totalprice::double as value, case o_orderstatus when 'F' then '10-K' else '10-Q' end as form "
+    "from orders where o_orderstatus = 'F' and year(o_orderdate) % 4 = 1"
+)
+def pushed_fact_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written as documents of facts in a folder for each form, read back by the data source: a form is chosen by folder, years while reading."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice", "o_orderstatus", F.year("o_orderdate").alias("year"))
+    value = F.struct(F.col("o_totalprice").cast("double").alias("val"), F.col("o_orderkey").cast("string").alias("accn"), F.col("year").alias("fy"), F.lit("FY").alias("fp"), F.when(F.col("o_orderstatus") == "F", "10-K").otherwise("10-Q").alias("form"))
+    facts = orders.groupBy("o_custkey", F.when(F.col("o_orderstatus") == "F", "10-K").otherwise("10-Q").alias("form")).agg(F.collect_list(value).alias("values"))  # the orders of one customer
+    body = F.struct(F.col("o_custkey").cast("string").alias("cik"), F.create_map(F.lit("us-gaap"), F.create_map(F.lit("Price"), F.struct(F.create_map(F.lit("USD"), F.col("values")).alias("units")))).alias("facts"))
+    folder = scratch(spark, "facts")
+    facts.select("form", F.to_json(body).alias("value")).write.partitionBy("form").text(folder)
+    read = fact_files.company_fact_files(spark, folder, bytes_per_partition="65536")
+    chosen = read.filter((F.col("form") == "10-K") & F.col("fy").isin(1993, 1997, 2001, 2005))
+    return chosen.select("cik", "accession_number", "value", "form")
