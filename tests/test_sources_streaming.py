@@ -2,8 +2,10 @@
 
 import json
 
+from pyspark.sql import functions as F
+
 from tallyspark.sources import disclosures
-from tallyspark.streaming import progress, windows
+from tallyspark.streaming import jobs, progress, windows
 
 
 def raw(spark, *documents):
@@ -64,3 +66,19 @@ def test_stream_windows_equal_the_table(spark, tmp_path):
     assert got == want and sum(r[3] for r in got) == 100
     once = streamed(spark, tmp_path, [df.limit(10), df.limit(10)], lambda s: windows.first_of_key(s, ["k", "v"], "2 days"), "first_rows")
     assert len(once) == 10
+
+
+def test_silent_jobs_time_out(spark, tmp_path):
+    """Timers close jobs over several batches; the state goes on from one call to the next."""
+    schema = "job_id long, at timestamp, percent double, stage string"
+    minute = lambda m: f"2024-01-01 00:{m:02}:00" if m < 60 else f"2024-01-01 {m // 60:02}:{m % 60:02}:00"
+    rows = lambda *found: spark.createDataFrame([(j, minute(m), p, s) for j, m, p, s in found], schema.replace("timestamp", "string")).withColumn("at", F.to_timestamp("at"))
+    told = lambda: jobs.watched_once(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), 600, f"{tmp_path}/out")
+    rows((1, 0, 10.0, "a"), (1, 5, 5.0, "b"), (2, 0, None, None), (2, 3, 120.0, "c")).coalesce(1).write.parquet(f"{tmp_path}/in")
+    first = {(r.job_id, str(r.at)[11:16], r.progress, r.stages, r.status) for r in told().collect()}
+    assert first == {(1, "00:00", 10.0, 1, "running"), (1, "00:05", 10.0, 2, "running"), (2, "00:00", 0.0, 1, "running"), (2, "00:03", 100.0, 2, "done")}
+    rows((3, 40, 1.0, "a"), (2, 39, 2.0, "a")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    rows((1, 41, 7.0, "a"), (3, 55, 3.0, "a")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    after = {(r.job_id, str(r.at)[11:16], r.progress, r.stages, r.status) for r in told().collect()} - first
+    # job 1 fell silent at 00:05 and begins anew; 2 is closed by its timer, 3 by its own late report
+    assert after == {(1, "00:15", 10.0, 2, "timed_out"), (2, "00:39", 2.0, 1, "running"), (3, "00:40", 1.0, 1, "running"), (1, "00:41", 7.0, 1, "running"), (2, "00:49", 2.0, 1, "timed_out"), (3, "00:50", 1.0, 1, "timed_out"), (3, "00:55", 3.0, 1, "running"), (1, "00:51", 7.0, 1, "timed_out")}
