@@ -1,7 +1,10 @@
 """Sharding by histogram sort: shards of nearly equal bytes, one exchange.
 
-Rows are ordered by (hash of the text, doc_id, a number of the row): equal texts are neighbours, and only a
-group larger than a shard is cut, by doc_id and then anywhere. Splitters are found by counting: each round
+Groups of equal texts stay whole unless they are larger than a shard. Those of over 1/HEAVY of a shard, of which
+there are under shards * HEAVY, are packed first, the largest into the emptiest shard. All other rows fill what is
+left: they are ordered by (hash of the text, doc_id, a number of the row), so that equal texts are neighbours, and a
+splitter that settles inside a small group moves to the nearer end of it. A group larger than a shard is cut, by
+doc_id and then anywhere. Splitters are found by counting: each round
 counts the exact bytes and rows below a few candidate boundaries for every open splitter (one aggregation
 over the slim, checkpointed keys, a handful of rows to the driver), shrinks the splitter's bracket to the
 keys that are really there and interpolates anew, until each splitter is within `tolerance` of its target or
@@ -10,19 +13,23 @@ should sort, by a hash of the whole key; counts of these parts make the slots of
 
 DataFrame and SQL functions only.
 
-Defined results: a null text counts as empty (size 1, crc32 0); a null doc_id sorts first; rows equal in
-text and doc_id are cut like any others; an empty table gives an empty result. Columns of other names pass
-through; size, text_crc32, law, shard, slot and grown_shard replace equal names.
+Defined results: a null text counts as empty (size 1, crc32 0); a null doc_id sorts first, one that is no number
+by its hash; an empty table gives an empty result. Columns of other names pass through; size, text_crc32, law,
+shard, slot and grown_shard replace equal names; key_h, key_d and key_r (the sort key) and names that begin with
+__shard_ are this module's own: columns of these names do not pass through.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import checkpoint, table, text_of
 
+HEAVY = 64
 LOW = -(1 << 63)
 SPAN = 1 << 64
 
@@ -36,7 +43,7 @@ def size_and_crc(text: str = "text") -> dict[str, Column]:
 
 def keyed(df: DataFrame, text: str = "text") -> DataFrame:
     """df with size, text_crc32 and the sort key key_h, key_d, key_r; to be checkpointed, as rows are numbered as they come."""
-    key = {"key_h": F.xxhash64(text_of(text)), "key_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LOW)), "key_r": F.monotonically_increasing_id()}
+    key = {"key_h": F.xxhash64(text_of(text)), "key_d": F.coalesce(F.col("doc_id").cast("string").try_cast("long"), F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("string"))), F.lit(LOW)), "key_r": F.monotonically_increasing_id()}
     return df.withColumns(size_and_crc(text) | key)
 
 
@@ -100,20 +107,34 @@ class Splitter:
             self.high = most + 1
 
 
-def splitters(keys: DataFrame, shards: int, tolerance: float, rounds: int = 200) -> tuple[list[tuple[int, int, int]], int]:
-    """Boundaries of the shards, each with exact bytes and rows below it; and the rows of all."""
+def heavy_groups(keys: DataFrame, shards: int) -> tuple[dict[int, int], list[float], float]:
+    """The shard of each group of over 1/HEAVY of a shard (by hash; none larger than a shard), the bytes that each shard has left for others, and a shard's size."""
+    total = keys.agg(F.sum("size")).first()[0] or 0
+    room = [total / shards] * shards
+    large = keys.groupBy("key_h").agg(F.sum("size").alias("bytes")).filter((F.col("bytes") > total / shards / HEAVY) & (F.col("bytes") <= total / shards))
+    homes = {}
+    for h, size in sorted(large.collect(), key=lambda r: (-r[1], r[0])):  # under shards * HEAVY rows
+        homes[h] = max(range(shards), key=lambda j: (room[j], -j))
+        room[homes[h]] -= size
+    return homes, room, total / shards
+
+
+def splitters(keys: DataFrame, shards: int, tolerance: float, rounds: int = 200, room: list[float] | None = None, shard: float | None = None) -> tuple[list[tuple[int, int, int]], int]:
+    """Boundaries of the shards, each with exact bytes and rows below it; and the rows of all. room: bytes wanted in each shard, equal ones by default; shard: the size above which a group is cut."""
     whole = keys.agg(F.sum("size"), F.count("*"), F.min("key_h"), F.max("key_h")).first()
     total, rows = whole[0] or 0, whole[1]
     if not rows:
         return [], 0
     most = -LOW - 1
     low, high = packed(whole[2], LOW, LOW), packed(whole[3], most, most) + 1
-    sought = [Splitter(total * j / shards, tolerance * total / shards, low, high, total, rows) for j in range(1, shards)]
+    wanted, shard = [max(0.0, x) for x in room or [1.0] * shards], shard or total / shards
+    share = total / (sum(wanted) or 1.0)
+    sought = [Splitter(share * sum(wanted[:j]), tolerance * shard, low, high, total, rows) for j in range(1, shards)]
     ends = [f(k) for k in ("key_h", "key_d", "key_r") for f in (F.min, F.max)]
     for _ in range(rounds):
         active = [s for s in sought if s.open()]
         if not active:
-            return [s.best() for s in sought], rows
+            return whole_groups(keys, [(s.target, s.best()) for s in sought], shard), rows
         probes = sorted({p for s in active for p in [s.low, *s.probes(), s.high]})  # the ends of a bracket part its rows from others
         counted = keys.groupBy(place(probes).alias("cell")).agg(F.sum("size"), F.count("*"), *ends)
         cells = {r[0]: r for r in counted.collect()}  # at most one row more than there are probes
@@ -137,20 +158,52 @@ def splitters(keys: DataFrame, shards: int, tolerance: float, rounds: int = 200)
     raise RuntimeError(f"splitters did not settle in {rounds} rounds")
 
 
+def whole_groups(keys: DataFrame, settled: list[tuple[float, tuple[int, int, int]]], shard: float) -> list[tuple[int, int, int]]:
+    """Boundaries moved to the nearer end of the group of equal texts in which they fall, unless it is larger than a shard. One more count."""
+    ends = {}
+    for _, (b, _, _) in settled:
+        h = b // SPAN // SPAN + LOW
+        ends[b] = packed(h, LOW, LOW), packed(h + 1, LOW, LOW)
+    probes = sorted({e for pair in ends.values() for e in pair} | set(ends))
+    inside = [p for p in probes if p // SPAN // SPAN + LOW <= -LOW - 1]  # behind the last hash is behind all rows
+    cells = {r[0]: r for r in keys.groupBy(place(inside).alias("cell")).agg(F.sum("size"), F.count("*")).collect()}  # one row more than there are probes
+    below, before, sums = 0, 0, {}
+    for i, p in enumerate([*inside, *probes[len(inside) :]]):
+        if i <= len(inside) and i in cells:
+            below, before = below + cells[i][1], before + cells[i][2]
+        sums[p] = (p, below, before)
+    out = []
+    for target, (b, _, _) in settled:
+        first, last = (sums[e] for e in ends[b])
+        own = sums[b]
+        if first[1] < own[1] < last[1] and last[1] - first[1] <= shard:
+            own = first if target - first[1] <= last[1] - target else last
+        out.append(own)
+    return out
+
+
 def assign(df: DataFrame, keys: DataFrame, shards: int = 16, tolerance: float = 0.001, rows_a_part: int = 1_000_000) -> DataFrame:
-    """df (from keyed(), checkpointed) with law, shard, slot and grown_shard. keys: its size, key_h, key_d and key_r, cheap to read again and again."""
-    found, n = splitters(keys, shards, tolerance)
+    """df (from keyed(), checkpointed) with law, shard, slot and grown_shard. keys: its size and sort key, cheap to read again and again."""
+    homes, room, shard = heavy_groups(keys, shards)
+    told = F.from_json(F.lit(json.dumps({str(h): j for h, j in homes.items()})), "map<string,int>")
+    known = df.sparkSession.range(1).select(F.explode(told).alias("g", "__shard_home")).select(F.col("g").cast("long").alias("__shard_g"), "__shard_home")
+    known = F.broadcast(known)  # under shards * HEAVY rows
+    homed = lambda rows: rows.join(known, F.col("key_h") == F.col("__shard_g"), "left").drop("__shard_g")
+    keys = homed(keys)
+    found, light = splitters(keys.filter("__shard_home is null"), shards, tolerance, room=room, shard=shard)
+    n = light + (keys.filter("__shard_home is not null").count() if homes else 0)
+    df = homed(df)
     parts = max(1, -(-n // (shards * rows_a_part)))
-    where = {"shard": place([b for b, _, _ in found]).cast("int"), "part_": F.pmod(F.xxhash64("key_h", "key_d", "key_r"), F.lit(parts)).cast("int")}
+    where = {"shard": F.coalesce("__shard_home", place([b for b, _, _ in found])).cast("int"), "__shard_part": F.pmod(F.xxhash64("key_h", "key_d", "key_r"), F.lit(parts)).cast("int")}
     dealt = df.withColumns(where)
-    slot = F.row_number().over(W.partitionBy("shard", "part_").orderBy("key_h", "key_d", "key_r")) - 1
+    slot = F.row_number().over(W.partitionBy("shard", "__shard_part").orderBy("key_h", "key_d", "key_r")) - 1
     if parts > 1:  # a row for each part of a shard
-        counts = keys.withColumns(where).groupBy("shard", "part_").agg(F.count("*").alias("n"))
-        before = F.sum("n").over(W.partitionBy("shard").orderBy("part_")) - F.col("n")
-        counts = counts.select(F.col("shard").alias("s_"), F.col("part_").alias("p_"), before.alias("before_"))
-        dealt = dealt.join(F.broadcast(counts), (F.col("shard") == F.col("s_")) & (F.col("part_") == F.col("p_"))).drop("s_", "p_")
-        slot = slot + F.col("before_")
-    return dealt.withColumns({"law": F.lit("bytes"), "slot": slot.cast("long"), "grown_shard": F.lit(None).cast("int")}).drop("part_", "before_", "key_h", "key_d", "key_r")
+        counts = keys.withColumns(where).groupBy("shard", "__shard_part").agg(F.count("*").alias("n"))
+        before = F.sum("n").over(W.partitionBy("shard").orderBy("__shard_part")) - F.col("n")
+        counts = counts.select(F.col("shard").alias("__shard_s"), F.col("__shard_part").alias("__shard_p"), before.alias("__shard_before"))
+        dealt = dealt.join(F.broadcast(counts), (F.col("shard") == F.col("__shard_s")) & (F.col("__shard_part") == F.col("__shard_p"))).drop("__shard_s", "__shard_p")
+        slot = slot + F.col("__shard_before")
+    return dealt.withColumns({"law": F.lit("bytes"), "slot": slot.cast("long"), "grown_shard": F.lit(None).cast("int")}).drop("__shard_part", "__shard_before", "__shard_home", "key_h", "key_d", "key_r")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

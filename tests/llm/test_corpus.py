@@ -88,6 +88,8 @@ def test_shards_are_even_and_gapless(spark):
         got = sharding.assign(slim, slim.select("size", "key_h", "key_d", "key_r"), rows_a_part=a_range).toPandas()
         assert len(got) == len(rows) and set(got["shard"]) == set(range(16)) and set(got["law"]) == {"bytes"}
         sums = got.groupby("shard")["size"].sum()
+        same = got[got["text_crc32"] == zlib.crc32(b"same text")]
+        assert same["shard"].nunique() == 1 and same["size"].sum() > sums.mean() / 4
         assert sums.max() - sums.min() <= 2 * 402 + 0.004 * sums.mean()
         assert all(sorted(x) == list(range(len(x))) for _, x in got.groupby("shard")["slot"])
     one = got[got["doc_id"] == 5]
@@ -106,8 +108,7 @@ def test_shards_cut_a_hot_repeated_row(spark):
         sums = got.groupby("shard")["size"].sum()
         assert len(got) == 6000 and sums.max() - sums.min() <= 400 and all(sorted(x) == list(range(len(x))) for _, x in got.groupby("shard")["slot"])
         others = got[got["doc_id"] != 7]
-        cut = others.groupby("text_crc32")["shard"].nunique()
-        assert (cut > 1).sum() <= 15  # a splitter cuts one group at most
+        assert (others.groupby("text_crc32")["shard"].nunique() == 1).all()  # only the group that is larger than a shard is cut
 
 
 def test_splitters_equal_a_sort(spark):
@@ -120,10 +121,27 @@ def test_splitters_equal_a_sort(spark):
     total = sum(s for _, s in rows)
     sums = np.concatenate([[0], np.cumsum([s for _, s in rows])])
     assert n == 2000
+    hashes = [k // sharding.SPAN // sharding.SPAN for k, _ in rows]
+    borders = np.array([sums[i] for i in range(len(rows) + 1) if i in (0, len(rows)) or hashes[i - 1] != hashes[i]])
     for j, (boundary, below, before) in enumerate(found, start=1):
         at = sum(k < boundary for k, _ in rows)
-        assert (below, before) == (sums[at], at)
-        assert abs(below - total * j / 16) <= max(0.001 * total / 16, np.abs(sums - total * j / 16).min()) + 1e-6
+        assert (below, before) == (sums[at], at) and below in borders
+        assert abs(below - total * j / 16) <= max(0.001 * total / 16, np.abs(borders - total * j / 16).min()) + 1e-6
+
+
+@pytest.mark.parametrize(("seed", "n", "copies"), [(0, 400, 5), (1, 3000, 40), (2, 3000, 2), (3, 60, 3)])
+def test_no_group_under_a_shards_size_is_split(spark, seed, n, copies):
+    rng = random.Random(seed)
+    texts = [f"{i} " * rng.randint(1, 60) for i in range(n // copies)]
+    df = spark.createDataFrame([(f"id {i}" if i % 7 == 0 else str(i), rng.choice(texts)) for i in range(n)], "doc_id string, text string")
+    slim = checkpoint(sharding.keyed(df).drop("text"))
+    got = sharding.assign(slim, slim.select("size", "key_h", "key_d", "key_r")).toPandas()
+    assert len(got) == n and got["size"].sum() == slim.agg(F.sum("size")).first()[0]
+    groups = got.groupby("text_crc32").agg(size=("size", "sum"), shards=("shard", "nunique"))
+    assert (groups["shards"][groups["size"] <= got["size"].sum() / 16] == 1).all()
+    sums = got.groupby("shard")["size"].sum().reindex(range(16), fill_value=0)
+    assert sums.max() - sums.min() <= max(sums.mean() / 32 + 400, groups["size"].max() if n < 100 else 0) * 1.01
+    assert all(sorted(x) == list(range(len(x))) for _, x in got.groupby("shard")["slot"])
 
 
 def shingle_set(t):
