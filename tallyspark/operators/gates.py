@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 CORE = ["revenue", "net_income", "assets", "liabilities", "total_equity", "operating_cash_flow"]
 
+# The concepts of which a dataset has at least one.
+USEFUL = ["revenue", "net_income", "assets", "operating_cash_flow"]
+
 
 def _missing(*names: str) -> Column:
     out = F.lit(False)
@@ -57,6 +60,13 @@ def group_flags(facts: DataFrame, keys: list[str]) -> DataFrame:
     return facts.groupBy(*keys).agg(F.bool_or(F.col("accession") == "").alias("blank_accession"), F.bool_or(F.col("currency") == "").alias("blank_currency"))
 
 
+def dataset_presence(datasets: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+    """datasets (key) with the issue that ends all other checks: no_financial_facts, no_core_financial_facts (no fact of USEFUL at all) or none (empty)."""
+    had = facts.groupBy(key).agg(F.bool_or(F.col("concept").isin(USEFUL)).alias("core"))
+    told = F.when(F.col("core").isNull(), "no_financial_facts").when(~F.col("core"), "no_core_financial_facts").otherwise("")
+    return datasets.join(had, key, "left").withColumn("issue", told).drop("core")
+
+
 def dataset_status(groups: DataFrame, key: str) -> DataFrame:
     """REJECTED if nothing passed, READY_WITH_WARNINGS if something did not, else VERIFIED."""
     passed = F.col("status") == "VERIFIED"

@@ -201,6 +201,17 @@ def dataset_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.dataset_status(validated(spark, sf_dir), "company")
 
 
+@query(
+    f"with {FACTS_SQL}, d as (select c_custkey as company from customer where c_custkey <= 40), f as (select company + case when company % 3 = 0 then 15 else 0 end as company, concept from facts where company % 2 = 0 or concept in ('liabilities', 'total_equity')), "
+    "c as (select company, bool_or(concept in ('revenue', 'net_income', 'assets', 'operating_cash_flow')) as core from f group by company) select d.company, case when core is null then 'no_financial_facts' when not core then 'no_core_financial_facts' else '' end as issue from d left join c using (company)"
+)
+def dataset_presence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Companies without facts, or with none of the core."""
+    known = facts(spark, sf_dir).filter((F.col("company") % 2 == 0) | F.col("concept").isin("liabilities", "total_equity"))
+    moved = known.withColumn("company", F.col("company") + F.when(F.col("company") % 3 == 0, 15).otherwise(0))
+    return gates.dataset_presence(table(spark, sf_dir, "customer").filter("c_custkey <= 40").select(F.col("c_custkey").alias("company")), moved, "company")
+
+
 @query(f"with {VALID_SQL}, l as (select * from valid where period = 'FY' qualify row_number() over (partition by company order by year desc) = 1) select company, year, round(revenue, 4) as revenue from l where status = 'VERIFIED'")
 def fail_closed_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.latest_or_nothing(validated(spark, sf_dir).filter("period = 'FY'"), "company", "year").select("company", "year", F.round("revenue", 4).alias("revenue"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..adapters import FACTS_SQL, facts, table
-from ..functions import records, trees
+from ..functions import records, reports, trees
 from .registry import query
 from .scalars import pick
 
@@ -139,6 +139,38 @@ def staged_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir, records.staged_report(F.try_parse_json(told)).alias("r")).select("event_id", "r.*")
 
 
+EN = {n: t[1] for n, t in reports.STANDING.items()}
+ZH = {n: t[0] for n, t in reports.STANDING.items()}
+
+
+def _standing(name: str) -> str:
+    return f"case when event_id % 2 = 0 then '\"{EN[name]}\"' else '\"{ZH[name]}\"' end"
+
+
+@query(
+    f"""select event_id, {_standing("executive_summary")} as executive_summary,
+  case event_id % 3 when 0 then '{{"possible_moats":["m' || user_id || '"],"unknowns":["u' || event_id || '"]}}' when 1 then '{{"possible_moats":[],"summary":"b"}}' else '{{}}' end as business_model,
+  '{{"accounting_risk":{{}},"financial_analysis":{{"margin":' || user_id || '}}}}' as financial_quality,
+  case when event_id % 3 = 0 then '["m' || user_id || '"]' else {_standing("competitive_position")} end as competitive_position,
+  case when event_id % 4 = 0 then '[{{"title":"g' || event_id || '"}}]' else '{{"leading_indicators":["i' || user_id || '","j","j"]}}' end as growth_opportunities,
+  case when event_id % 5 = 0 then '["no run"]' else '{{}}' end as counterarguments, '{{"base":1}}' as scenarios, {_standing("thesis")} as thesis,
+  case when event_id % 5 = 0 then '["no run"]' else {_standing("invalidation_conditions")} end as invalidation_conditions,
+  case when event_id % 4 = 0 then {_standing("leading_indicators")} else '["i' || user_id || '","j"]' end as leading_indicators,
+  case when event_id % 3 = 0 then '["u' || event_id || '","m' || user_id || '"' || case when event_id % 5 = 0 then ',"no run"' else '' end || ']' when event_id % 5 = 0 then '["no run"]' else {_standing("unresolved_questions")} end as unresolved_questions,
+  '[{{"kind":"fact","text":"c' || event_id || '"}}' || case when user_id <> event_id then ',{{"text":"c' || user_id || '"}}' else '' end || ']' as claims from events"""
+)
+def fallback_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve sections from the stages that are there; standing texts where a stage left nothing."""
+    ID, USER = keys()
+    business = pick(ID % 3, said('{"unknowns": ["u', ID, '"], "possible_moats": ["m', USER, '"], "_x": 1}'), '{"summary": "b", "possible_moats": []}', "no json")
+    financial = said('{"margin": ', USER, ', "claims": [{"text": "c', ID, '", "kind": "fact", "_y": 2}, {"text": " c', ID, '"}], "structured_output_valid": true}')
+    growth = F.when(ID % 4 == 0, said('{"opportunities": [{"title": "g', ID, '"}]}')).otherwise(said('{"leading_indicators": ["i', USER, '", "j", "j"]}'))
+    skeptic = F.when(ID % 5 == 0, F.lit('{"strongest_counterarguments": ["no run"]}'))
+    forecast = said('{"scenarios": {"base": 1}, "claims": [{"text": "c', USER, '"}]}')
+    made = reports.fallback_report(business, financial, F.lit(None).cast("string"), growth, skeptic, forecast, F.when(ID % 2 == 0, "en").otherwise("zh-CN"))
+    return events(spark, sf_dir, made.alias("r")).select("event_id", "r.*")
+
+
 # Trees of any depth.
 
 def tree_text():
