@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..adapters import table
+from ..sinks.artifacts import Artifacts, Stage
 from ..sinks.store import Conflict, Store, Transaction, scratch
 from .registry import query
 
@@ -73,3 +74,31 @@ def committed_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     except Conflict:
         store.run(add(1))
     return store.read("theses")
+
+
+def _priced(orders: DataFrame, customer: DataFrame) -> DataFrame:
+    return orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select("c_nationkey", "o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("price"))
+
+
+def _summed(priced: DataFrame, broken: bool) -> DataFrame:
+    if broken:
+        priced = priced.withColumn("price", F.when(F.col("o_orderkey") > 0, F.raise_error(F.lit("lost")).cast("decimal(18,2)")))
+    return priced.groupBy("c_nationkey").agg(F.sum("price").cast("double").alias("total"))
+
+
+def _ranked(summed: DataFrame) -> DataFrame:
+    return summed.withColumn("rank", F.rank().over(Window.orderBy(F.col("total").desc())))  # one row for each of 25 nations
+
+
+@query(
+    "with s as (select c_nationkey, sum(cast(o_totalprice as decimal(18,2)))::double as total from orders join customer on o_custkey = c_custkey group by 1) "
+    "select c_nationkey, total, rank() over (order by total desc)::int as rank, 'made,failed,skipped' as first_run, 'reused,made,made' as second_run, 'reused,reused,reused' as third_run from s"
+)
+def resumed_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three stages of which the second breaks; taken up again, the first is not run twice, and a third run runs nothing."""
+    tables = {n: table(spark, sf_dir, n) for n in ("orders", "customer")}
+    kept = Artifacts(spark, scratch(spark, "stages"))
+    plan = lambda broken: [Stage("priced", _priced, ["orders", "customer"]), Stage("summed", _summed, ["priced"], {"broken": broken}), Stage("ranked", _ranked, ["summed"])]
+    runs = [kept.run(plan(broken), tables) for broken in (True, False, False)]
+    told = [F.lit(",".join(r.state for r in run.values())).alias(name) for run, name in zip(runs, ("first_run", "second_run", "third_run"), strict=True)]
+    return kept.read(runs[-1]["ranked"]).select("c_nationkey", "total", "rank", *told)
