@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..adapters import FILINGS_SQL, filings, table
 from ..functions import texts, trees
-from ..operators import outcomes
+from ..operators import metrics, outcomes
 from ..operators.latest import top_k_per_key
 from .records import said
 from .registry import query
@@ -20,28 +20,31 @@ GOLDEN = {
 }
 
 
-def golden(spark: SparkSession) -> DataFrame:
-    """55 facts of five years."""
-    rows = [(f"demo|{2021 + i}|{c}", 2021 + i, c, v * 1e6) for c, values in GOLDEN.items() for i, v in enumerate(values)]
-    return spark.createDataFrame(rows, "key string, year int, concept string, value double").withColumn("fact_id", texts.content_id(F.col("key")))
+def golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The golden company's 55 facts of five years, told by each supplier in units of its own (1 to 5); even suppliers filed a draft before."""
+    k = F.col("s_suppkey")
+    told = F.array(*[F.struct(F.lit(2021 + i).alias("year"), F.lit(c).alias("concept"), F.lit(v * 1e6).alias("base")) for c, values in GOLDEN.items() for i, v in enumerate(values)])
+    facts = table(spark, sf_dir, "supplier").select(k.alias("company"), (k % 5 + 1).alias("unit"), F.inline(told))
+    filed = facts.select("*", F.explode(F.when(F.col("company") % 2 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))).alias("input_pos"))
+    value = F.when(F.col("input_pos") == 0, F.col("base") / 3).otherwise(F.col("base")) * F.col("unit")
+    return filed.select("company", "year", "concept", value.alias("value"), F.lit("FY").alias("period"), F.concat(F.lit("2026-0"), (F.col("input_pos") + 1).cast("string"), F.lit("-01")).alias("filed_at"), "input_pos")
 
 
-GOLDEN_SQL = "g as (select * from (values " + ", ".join(f"({2021 + i}, '{c}', {v}e6)" for c, values in GOLDEN.items() for i, v in enumerate(values)) + ") v(year, concept, value))"
+GOLDEN_SQL = "g as (select s_suppkey as company, year, concept, value * (s_suppkey % 5 + 1) as value from supplier, (values " + ", ".join(f"({2021 + i}, '{c}', {v}e6)" for c, values in GOLDEN.items() for i, v in enumerate(values)) + ") v(year, concept, value))"
 
 
 @query(
-    f"with {GOLDEN_SQL}, w as (select year, max(value) filter (concept = 'revenue') as r, max(value) filter (concept = 'net_income') as n, max(value) filter (concept = 'operating_cash_flow') as o, max(value) filter (concept = 'capital_expenditure') as c, max(value) filter (concept = 'liabilities') as l, max(value) filter (concept = 'assets') as a, "
-    "left(sha256('demo|' || year || '|revenue'), 24) as revenue_id from g group by year) select year, revenue_id, round(r / lag(r) over (order by year) - 1, 10) as growth, round(n / r, 10) as net_margin, (o - c)::double as free_cash_flow, round(l / a, 10) as debt_to_assets from w"
+    f"with {GOLDEN_SQL}, w as (select company, year, max(value) filter (concept = 'revenue') as r, max(value) filter (concept = 'operating_income') as i, max(value) filter (concept = 'net_income') as n, max(value) filter (concept = 'operating_cash_flow') as o, max(value) filter (concept = 'capital_expenditure') as c, max(value) filter (concept = 'liabilities') as l, max(value) filter (concept = 'assets') as a, max(value) filter (concept = 'equity') as e, count(*) as facts from g group by all) "
+    "select company, year, left(sha256(company || '|' || year || '|revenue'), 24) as revenue_id, facts, round(r / lag(r) over (partition by company order by year) - 1, 10) as revenue_growth, round(i / r, 10) as operating_margin, round(n / r, 10) as net_margin, round(o / n, 10) as cash_conversion, (o - c)::double as free_cash_flow, round(l / a, 10) as debt_to_assets, round(n / e, 10) as return_on_equity from w"
 )
 def golden_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics of the golden company, whose facts are written down here."""
-    from pyspark.sql import Window as W
-
-    wide = golden(spark).groupBy("year").pivot("concept", list(GOLDEN)).agg(F.first("value"))
-    ids = golden(spark).filter("concept = 'revenue'").select("year", F.col("fact_id").alias("revenue_id"))
-    growth = F.col("revenue") / F.lag("revenue").over(W.partitionBy(F.lit(1)).orderBy("year")) - 1  # five rows
-    told = wide.select("year", F.round(growth, 10).alias("growth"), F.round(F.col("net_income") / F.col("revenue"), 10).alias("net_margin"), (F.col("operating_cash_flow") - F.col("capital_expenditure")).alias("free_cash_flow"), F.round(F.col("liabilities") / F.col("assets"), 10).alias("debt_to_assets"))
-    return told.join(ids, "year")
+    """The golden company through the operators that all facts pass: latest value of each concept, then annual metrics."""
+    concepts = ["total_equity" if c == "equity" else c for c in GOLDEN]
+    facts = golden(spark, sf_dir).withColumn("concept", F.when(F.col("concept") == "equity", "total_equity").otherwise(F.col("concept")))
+    annual = metrics.matrix(facts.filter(metrics.is_annual()), ["company", "year"], concepts, F.count_distinct("concept").alias("facts"))
+    told = metrics.annual_metrics(annual)
+    ratios = ["revenue_growth", "operating_margin", "net_margin", "cash_conversion", "debt_to_assets", "return_on_equity"]
+    return told.select("company", "year", texts.content_id(F.concat_ws("|", "company", "year", F.lit("revenue"))).alias("revenue_id"), "facts", "free_cash_flow", *[F.round(r, 10).alias(r) for r in ratios])
 
 
 @query(
