@@ -10,7 +10,9 @@ from ..operators import positions
 from .records import said
 from .registry import query
 
-K = F.col("s_suppkey")
+
+def key() -> Column:
+    return F.col("s_suppkey")
 
 
 def cell(page, x, top, text, width: float = 30.0) -> Column:
@@ -21,6 +23,7 @@ def cell(page, x, top, text, width: float = 30.0) -> Column:
 
 def words_of(spark: SparkSession, sf_dir: str, cells: Column) -> DataFrame:
     """Words of one document for each supplier from an array of cells, in that order; null cells are left out."""
+    K = key()  # noqa: N806
     return table(spark, sf_dir, "supplier").select(K.alias("document_id"), F.posexplode(F.filter(cells, lambda c: c.isNotNull())).alias("seq", "w")).select("document_id", "w.page", "seq", "w.x0", "w.top", "w.x1", "w.bottom", "w.text")
 
 
@@ -34,6 +37,7 @@ SLANTED = "select s_suppkey as k, r * 3 + c as seq, 100 + 12 * r + ((s_suppkey *
 )
 def visual_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words on one line, measured from the line's first word; lines are slanted, so that some break."""
+    K = key()  # noqa: N806
     r, c = F.floor(F.col("i") / 3), F.col("i") % 3
     slanted = table(spark, sf_dir, "supplier").select(K, F.explode(F.sequence(F.lit(0), F.lit(23))).alias("i"))
     words = slanted.select(K.alias("document_id"), F.lit(1).alias("page"), F.col("i").alias("seq"), (c * 40.0).alias("x0"), (100 + 12 * r + ((K * (c + 1) + r) % 9) * 0.5).alias("top"), (c * 40.0 + 30).alias("x1"), F.lit(0.0).alias("bottom"), said("w", F.col("i")).alias("text"))
@@ -48,6 +52,7 @@ def visual_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def value_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where numbers stand above each other: each joins the first group whose mean so far is near."""
+    K = key()  # noqa: N806
     cells = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: cell(1, ((K * 7 + i * i * 13) % 40) * 5.0, i * 20, said(i)))
     return positions.value_clusters(words_of(spark, sf_dir, cells)).select("document_id", "n", F.round("center", 6).alias("center"))
 
@@ -61,6 +66,7 @@ def value_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def period_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One to three years in a heading, their bounds half-way, the currency of the nearest unit."""
+    K = key()  # noqa: N806
     years = [F.when(i < 1 + K % 3, cell(1, 200 + 100 * i + (K * (i + 1)) % 17, 130, said(2020 + (K + i * 3) % 7))) for i in range(3)]
     cells = F.array(cell(1, 50, 100, "Statement of financial position"), *years, cell(1, 200 + K % 23, 150, "RMB"), cell(1, 380 - K % 29, 150, "US$"), cell(1, 50, 170, "in thousands"), cell(1, 50, 190, "Total assets"), cell(1, 300, 190, "5"))
     return positions.period_columns(words_of(spark, sf_dir, cells)).select("document_id", "year", "center", "left", "right", "currency", "scale")
@@ -73,6 +79,7 @@ def period_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def wrapped_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A label that wraps around its value is one row if its parts are close and aligned."""
+    K = key()  # noqa: N806
     top = 106 + 1 + (K * 3) % 10
     cells = F.array(cell(1, 50, 100, "Total"), cell(1, 300, top, said("(", K, ".5)")), cell(1, 50 + (K % 11) * 2, top + 6 + 1 + (K * 7) % 9, "liabilities"))
     return positions.table_rows(words_of(spark, sf_dir, cells)).filter("row = 0").select("document_id", "taken", F.col("merged_label").alias("label"))
@@ -84,6 +91,7 @@ LINES = [("Total assets", "assets"), ("Total liabilities", "liabilities"), ("Tot
 
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    K = key()  # noqa: N806
     shift = K % 3 / 1.0  # rows are not quite straight
     cells = [cell(1, 50, 100, "Consolidated"), cell(1, 85, 100 + shift, "balance sheet"), cell(1, 300, 112, "2024"), cell(1, 400, 112, "2023"), cell(1, 50, 124, "in RMB'000")]
     for j, (label, _) in enumerate(LINES):
@@ -152,6 +160,7 @@ def positional_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def nearest_equity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equity among three candidates: nearest to assets less liabilities where both are known (even suppliers), else by rank."""
+    K = key()  # noqa: N806
     entry = lambda place, concept, value, rank: F.struct(F.lit(1).alias("page"), F.lit(0).alias("section"), F.lit(place).alias("row"), F.lit(0).alias("place"), F.lit(concept).alias("concept"), F.lit(concept).alias("label"), value.cast("double").alias("value"), F.lit("CNY").alias("currency"), F.lit(1.0).alias("scale"), F.lit("balance_sheet").alias("statement"), F.lit("parent").alias("scope"), F.lit("").alias("bbox"), F.lit("").alias("raw_text"), F.lit(rank).alias("rank"), F.lit(False).alias("prefixed"))
     equity = [entry(i, "total_equity", (K * (i + 3) * 29) % 700, (11, 10, 1)[i]) for i in range(3)]
     known = [entry(3, "assets", (K * 37) % 500 + 300, 10), entry(4, "liabilities", (K * 11) % 200, 10)]
