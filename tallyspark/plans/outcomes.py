@@ -74,6 +74,21 @@ def pages_to_read_again(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.pages_to_read_again(rows, table(spark, sf_dir, "supplier").select(k.alias("document_id"), F.explode(wanted).alias("statement")))
 
 
+@query(
+    "with p as (select s_suppkey as k, i, (s_suppkey * 5 + i * i * 2 + s_suppkey * i // 3) % 7 as kind from supplier, range(1, 13) t(i)), "
+    "o as (select *, last_value(case when kind < 3 then i end ignore nulls) over w as titled, last_value(case when kind < 3 then kind end ignore nulls) over w as opened from p window w as (partition by k order by i)) "
+    "select k as document_id, i::int as page, ['balance_sheet', 'cash_flow'][opened + 1] as statement from o where opened < 2 and i - titled <= 2 and (opened = 0 or k % 2 = 1)"
+)
+def mixed_pages_again(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which pages are read again where titles, accounts of the parent and other pages follow in an order that depends on the row."""
+    k, i = F.col("s_suppkey"), F.col("i")
+    supplier = table(spark, sf_dir, "supplier").select("s_suppkey")
+    text = F.element_at(F.array(*[F.lit(t) for t in ("Acme\nConsolidated  balance sheet\n1", "Statement of cash flows\nfor the year", "Notes\nof the parent company\nIncome statement", "more", "more and more", "1 2 3", "")]), ((k * 5 + i * i * 2 + F.floor(k * i / 3)) % 7 + 1).cast("int"))
+    rows = supplier.select("s_suppkey", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("i")).select(k.alias("document_id"), i.alias("page"), text.alias("text"))
+    wanted = F.explode(F.when(k % 2 == 1, F.array(F.lit("balance_sheet"), F.lit("cash_flow"), F.lit("income_statement"))).otherwise(F.array(F.lit("balance_sheet"), F.lit("income_statement"))))
+    return outcomes.pages_to_read_again(rows, supplier.select(k.alias("document_id"), wanted.alias("statement")))
+
+
 @query("select l_orderkey, l_linenumber, l_partkey from lineitem where l_returnflag <> 'R' and l_orderkey not in (select l_orderkey from lineitem where l_quantity = 1)")
 def trusted_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of accessions without a rejected group."""

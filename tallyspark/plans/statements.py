@@ -50,6 +50,55 @@ def page_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("document_id", "page", "statement", "multiplier", statements.concept_density(F.col("text")).alias("density"))
 
 
+# Reports of ten pages whose kind depends on the row: titles of two statements, pages that are marked as continued, pages with a label of the balance sheet, prose.
+KINDS_SQL = (
+    "p as (select s_suppkey as k, i, i + case when s_suppkey % 4 = 0 and i >= 6 then 1 else 0 end as page, (s_suppkey * 3 + i * i + s_suppkey * i // 2) % 5 as kind from supplier, range(1, 11) t(i)), "
+    "o as (select *, page - lag(page) over w as gap, last_value(case when kind in (0, 4) then i end ignore nulls) over w as titled, last_value(case when kind in (0, 4) then kind end ignore nulls) over w as opened from p window w as (partition by k order by i)), "
+    "b as (select *, kind not in (0, 4) and not coalesce(gap = 1 and (kind = 1 or (kind = 2 and opened = 0)), false) as breaks from o), "
+    "c as (select *, titled is not null and i - titled <= 3 and not bool_or(breaks) over (partition by k, titled order by i) as inside from b)"
+)
+
+
+def mixed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, i = F.col("s_suppkey"), F.col("i")
+    listed = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("i"))
+    kind = (k * 3 + i * i + F.floor(k * i / 2)) % 5
+    text = (
+        F.when(kind == 0, F.concat(F.lit("合并资产负债表\n"), F.when(k % 2 == 0, "RMB'000").otherwise("单位：百万元"), F.lit("\nbegins")))
+        .when(kind == 1, said("page ", i, " (continued)\nas before"))
+        .when(kind == 2, said("Total assets ", k + i, "\n"))
+        .when(kind == 3, F.when(k % 3 == 0, "Words about the year\nin thousands").otherwise("Words about the year\nand more"))
+        .otherwise("Consolidated income statement\nHK$ million")
+    )
+    return listed.select(k.alias("document_id"), (i + F.when((k % 4 == 0) & (i >= 6), 1).otherwise(0)).alias("page"), text.alias("text"))
+
+
+@query(
+    f"with {KINDS_SQL}, u as (select *, case when opened = 4 then 1e6 when k % 2 = 0 then 1e3 else 1e6 end as unit from c) "
+    "select k as document_id, page::int as page, case when inside then case opened when 0 then 'balance_sheet' else 'income_statement' end end as statement, "
+    "(case when inside then unit when kind = 3 and k % 3 = 0 then 1e3 else 1 end)::double as multiplier, (case when kind = 2 then 1 else 0 end)::int as density from u"
+)
+def mixed_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A title holds for the pages that follow at once and go on with it, three at most; kinds and gaps of pages depend on the row."""
+    read = statements.with_context(mixed_pages(spark, sf_dir))
+    return read.select("document_id", "page", "statement", "multiplier", statements.concept_density(F.col("text")).alias("density"))
+
+
+@query(
+    "with l as (select s_suppkey as k, j, (s_suppkey * 7 + j * j) % 5 as kind from supplier, range(1, 6) t(j)), "
+    "s as (select *, case kind when 0 then 14 + 60 + 45 when 1 then 14 + 45 when 2 then 16 + 60 + 45 when 4 then 16 + 45 end as score from l) "
+    "select k as document_id, (k * 10 + j) * 1e6::double as value, score::int as score from s where score >= 40 qualify row_number() over (partition by k order by score desc, j) = 1"
+)
+def best_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Among lines that name revenue the best by score: longer labels and labels in front count, narrative does not; the earlier of equal lines."""
+    k = F.col("s_suppkey")
+    heads = ["Revenue ", "group revenue ", "Turnover ", "同比 revenue ", "group turnover "]
+    lines = [F.concat(F.element_at(F.array(*[F.lit(h) for h in heads]), ((k * 7 + j * j) % 5 + 1).cast("int")), (k * 10 + j).cast("string")) for j in range(1, 6)]
+    text = F.concat(F.lit("Consolidated income statement\nHK$ million\n"), F.array_join(F.array(*lines), "\n"))
+    found = statements.page_facts(table(spark, sf_dir, "supplier").select(k.alias("document_id"), F.lit(1).alias("page"), text.alias("text")))
+    return found.filter("concept = 'revenue'").select("document_id", "value", F.col("score").cast("int").alias("score"))
+
+
 @query("select p_partkey, p_partkey % 6 in (0, 1, 2, 3) as rejected from part")
 def label_rejection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that hold a label and mean something else."""
@@ -69,6 +118,25 @@ def snapshot_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("event_id", F.element_at("v", "revenue").alias("revenue"), F.element_at("v", "assets").alias("assets"))
 
 
+@query(
+    "with p as (select s_suppkey as k, i, case (s_suppkey * 5 + i * i * 3) % 7 when 0 then repeat('ab ', s_suppkey % 90) || 'growth strategy' || repeat(' cd', (s_suppkey + i) % 60) when 1 then 'The Outlook ' || repeat('ef ', (s_suppkey * i) % 80) "
+    "when 2 then repeat('gh ', i * 9) || 'OUTLOOK and growth  strategy' || repeat(' ij', s_suppkey % 70) else 'nothing ' || i end as text from supplier, range(1, 7) t(i)), "
+    "m as (select *, case when contains(lower(text), 'growth strategy') then 'growth strategy' when contains(lower(text), 'outlook') then 'outlook' end as label from p), "
+    "e as (select *, trim(regexp_replace(substr(text, greatest(instr(lower(text), label) - 50, 1), instr(lower(text), label) + 120 - greatest(instr(lower(text), label) - 50, 1)), '\\s+', ' ', 'g')) as excerpt from m where label is not null) "
+    "select k as document_id, i::int as page, label, excerpt from e where length(excerpt) >= 100 qualify row_number() over (partition by k order by i) = 1"
+)
+def topic_excerpts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first page with a label and enough text around it; which pages have one, and where, depends on the row."""
+    from ..operators.extraction import topic_pages as first_pages
+
+    k, i = F.col("s_suppkey"), F.col("i")
+    listed = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(F.sequence(F.lit(1), F.lit(6))).alias("i"))
+    kind, again = (k * 5 + i * i * 3) % 7, lambda text, n: F.repeat(F.lit(text), n.cast("int"))
+    text = F.when(kind == 0, said(again("ab ", k % 90), "growth strategy", again(" cd", (k + i) % 60))).when(kind == 1, said("The Outlook ", again("ef ", (k * i) % 80))).when(kind == 2, said(again("gh ", i * 9), "OUTLOOK and growth  strategy", again(" ij", k % 70))).otherwise(said("nothing ", i))
+    found = first_pages(listed.select(k.alias("document_id"), i.alias("page"), text.alias("text")), {"growth": ["growth strategy", "outlook"]}, before=50, after=120, least=100)
+    return found.select("document_id", "page", "label", "excerpt")
+
+
 @query("select s_suppkey as document_id, (s_suppkey % 2 + 1)::int as page, case s_suppkey % 2 when 0 then 'growth strategy' else 'outlook' end as label, case s_suppkey % 2 when 0 then 181 else 10 end as at from supplier")
 def topic_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first page with a label of a topic: the first label in order that it holds, and the text around it."""
