@@ -1,12 +1,22 @@
-"""Main text of web pages by a maximum-scoring subsequence.
+"""Main text of web pages by maximum-scoring subsequences.
 
-A page is a sequence of tags and words. A tag costs what labelled pages say it costs; a word earns (or
-costs) the log odds, learned from the same pages, that words under its open elements, their class and
-id names belong to the article. One linear scan finds the contiguous run with the highest sum; blocks
-inside the run whose words cost (adverts, notices, forms, reader comments) are left out.
+A page is a sequence of tags and words. A tag costs what labelled pages say it costs; a word earns or
+costs the log odds, learned from the same pages, that words in such a place belong to the article. A place
+is told by its open elements, their class and id names, and by structure that needs no known name: text
+beside the article or main element, text in a box that holds few words beside the largest, and blocks that are
+mostly links; length counts as every word scores. Scores are signed and have no cap.
 
-Weights come from LABELLED, a few small pages written down here with their article blocks. A header inside
-an article is a feature of its own: what it holds is the article's headline, not the site's.
+1. One linear scan finds all maximal scoring runs; the best is the article. Another run is its continuation
+   (after a long advert, say) when its words earn as much as the article's do.
+2. The same scan over the negated scores of a run finds the stretches that cost most (adverts, notices,
+   forms, reader comments); those that cost at least CUT are left out, with what little earns in between,
+   but for paragraphs that earn as the article does. No block is left out by itself: one that costs less
+   stays where its surroundings carry it.
+
+Weights come from LABELLED, small pages written down here with their article blocks. Each is learned from
+twice, with its names and with all of them unknown, so that a page of names that no labelled page has is
+read by its structure. A header inside an article is a feature of its own: what it holds is the article's
+headline, not the site's.
 
 Defined results: a null or empty html, or one without an earning word, gives the empty text. Unclosed
 and stray tags are tolerated (an end tag without its start is ignored; an unclosed script or style runs
@@ -21,7 +31,6 @@ from __future__ import annotations
 import html
 import re
 from functools import cache
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -44,6 +53,17 @@ APART = frozenset(["header", "footer", "nav", "aside", "form", "menu", "dialog",
 #: Elements that carry features: blocks, links and those that are not shown as running text.
 NAMED = BLOCK | {"a", "title", "textarea", "template", "noscript"}
 HEAD = {"head", "title"}
+#: Elements that are a box of their own even without a name; the others of BOXED only with one.
+SECTIONS = frozenset("article aside footer form header main nav section".split())
+BOXED = SECTIONS | {"div", "ul", "ol", "table"}
+#: Elements of which one holds the article, where a page has any.
+ARTICLE = frozenset(["article", "main", ".main"])
+#: Features of a place that no name tells.
+STRUCTURE = frozenset(["beside-article", "mostly-links", "small-box"])
+#: A costly stretch inside the article is left out from this score on.
+CUT = 1.0
+#: A run that earns this share of what the article's words earn on average continues it.
+ALIKE = 0.5
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][\w:-]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|[^<]++|<", re.S)
@@ -73,6 +93,10 @@ LABELLED = (
     '<div role="complementary">Side words</div><div role="contentinfo">Imprint</div><div class="disclaimer alert popup modal warning"><p>Please note this</p></div>',
     "<header><h2>Daily news</h2><p>All the news of today</p></header><section><h2>+Part one</h2><p>+Plain page text.</p><figure><figcaption>+A caption</figcaption></figure></section>"
     "<section><p>+Other part.</p></section><footer><p>All rights reserved here</p><ul><li><a>Terms</a></li></ul></footer>",
+    '<div class="site brand">The name</div><h1>+A title above</h1><main><div class="story"><div class="intro lead summary">+Words that lead in</div><p>+The long part of it stands here, and it goes on.</p>'
+    '<div class="caption image">+What the picture shows</div><p>+More of the long part is here.</p><div class="quote highlight">+Some words of a speaker</div></div></main><div class="imprint">Who made this site</div>',
+    '<div class="page"><div class="headline title">+The head of it</div><div class="story text"><p>+The first part is long and holds most words.</p><p>+So does the second part of it.</p></div>'
+    '<div class="replies"><div class="reply">I do not agree with this</div><div class="reply">Nor do I, my friend</div></div><div class="contact">Write to us here</div></div>',
     "<p>+A page of paragraphs only.</p><p>+Second paragraph.</p><div>+Third one.</div>",
     "<head><title>Name of the page</title></head><body><noscript><p>Please turn scripts on</p></noscript><article><header><h1>+Own headline</h1><p>+Its lead</p></header><p>+Text with <math>+x = y</math>+ in it.</p>"
     "<object><p>+Words for the picture</p></object><footer><p>Filed under news</p></footer></article><template><p>Fill this in</p></template><textarea>Write here</textarea></body>",
@@ -88,9 +112,10 @@ def names_of(tag: str, attributes: str) -> frozenset[str]:
 
 
 def parts(page: str, known=None):
-    """The page as ("tag", name) and ("text", characters, features of the open elements, block number). known: features to keep (default: all)."""
-    stack: list[tuple[str, frozenset[str]]] = []
+    """The page as ("tag", name) and ("text", characters, features of the open elements, block number, innermost box). known: features to keep (default: all)."""
+    stack: list[tuple[str, frozenset[str], str]] = []
     under: frozenset[str] = frozenset()
+    box = ""
     opened: dict[str, int] = {}
     block, at, end = 0, 0, len(page)
 
@@ -103,7 +128,7 @@ def parts(page: str, known=None):
         name = (m[2] or "").lower()
         if not name:
             if page[m.start()] != "<" or m.end() - m.start() == 1:
-                yield "text", m[0], under, block
+                yield "text", m[0], under, block, box
             continue
         yield "tag", name
         if name in BLOCK:
@@ -113,98 +138,185 @@ def parts(page: str, known=None):
                 while stack[-1][0] != name:
                     pop()
                 pop()
-                under = stack[-1][1] if stack else frozenset()
+                under, box = stack[-1][1:] if stack else (frozenset(), "")
         elif name in RAW_END:
             close = None if m[3].endswith("/") else RAW_END[name].search(page, at)
             at = close.end() if close else at if m[3].endswith("/") else end
         elif name == "br":
-            yield "text", " ", under, block
+            yield "text", " ", under, block, box
         elif name not in VOID:
             while stack and (stack[-1][0] in CLOSES.get(name, ()) or (stack[-1][0] in HEAD and name in BLOCK)):
                 pop()
-            under = stack[-1][1] if stack else frozenset()
+            under, box = stack[-1][1:] if stack else (frozenset(), "")
             if name in NAMED:
                 found = names_of(name, m[3])
                 if name == "header" and opened.get("article"):
                     found = found - {"header"} | {"header-of-article"}
+                if name in BOXED and (len(found) > 1 or name in SECTIONS):
+                    box = " ".join(sorted(found))
                 under = under | (found if known is None else found & known)
-            stack.append((name, under))
+            stack.append((name, under, box))
             opened[name] = opened.get(name, 0) + 1
 
 
+def placed(page: str, known=None) -> list[tuple]:
+    """The page's parts; texts with the features of their structure too, and their number of words: ("text", characters, features, block, words)."""
+    found = list(parts(page, known))
+    inside = any(part[0] == "text" and not part[2].isdisjoint(ARTICLE) and part[1].strip() for part in found)
+    boxes: dict[str, int] = {}
+    blocks: dict[int, list[int]] = {}
+    for part in found:
+        if part[0] == "text":
+            n, under = len(part[1].split()), part[2]
+            count = blocks.setdefault(part[3], [0, 0])
+            count[0] += n
+            if "a" in under:
+                count[1] += n
+            elif not (inside and under.isdisjoint(ARTICLE)):
+                boxes[part[4]] = boxes.get(part[4], 0) + n
+    most = max(boxes.values(), default=0)
+    extra: dict[tuple, frozenset[str]] = {}
+    out = []
+    for part in found:
+        if part[0] == "tag":
+            out.append(part)
+            continue
+        _, text, under, block, box = part
+        n, linked = blocks[block]
+        key = (under, inside, 2 * linked > n, bool(box) and 4 * boxes.get(box, 0) < most)
+        features = extra.get(key)
+        if features is None:
+            features = under if key[2] else under - {"a"}  # a link within a sentence is a part of it
+            if inside and under.isdisjoint(ARTICLE):
+                features = features | {"beside-article"}
+            features = extra[key] = features | {f for f, holds in zip(("mostly-links", "small-box"), key[2:], strict=True) if holds}
+        out.append(("text", text, features, block, len(text.split())))
+    return out
+
+
 @cache
 def weights() -> tuple[dict[str, float], float, dict[str, float]]:
-    """Log odds of element features for words, their bias, and the cost of each tag, from the labelled pages."""
+    """Log odds of features for words, their bias, and the cost of each tag, from the labelled pages."""
     rows, labels, inside, outside = [], [], {}, {}
     for page in LABELLED:
         content = False
-        for part in parts(page):
+        marks = [p[1].lstrip().startswith("+") for p in parts(page) if p[0] == "text" and p[1].strip()]
+        at = 0
+        for part in placed(page.replace("+", "")):
             if part[0] == "tag":
                 count = inside if content else outside
                 count[part[1]] = count.get(part[1], 0) + 1
             elif part[1].strip():
-                content = part[1].lstrip().startswith("+")
+                content = marks[at]
+                at += 1
                 rows.append(part[2])
                 labels.append(float(content))
     for row, label in list(zip(rows, labels, strict=True)):
-        tags = frozenset(f for f in row if f[0] != ".")
-        alone = [tags | {f} for f in row if f[0] == "."] + [frozenset({f}) for f in tags & APART]
+        nameless = frozenset(f for f in row if f[0] != ".")
+        tags, place = nameless - STRUCTURE, nameless & STRUCTURE
+        alone = [one - APART - {"a"} | {f} for f in row if f[0] == "." for one in (tags, nameless)] + [one | {f} for f in tags & APART for one in (frozenset(), place)]
         for one in [row] if label else [row, *alone]:  # each sign of what is no article counts by itself; both kinds stand in all surroundings
             rows += [one, one | {"article", "p"}, one | {"article", "section", "p"}, one | {"div", ".content"}, one | {"div", "p"}]
             labels += [label] * 5
+        rows += [nameless] * 5  # the same page, its names unknown
+        labels += [label] * 5
     known = sorted({f for row in rows for f in row})
-    place = {f: i for i, f in enumerate(known)}
+    column = {f: i for i, f in enumerate(known)}
     x = np.zeros((len(rows), len(known)))
     for i, row in enumerate(rows):
-        x[i, [place[f] for f in row]] = 1.0
+        x[i, [column[f] for f in row]] = 1.0
     y, w, bias = np.array(labels), np.zeros(len(known)), 1.5
     share = np.where(y > 0, 0.5 / y.sum(), 0.5 / (len(y) - y.sum()))
     for _ in range(3000):
         error = 1 / (1 + np.exp(-(x @ w + bias))) - y
-        w -= 2.0 * (x.T @ (error * share) + 0.0005 * w)
+        w -= 2.0 * (x.T @ (error * share) + 0.0001 * w)
     cost = {t: -0.05 - 0.1 * max(0.0, float(np.log((outside.get(t, 0) + 1) / (inside.get(t, 0) + 1)))) for t in {*inside, *outside}}
     return dict(zip(known, w.tolist(), strict=True)), bias, cost
 
 
-def extract(page: str | None) -> str:
-    """The main text: blocks of the best run, joined by newlines."""
-    if not page:
-        return ""
+def maximal_runs(scores: list[float]) -> list[tuple[int, int, float]]:
+    """(start, end, score) of all maximal scoring runs, in order, by one linear scan.
+
+    A run is maximal when every part of it that begins at its start or stops at its end earns, and no longer run that
+    holds it is such. The best run of all is one of them.
+    """
+    runs: list[tuple[int, int, float, float, int]] = []  # start, end, sums before and after it, last earlier run with a smaller sum before
+    total = 0.0
+    for i, score in enumerate(scores):
+        before, total = total, total + score
+        if score <= 0:
+            continue
+        start = i
+        while True:
+            j = len(runs) - 1
+            while j >= 0 and runs[j][2] >= before:
+                j = runs[j][4]
+            if j < 0 or runs[j][3] >= total:
+                runs.append((start, i + 1, before, total, j))
+                break
+            start, before = runs[j][0], runs[j][2]
+            del runs[j:]
+    return [(a, b, after - before) for a, b, before, after, _ in runs]
+
+
+def scored(page: str) -> tuple[list[tuple], list[float]]:
+    """The page's parts and the score of each."""
     odds, bias, cost = weights()
     worth: dict[frozenset[str], float] = {}
-    scores: list[float] = []
-    pieces: list[tuple[str, int] | None] = []
-    page_parts = list(parts(page, odds.keys()))
-    plain = {part[3] for part in page_parts if part[0] == "text" and "a" not in part[2] and part[1].strip()}
+    page_parts, scores = placed(page, odds.keys()), []
     for part in page_parts:
         if part[0] == "tag":
             scores.append(cost.get(part[1], -0.05))
-            pieces.append(None)
             continue
-        _, text, under, block = part
-        if block in plain:  # a link within a sentence is a part of it
-            under = under - {"a"}
-        each = worth.get(under)
+        each = worth.get(part[2])
         if each is None:
-            total = bias + sum([odds.get(f, 0.0) for f in under])
-            each = worth[under] = min(2.0, total) if total > 0 else -0.25
-        n = len(text.split())
-        scores.append(each * n if each > 0 else max(-2.5, each * n))
-        pieces.append((text, block) if each > 0 else None)
-    best, low, start, span = 0.0, 0.0, 0, (0, 0)
-    for i, total in enumerate(accumulate(scores)):
-        if total - low > best:
-            best, span = total - low, (start, i + 1)
-        if total < low:
-            low, start = total, i + 1
-    lines, last = [], -1
-    for piece in pieces[span[0] : span[1]]:
-        if piece is None:
+            each = worth[part[2]] = bias + sum([odds.get(f, 0.0) for f in sorted(part[2])])
+        scores.append(each * part[4])
+    return page_parts, scores
+
+
+def chosen(page_parts: list[tuple], scores: list[float]) -> list[bool]:
+    """For each part, whether it is in the article: in the best run or its continuations, outside of their costly stretches."""
+    keep = [False] * len(scores)
+    runs = maximal_runs(scores)
+    if not runs:
+        return keep
+    words = [p[4] if p[0] == "text" else 0 for p in page_parts]
+
+    def mean(a: int, b: int, total: float) -> float:
+        return total / max(1, sum(words[a:b]))
+
+    a, b, total = max(runs, key=lambda r: r[2])
+    alike = ALIKE * mean(a, b, total)
+    for start, end, total in runs:
+        if mean(start, end, total) < alike:
+            continue
+        keep[start:end] = [True] * (end - start)
+        for x, y, costs in maximal_runs([-s for s in scores[start:end]]):
+            if costs < CUT:
+                continue
+            x, y = start + x, start + y
+            keep[x:y] = [False] * (y - x)
+            for u, v, back in maximal_runs(scores[x:y]):
+                if mean(x + u, x + v, back) >= alike:
+                    keep[x + u : x + v] = [True] * (v - u)
+    return keep
+
+
+def extract(page: str | None) -> str:
+    """The main text: blocks of the article's runs, joined by newlines."""
+    if not page:
+        return ""
+    page_parts, scores = scored(page)
+    lines: list[list[str]] = []
+    last = -1
+    for part, kept in zip(page_parts, chosen(page_parts, scores), strict=True):
+        if not kept or part[0] == "tag":
             continue
-        if piece[1] != last:
+        if part[3] != last:
             lines.append([])
-            last = piece[1]
-        lines[-1].append(piece[0])
+            last = part[3]
+        lines[-1].append(part[1])
     blocks = (" ".join(html.unescape("".join(line)).split()) for line in lines)
     return "\n".join(b for b in blocks if b)
 
