@@ -7,12 +7,17 @@ target recall of a pair just at the threshold.
 1. One pass over the texts gives an exact signature (of the word sequence) and the band hashes. Rows of
    one signature are a class of copies with a number of its own and a count; copies never meet as pairs.
 2. Representatives that share a band hash are candidates. A bucket gives one edge from each member to
-   its smallest member, so a bucket of m makes m edges; connected components of these edges hold every
-   candidate pair inside.
-3. Each component is verified exactly: its texts go to cells of bounded size (small components share a
-   cell; a large one is cut into blocks and each pair of blocks is a cell), where all overlaps are
-   counted from sorted shingles. A cell returns for each member its number of links and the smallest
-   member that it is connected with, never the pairs.
+   its smallest member, so a bucket of m makes m edges; connected components of these edges tell which
+   candidates can be verified together.
+3. Texts go to cells of bounded size, where overlaps are counted from sorted shingles. Components that fit
+   a cell share cells. A component that doesn't (a chain of texts that share boilerplate may grow
+   with the corpus) is verified by its buckets: of buckets with the same members one is kept, small
+   buckets share cells, a large one is cut into blocks and each pair of blocks is a cell; a pair is counted
+   in the first bucket that it shares. So a text meets those that share a band with it, not its component.
+   Only where the component's own pairs of blocks take fewer copies of its texts (a group of near
+   copies that share most of their buckets) are these its cells.
+   A cell returns for each member its number of links and the smallest member that it is connected
+   with, never the pairs.
 4. Links are summed over cells, and components of the verified links are the classes.
 
 Result: one row for each row of the input: doc_id, class_id (the smallest doc_id connected through
@@ -23,7 +28,7 @@ each class.
 Defined results: texts without a word are copies of each other; a null text counts as empty. Rows are
 told apart by their texts, not by doc_id: rows with a null or a repeated doc_id are linked like any
 others, and different texts under one doc_id stay different. A class without any doc_id has a negative
-id. An empty table gives an empty result. Columns of other names pass through one_of_each() only.
+id, and so has one whose smallest doc_id is no whole number (a string, say). An empty table gives an empty result. Columns of other names pass through one_of_each() only.
 """
 
 from __future__ import annotations
@@ -180,7 +185,10 @@ def smallest_connected(linked: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def verify_cell(cell: pd.DataFrame, threshold: float, pairs: bool = False) -> pd.DataFrame:
-    """Links of one cell. side 0: compare with all of the same component; 1 and 2: with the other side only."""
+    """Links of one cell: pairs of one comp (a component, or the bucket of a band). side 0: compare with all of them; 1 and 2: with the other side only.
+
+    A bucket's rows carry its place `at` among the bands and all buckets of the text (0: none); pairs that share an earlier one are counted there.
+    """
     cell = cell.sort_values(["comp", "rep", "side"], kind="stable").reset_index(drop=True)
     words, offsets = word_hashes(pa.array(cell["text"], pa.string()))
     shared, sizes = overlaps(*shingles(words, offsets))
@@ -189,6 +197,13 @@ def verify_cell(cell: pd.DataFrame, threshold: float, pairs: bool = False) -> pd
     linked = shared >= threshold * (sizes[:, None] + sizes[None] - shared) - 1e-9
     linked &= (comp[:, None] == comp[None]) & ((side[:, None] == 0) | (side[:, None] != side[None])) & (sizes[:, None] > 0)
     np.fill_diagonal(linked, False)
+    at = cell["at"].to_numpy()
+    if len(at) and at.max() > 0:
+        blank = np.zeros(max(len(b) for b in cell["own"]), dtype=np.int64)
+        own = np.array([b if len(b) else blank for b in cell["own"]], dtype=np.int64)
+        for b in range(int(at.max())):
+            earlier = (own[:, None, b] == own[None, :, b]) & (own[:, b] != 0)
+            linked &= ~(earlier & (at > b)[:, None])
     if pairs:
         a, b = np.nonzero(np.triu(linked))
         return pd.DataFrame({"rep_a": np.minimum(ids[a], ids[b]), "rep_b": np.maximum(ids[a], ids[b]), "jaccard": shared[a, b] / (sizes[a] + sizes[b] - shared[a, b])})
@@ -203,47 +218,88 @@ def in_bounds(df: DataFrame, rows: int, bytes_a_row: int = 64) -> DataFrame:
 def classes_of(marked: DataFrame) -> DataFrame:
     """One row for each signature: rep (a number of its own), keep (its first row by doc_id and text), least (its smallest doc_id), copies, n_bytes, raw, bands."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("raw"))).alias("keep")
-    found = marked.groupBy("sig_a", "sig_b").agg(first, F.min("doc_id").cast("long").alias("least"), F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes"), F.first("bands").alias("bands"))
+    found = marked.groupBy("sig_a", "sig_b").agg(first, F.min("doc_id").try_cast("long").alias("least"), F.count("*").alias("copies"), F.max("n_bytes").alias("n_bytes"), F.first("bands").alias("bands"))
     return checkpoint(found.select("*", F.col("keep.raw").alias("raw"), F.monotonically_increasing_id().alias("rep")))
 
 
-def cells_of(docs: DataFrame, classes: DataFrame):
-    """Classes that share a band with another, with one text each, grouped in cells of bounded size; and whether a component has several cells."""
-    banded = classes.select("rep", F.explode("bands").alias("band"))
-    hubs = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("other")).filter("hub <> other").select("band", "hub")
-    edges = banded.join(hubs, "band").select(F.col("rep").alias("u"), F.col("hub").alias("v"))
-    found = checkpoint(components(edges))
+#: What makes a cell.
+CELL = ["pack", "row_", "col_"]
 
-    members = found.join(classes.select("rep", "raw", "copies", "n_bytes"), found["id"] == classes["rep"]).drop("id")
-    sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("total"))
-    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("total") / BLOCK_BYTES), F.lit(1)).cast("int")
-    members = checkpoint(members.join(sizes.select("root", "n", "total", blocks.alias("blocks")), "root"))
-    whole = members.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("blocks") == 1, F.col("n_bytes"))), F.lit(0)), F.max("blocks")).first()
-    packs = max(1, -(-whole[0] // (BLOCK // 2)), -(-whole[1] // (BLOCK_BYTES // 2)))
+
+def in_blocks(rows: DataFrame, comp: str, kind: int, packs: int, *others: str) -> DataFrame:
+    """Rows (of `comp`, which has `blocks` blocks) by cell: comps of one block share `packs` cells of a kind, the others get one for each pair of their blocks."""
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))).alias("other")
-    spread = members.select("raw", "rep", F.col("root").alias("comp"), "copies", "blocks", block.alias("block"), other)
+    spread = rows.select("raw", "rep", F.col(comp).alias("comp"), "copies", "blocks", block.alias("block"), other, *others)
     alone = F.col("other") == -1
-    spread = spread.select(
-        "raw", "rep", "comp", "copies",
+    return spread.select(
+        "raw", "rep", "comp", "copies", *others,
         F.when(alone, F.pmod(F.xxhash64("comp"), F.lit(packs))).otherwise(F.col("comp")).alias("pack"),
-        F.when(alone, -1).otherwise(F.least("block", "other")).alias("row_"), F.when(alone, -1).otherwise(F.greatest("block", "other")).alias("col_"),
+        F.when(alone, kind).otherwise(F.least("block", "other")).alias("row_"), F.when(alone, kind).otherwise(F.greatest("block", "other")).alias("col_"),
         F.when(alone | (F.col("block") == F.col("other")), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
     )
 
+
+def packs_for(rows: int, size: int) -> int:
+    return max(1, -(-rows // (BLOCK // 2)), -(-size // (BLOCK_BYTES // 2)))
+
+
+def blocks_for(rows: str, size: str) -> Column:
+    return F.greatest(F.ceil(F.col(rows) / BLOCK), F.ceil(F.col(size) / BLOCK_BYTES), F.lit(1)).cast("int").alias("blocks")
+
+
+def by_bucket(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Cells of the components (larger than a cell) whose buckets take fewer copies of a text than their pairs of blocks do; and the other components' members.
+
+    `own` holds all kept buckets of a text, by place.
+    """
+    banded = members.select("root", "rep", "raw", "copies", "n_bytes", F.size("bands").alias("n_bands"), F.posexplode("bands").alias("at", "band"))
+    buckets = banded.groupBy("at", "band").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("total"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("mark")).filter("n > 1")
+    kept = buckets.groupBy("n", "mark").agg(F.min(F.struct("at", "band", "total")).alias("k")).select("k.at", "k.band", blocks_for("n", "k.total"))
+    placed = checkpoint(banded.join(kept, ["at", "band"]))
+    cheap = placed.groupBy("root").agg(F.sum("blocks").alias("texts")).join(members.groupBy("root").agg(F.sum("blocks").alias("whole")), "root").filter("texts < whole").select("root")
+    cheap = checkpoint(cheap)
+    cheap = in_bounds(cheap, cheap.count())
+    placed, others = placed.join(cheap, "root", "left_semi"), members.join(cheap, "root", "left_anti")
+    known = placed.groupBy("rep").agg(F.map_from_entries(F.collect_list(F.struct("at", "band"))).alias("known"), F.first("n_bands").alias("n_bands"))
+    own = known.select("rep", F.transform(F.sequence(F.lit(0), F.col("n_bands") - 1), lambda i: F.coalesce(F.try_element_at("known", i), F.lit(0))).alias("own"))
+    alone = placed.filter("blocks = 1").agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    return in_blocks(placed.join(own, "rep"), "band", -2, packs_for(*alone), "at", "own"), others
+
+
+def cells_of(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, bool]:
+    """Classes that share a band with another, with one text each, by cells of bounded size (columns CELL); and whether a component has several cells."""
+    banded = classes.select("rep", F.explode("bands").alias("band"))
+    hubs = banded.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("other")).filter("hub <> other").select("band", "hub")
+    edges = banded.join(hubs, "band").select(F.col("rep").alias("u"), F.col("hub").alias("v"))
+    found = checkpoint(components(edges))
+
+    members = found.join(classes.select("rep", "raw", "copies", "n_bytes", "bands"), found["id"] == classes["rep"]).drop("id")
+    sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("total"))
+    members = checkpoint(members.join(sizes.select("root", blocks_for("n", "total")), "root"))
+    fits = F.col("blocks") == 1
+    whole = members.agg(F.count("*"), F.count(F.when(fits, 1)), F.coalesce(F.sum(F.when(fits, F.col("n_bytes"))), F.lit(0))).first()
+    several = whole[0] > whole[1]
+    at_once, extra = members, {"at": F.lit(0), "own": F.array().cast("array<bigint>")}
+    if several:
+        buckets, others = by_bucket(members.filter(~fits))
+        at_once = members.filter(fits).unionByName(others)
+    spread = in_blocks(at_once.withColumns(extra), "root", -1, packs_for(whole[1], whole[2]), "at", "own")
+    if several:
+        spread = spread.unionByName(buckets)
+
     # one text for each member, found again by the identity of the text
     keyed = docs.select(raw_hash().alias("raw_"), F.coalesce("text", F.lit("")).alias("text"))
     kept = keyed.join(in_bounds(members.select("raw"), whole[0]), F.col("raw_") == F.col("raw"), "left_semi")
     texts = kept.groupBy("raw_").agg(F.first("text").alias("text"))
-    cells = spread.join(texts, F.col("raw") == F.col("raw_")).select("pack", "row_", "col_", "comp", "rep", "copies", "side", "text").groupBy("pack", "row_", "col_")
-    return cells, whole[2] is not None and whole[2] > 1
+    return spread.join(texts, F.col("raw") == F.col("raw_")).select(*CELL, "comp", "rep", "copies", "side", "at", "own", "text"), several
 
 
 def linked_pairs(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, hashes: int = HASHES) -> DataFrame:
     """rep_a, rep_b (signatures' first doc_ids, the smaller first) and jaccard of the linked pairs of different texts; a null id where a text has none."""
     classes = classes_of(checkpoint(signatures(docs, *choose_bands(threshold, recall, hashes))))
     cells, _ = cells_of(docs, classes)
-    found = cells.applyInPandas(lambda c: verify_cell(c, threshold, True), "rep_a bigint, rep_b bigint, jaccard double").toDF("a", "b", "jaccard")
+    found = cells.groupBy(*CELL).applyInPandas(lambda c: verify_cell(c, threshold, True), "rep_a bigint, rep_b bigint, jaccard double").toDF("a", "b", "jaccard")
     named = classes.select("rep", "least")
     both = found.join(named.toDF("a", "x"), "a").join(named.toDF("b", "y"), "b")
     return both.select(F.least("x", "y").alias("rep_a"), F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), F.greatest("x", "y")).alias("rep_b"), "jaccard")
@@ -254,7 +310,7 @@ def grouped(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECAL
     marked = checkpoint(signatures(docs, *choose_bands(threshold, recall, hashes)))
     classes = classes_of(marked)
     cells, several = cells_of(docs, classes)
-    checked = checkpoint(cells.applyInPandas(lambda c: verify_cell(c, threshold), "rep bigint, links bigint, root bigint"))
+    checked = checkpoint(cells.groupBy(*CELL).applyInPandas(lambda c: verify_cell(c, threshold), "rep bigint, links bigint, root bigint"))
     links = checked.groupBy("rep").agg(F.sum("links").alias("links"), F.min("root").alias("root"))
     if several:  # a component of many cells: its classes meet across them
         joined = components(checked.select(F.col("rep").alias("u"), F.col("root").alias("v")))
@@ -287,13 +343,13 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, recall: float = R
     stays = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("raw") == F.col("keep.raw"))
     rows = checkpoint(rows.select(F.col("doc_id").alias("id_"), F.col("raw").alias("raw_"), stays.alias("stays"), "n").filter("not stays or n > 1"))
     size = rows.count()
+    keyed = docs.select(F.struct("*").alias("doc"), F.col("doc_id").alias("key"), raw_hash().alias("raw"))  # columns of any name stay apart
 
     def matching(which: DataFrame, how: str) -> DataFrame:
-        keyed = docs.withColumn("text_id_", raw_hash())
-        return keyed.join(in_bounds(which.select("id_", "raw_"), size), F.col("doc_id").eqNullSafe(F.col("id_")) & (F.col("text_id_") == F.col("raw_")), how)
+        return keyed.join(in_bounds(which.select("id_", "raw_"), size), F.col("key").eqNullSafe(F.col("id_")) & (F.col("raw") == F.col("raw_")), how)
 
-    repeated = matching(rows.filter("stays"), "left_semi").dropDuplicates(["doc_id", "text_id_"])
-    return matching(rows, "left_anti").unionByName(repeated).select(*docs.columns)
+    repeated = matching(rows.filter("stays"), "left_semi").dropDuplicates(["key", "raw"])
+    return matching(rows, "left_anti").unionByName(repeated).select("doc.*")
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

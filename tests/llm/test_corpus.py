@@ -192,6 +192,48 @@ def test_near_duplicates_across_cells(spark, monkeypatch):
     assert len(pairs) > 0 and all(r.jaccard >= 0.8 - 1e-9 and r.rep_a < r.rep_b for r in pairs) and len({(r.rep_a, r.rep_b) for r in pairs}) == len(pairs)
 
 
+def chain(n, seed=3):
+    """Texts of 60 words, each with 75 % of the one before: one component of candidates as long as the table, with links here and there."""
+    rng = random.Random(seed)
+    w, rows = [f"c{rng.randint(0, 10**9)}" for _ in range(60)], []
+    for i in range(n):
+        w = w[rng.choice([2, 8, 8]) :]
+        w = w + [f"c{rng.randint(0, 10**9)}" for _ in range(60 - len(w))]
+        rows.append((i, " ".join(w), "s", "en", 0))
+    return rows
+
+
+def test_work_of_a_text_does_not_grow_with_its_component(spark, monkeypatch):
+    monkeypatch.setattr(near_duplicates, "BLOCK", 8)
+    work = []
+    for n in (200, 400):
+        rows = chain(n)
+        df = spark.createDataFrame(rows, SCHEMA)
+        classes = near_duplicates.classes_of(checkpoint(near_duplicates.signatures(df, *near_duplicates.choose_bands())))
+        cells, several = near_duplicates.cells_of(df, classes)
+        sizes = [r["count"] for r in cells.groupBy(*near_duplicates.CELL).count().collect()]
+        work.append(sum(x * x for x in sizes) / n)
+        assert several and {r.doc_id: (r.n_links, r.class_id) for r in near_duplicates.verified(df).collect()} == brute_links(rows)
+    assert work[1] < 1.3 * work[0]
+
+
+def test_a_pair_is_counted_in_its_first_bucket(spark, monkeypatch):
+    """Near copies that share most of their buckets, in components of several cells and in small ones, each link once."""
+    monkeypatch.setattr(near_duplicates, "BLOCK", 8)
+    rows = chain(60) + [(1000 + i, " ".join([*(f"g{i % 3}w{j}" for j in range(80)), f"e{i}"]), "s", "en", 0) for i in range(40)]
+    got = near_duplicates.linked_pairs(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len(got) == len({(r.rep_a, r.rep_b) for r in got}) == sum(n for n, _ in brute_links(rows).values()) // 2
+
+
+def test_one_of_each_keeps_columns_of_any_name(spark):
+    names = ["id_", "raw_", "text_id_", "key", "raw", "doc", "stays", "n"]
+    df = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c"), (3, "c")], "doc_id long, text string").withColumns({n: F.lit(n) for n in names})
+    got = near_duplicates.one_of_each(df).collect()
+    assert sorted(r.doc_id for r in got) == [1, 3] and all(r[n] == n for r in got for n in names)
+    words = df.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id").cast("string")))
+    assert sorted(r.doc_id for r in near_duplicates.one_of_each(words).collect()) == ["d1", "d3"]
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [(None, None, None, None, None), (None, "", "s", "e", 0), (1, "a", "s", "e", 1), (1, "a", "s", "e", 1)]
     got = near_duplicates.verified(spark.createDataFrame(rows, SCHEMA).withColumn("class_id", F.lit("clash"))).collect()
