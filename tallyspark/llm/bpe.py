@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from functools import cache
 
 import ahocorasick
 import numpy as np
@@ -56,6 +57,33 @@ def byte_alphabet() -> list[str]:
     return [names[b] for b in range(256)]
 
 
+# Letters and numbers that Unicode 15.1 and 16.0 added, by first and last code point; the tokenizers library reads texts by 16.0.
+ADDED = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D40, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4), (0x11380, 0x11389),
+    (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3), (0x116D0, 0x116E3), (0x11BC0, 0x11BE0),
+    (0x11BF0, 0x11BF9), (0x11DE0, 0x11DE9), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16130, 0x16139), (0x16D40, 0x16D6C), (0x16D70, 0x16D79), (0x18CFF, 0x18CFF),
+    (0x1CCF0, 0x1CCF9), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5FA), (0x2EBF0, 0x2EE5D),
+)
+# Lower case of the capitals among them, and of those of Unicode 17.0, which the library's lower case knows already.
+LOWER = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+LOWER |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+
+
+@cache
+def later_letters() -> regex.Pattern:
+    """Code points that the regex module takes for letters or numbers, but that Unicode 16.0 does not know."""
+    added = {c for a, b in ADDED for c in range(a, b + 1)}
+    unknown = "".join(chr(c) for c in range(0x80, 0x110000) if c not in added and unicodedata.category(chr(c)) == "Cn")
+    found = [ord(c) for c in regex.findall(r"[\p{L}\p{N}]", unknown)]
+    runs: list[list[int]] = []
+    for c in found:
+        if runs and runs[-1][1] == c - 1:
+            runs[-1][1] = c
+        else:
+            runs.append([c, c])
+    return regex.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in runs) + "]") if runs else regex.compile("(?!)")
+
+
 class BpeModel:
     """Tables for one model file. Ranks are places in merge order; ids are the file's."""
 
@@ -208,7 +236,11 @@ class BpeModel:
                 out.append(self.special[part].to_bytes(4, "little"))
                 continue
             if not part.isascii():  # lower case goes character by character: no final sigma
-                part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
+                part = unicodedata.normalize("NFC", part).replace("Σ", "σ").translate(LOWER).lower()
+                plain = later_letters().sub("\ue000", part)  # no letter, as the library has it
+                if plain != part:
+                    out += [self.encode_piece(part[m.start() : m.end()]) for m in self.pieces.finditer(plain)]
+                    continue
             out += [self.encode_piece(piece) for piece in self.pieces.findall(part.lower())]
         return out[0] if len(out) == 1 else b"".join(out)
 
