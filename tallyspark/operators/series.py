@@ -19,9 +19,9 @@ def interval_nearest(points: DataFrame, columns: DataFrame, keys: list[str], poi
     return best.select(*keys, point, "c.*")
 
 
-def column_bounds(centers: DataFrame, partition: str, center: str, edge: float = 90.0) -> DataFrame:
-    """Boundaries half-way between neighbouring centres, `edge` beyond the outer ones."""
-    w = W.partitionBy(partition).orderBy(center)
+def column_bounds(centers: DataFrame, partition: str, center: str, edge: float = 90.0, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Boundaries half-way between neighbouring centres, `edge` beyond the outer ones; of equal centres, `ties` tell which comes first."""
+    w = W.partitionBy(partition).orderBy(center, *ties)
     left = F.coalesce((F.lag(center).over(w) + F.col(center)) / 2, F.col(center) - edge)
     right = F.coalesce((F.lead(center).over(w) + F.col(center)) / 2, F.col(center) + edge)
     return centers.withColumns({"left": left, "right": right})

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyspark.functions import dates, numbers, texts
 from tallyspark.operators import dml, extraction, gates, latest, metrics, selection, series, sets, valuation
+from tallyspark.queries import QUERIES
 from tallyspark.sources import markup
 
 
@@ -174,6 +175,21 @@ def test_interval_and_bounds(spark):
     assert rows(bounds, "center") == [(1, 0.0, -90.0, 50.0), (1, 100.0, 50.0, 190.0)]
 
 
+def test_bounds_of_equal_centres_follow_the_key(spark):
+    """In whatever order the rows come, so that two runs over the same rows agree."""
+    rows_ = [(1, k, 10.0) for k in range(1, 5)] + [(1, 9, 30.0)]
+    want = [(1, 1, 10.0, -80.0, 10.0), *[(1, k, 10.0, 10.0, 10.0) for k in (2, 3)], (1, 4, 10.0, 10.0, 20.0), (1, 9, 30.0, 20.0, 120.0)]
+    for some in (rows_, rows_[::-1], rows_[2:] + rows_[:2]):
+        df = spark.createDataFrame(some, "p int, k int, center double")
+        assert rows(series.column_bounds(df, "p", "center", ties=("k",)), "k") == want
+
+
+def test_equal_balances_of_suppliers_are_bounded_in_the_order_of_their_keys(spark, tmp_path):
+    """The query itself, over tables whose rows lie in another order than their keys."""
+    spark.createDataFrame([(k, 1, 5.0) for k in (3, 1, 4, 2)], "s_suppkey bigint, s_nationkey int, s_acctbal double").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    assert [(r.s_suppkey, r.left, r.right) for r in QUERIES["column_bounds"](spark, str(tmp_path)).orderBy("s_suppkey").collect()] == [(1, -85.0, 5.0), (2, 5.0, 5.0), (3, 5.0, 5.0), (4, 5.0, 95.0)]
+
+
 def test_set_comparison(spark):
     left, right = spark.createDataFrame([(" a ",), ("b",), ("",)], "t string"), spark.createDataFrame([("b",), ("c",)], "t string")
     a, b = sets.claims_of(left, "t"), sets.claims_of(right, "t")
