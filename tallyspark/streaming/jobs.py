@@ -1,6 +1,6 @@
 """Jobs that report their progress, with a deadline: a job that falls silent is closed.
 
-The state of a running job is its highest percentage, the time of its last report and a map of the stages that
+The state of a running job is one value: its highest percentage, the time of its last report and a map of the stages that
 it has seen; an event-time timer stands at last report + patience. When the watermark passes it, the job is
 told as timed out and leaves the state, so that state is held only for jobs that are alive. A job that reaches
 100 is told as done and leaves at once; a later report begins a new run.
@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,56 +30,54 @@ class Watch(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.job = handle.getValueState("job", "best double, last bigint")
-        self.stages = handle.getMapState("stages", "stage string", "reports bigint")
-
-    def _clear(self, timer: int | None) -> None:
-        if timer is not None:
-            self.handle.deleteTimer(timer)
-        self.job.clear()
-        self.stages.clear()
+        # one value, as each call to the store is a round trip: one to read a job, one to write or clear it, one for its timer
+        self.job = handle.getValueState("job", "best double, last bigint, stages map<string,bigint>")
 
     def _due(self, last: int) -> int:
         """The deadline in whole milliseconds, as timers count them."""
         return -(-(last + self.patience) // 1000)
 
-    def _row(self, key: tuple, at: int, best: float, stages: int, status: str) -> tuple:
-        return key[0], pd.Timestamp(at, unit="us"), best, stages, status
+    def _rows(self, key: tuple, told: list[tuple]) -> pd.DataFrame:
+        us, best, stages, status = zip(*told, strict=True) if told else ((), (), (), ())
+        return pd.DataFrame({"job_id": [key[0]] * len(told), "us": np.array(us, np.int64), "progress": np.array(best, np.float64), "stages": np.array(stages, np.int32), "status": status})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        got = pd.concat(list(rows))
-        got = got.dropna(subset=["at"])
-        got["us"] = got["at"].astype("datetime64[us]").astype("int64")
-        got = got.sort_values(["us", "percent", "stage"], kind="stable", na_position="first")
-        best, last = self.job.get() if self.job.exists() else (0.0, None)
+        got, told = [], []
+        for part in rows:
+            for us, percent, stage in zip(part["us"].tolist(), part["percent"].tolist(), part["stage"].tolist(), strict=True):
+                if us is not None and us == us:
+                    known = percent is not None and percent == percent
+                    got.append((int(us), known, percent if known else 0.0, isinstance(stage, str), stage if isinstance(stage, str) else ""))
+        got.sort()
+        held = self.job.get()
+        best, last, seen = (held[0], held[1], dict(held[2])) if held else (0.0, None, {})
         timer = None if last is None else self._due(last)
-        seen = {k[0]: v[0] for k, v in self.stages.iterator()} if last is not None else {}
-        told = []
-        for us, percent, stage in got[["us", "percent", "stage"]].itertuples(index=False):
+        for us, _, percent, _, stage in got:
             if last is not None and us > last + self.patience:
-                told.append(self._row(key, last + self.patience, best, len(seen), "timed_out"))
+                told.append((last + self.patience, best, len(seen), "timed_out"))
                 best, last, seen = 0.0, None, {}
-            best = max(best, min(DONE, max(0.0, 0.0 if percent is None or percent != percent else float(percent))))
-            stage = stage if isinstance(stage, str) else ""
+            best = max(best, min(DONE, max(0.0, float(percent))))
             seen[stage] = seen.get(stage, 0) + 1
             last = us if last is None else max(last, us)
-            told.append(self._row(key, us, best, len(seen), "done" if best >= DONE else "running"))
+            told.append((us, best, len(seen), "done" if best >= DONE else "running"))
             if best >= DONE:
                 best, last, seen = 0.0, None, {}
-        self._clear(timer)
+        due = None if last is None else self._due(last)
+        if timer is not None and timer != due:
+            self.handle.deleteTimer(timer)
         if last is not None:
-            self.job.update((best, last))
-            for stage, n in seen.items():
-                self.stages.updateValue((stage,), (n,))
-            self.handle.registerTimer(self._due(last))
-        yield pd.DataFrame(told, columns=["job_id", "at", "progress", "stages", "status"])
+            self.job.update((best, last, seen))
+            if timer != due:
+                self.handle.registerTimer(due)
+        elif held:
+            self.job.clear()
+        yield self._rows(key, told)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        if self.job.exists():
-            best, last = self.job.get()
-            told = self._row(key, last + self.patience, best, sum(1 for _ in self.stages.keys()), "timed_out")
-            self._clear(None)
-            yield pd.DataFrame([told], columns=["job_id", "at", "progress", "stages", "status"])
+        held = self.job.get()
+        if held:
+            self.job.clear()
+            yield self._rows(key, [(held[1] + self.patience, held[0], len(held[2]), "timed_out")])
 
     def close(self) -> None:
         pass
@@ -87,8 +86,9 @@ class Watch(StatefulProcessor):
 def watched(stream: DataFrame, patience_s: int, lateness: str = "0 seconds") -> DataFrame:
     """stream: job_id, at (timestamp), percent, stage. Rows job_id, at, progress, stages (seen in this run), status: running, done or timed_out."""
     kind = stream.schema["job_id"].dataType.simpleString()
-    timed = stream.select("job_id", F.col("at").cast("timestamp").alias("at"), "percent", "stage").withWatermark("at", lateness)
-    return timed.groupBy("job_id").transformWithStateInPandas(Watch(patience_s * 1_000_000), f"job_id {kind}, at timestamp, progress double, stages int, status string", "Append", "EventTime")
+    timed = stream.select("job_id", F.col("at").cast("timestamp").alias("at"), F.unix_micros(F.col("at").cast("timestamp")).alias("us"), F.col("percent").cast("double").alias("percent"), F.col("stage").cast("string").alias("stage")).withWatermark("at", lateness)
+    told = timed.groupBy("job_id").transformWithStateInPandas(Watch(patience_s * 1_000_000), f"job_id {kind}, us bigint, progress double, stages int, status string", "Append", "EventTime")
+    return told.select("job_id", F.timestamp_micros("us").alias("at"), "progress", "stages", "status")
 
 
 def watched_once(stream: DataFrame, patience_s: int, folder: str) -> DataFrame:

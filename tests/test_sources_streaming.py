@@ -82,3 +82,33 @@ def test_silent_jobs_time_out(spark, tmp_path):
     after = {(r.job_id, str(r.at)[11:16], r.progress, r.stages, r.status) for r in told().collect()} - first
     # job 1 fell silent at 00:05 and begins anew; 2 is closed by its timer, 3 by its own late report
     assert after == {(1, "00:15", 10.0, 2, "timed_out"), (2, "00:39", 2.0, 1, "running"), (3, "00:40", 1.0, 1, "running"), (1, "00:41", 7.0, 1, "running"), (2, "00:49", 2.0, 1, "timed_out"), (3, "00:50", 1.0, 1, "timed_out"), (3, "00:55", 3.0, 1, "running"), (1, "00:51", 7.0, 1, "timed_out")}
+
+
+def test_a_job_takes_three_calls_to_the_state_store():
+    """Each call is a round trip between Python and the JVM, and there are as many as jobs: one to read, one to write, one for the timer."""
+    import pandas as pd
+
+    class Handle:
+        def __init__(self):
+            self.calls, self.value = [], None
+
+        def getValueState(self, *_):  # noqa: N802
+            return self
+
+        def __getattr__(self, name):
+            def call(*args):
+                self.calls.append(name)
+                if name in ("update", "clear"):
+                    self.value = args[0] if args else None
+                return self.value if name == "get" else None
+
+            return call
+
+    handle, watch = Handle(), jobs.Watch(10)
+    watch.init(handle)
+    rows = pd.DataFrame({"us": [30, 5, 1, None], "percent": [20.0, None, 40.0, 1.0], "stage": ["b", "a", "a", "c"]})
+    out = pd.concat(watch.handleInputRows(("j",), iter([rows]), None))
+    assert list(out.itertuples(index=False, name=None)) == [("j", 1, 40.0, 1, "running"), ("j", 5, 40.0, 1, "running"), ("j", 15, 40.0, 1, "timed_out"), ("j", 30, 20.0, 1, "running")]
+    assert handle.calls == ["get", "update", "registerTimer"] and handle.value == (20.0, 30, {"b": 1})
+    out = pd.concat(watch.handleExpiredTimer(("j",), None, None))
+    assert list(out.itertuples(index=False, name=None)) == [("j", 40, 20.0, 1, "timed_out")] and handle.calls[3:] == ["get", "clear"]
