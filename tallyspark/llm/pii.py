@@ -10,8 +10,10 @@ interval scheduling). A found span is widened to whole runs of letters and digit
 its kind's form (parts up to 255, check digit, number of digits); base spans stay, and one that overlaps a base
 span goes.
 
-Every kind holds a digit, an at sign or a spelled "at" or "dot": the network reads all text within REACH
-characters of such an anchor, and no text elsewhere, where it could find nothing that its form allows. Texts
+A found span must have its kind's form (`fits`), and every form holds an anchor: a digit, an at sign, a spelled "at"
+with a dotted host behind it, a spelled "dot", or colons among hexadecimal digits. The network reads all text
+within REACH characters of an anchor and, where a form may reach further (addresses of many words, digits far
+apart, zones of IP addresses), the whole of it (`reaches`). So what it does not read can hold no span. Texts
 without an anchor are not sent to Python at all.
 
 Defined results: a null text counts as empty; an empty text has no spans. Offsets are code points, end
@@ -40,7 +42,12 @@ KINDS = ("email", "ip", "card", "phone")
 WIDTH, STRIDE, REACH = 96, 32, 40
 #: Windows that are decoded at once.
 AT_ONCE = 512
-ANCHOR = r"[0-9@]|[\[({<]\s?(?:[aA][tT]|[dD][oO][tT])\s?[\])}>]|\s(?:dot|DOT)\s"
+#: White space as Python knows it, as Java's own is smaller; characters of a host's part in any case (four of them fold to ASCII letters).
+BLANK, PART = r"[\t-\r\x1c-\x20\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]", r"[-A-Za-z0-9\u0130\u0131\u017f\u212a]"
+ANCHOR = (
+    rf"[0-9@]|[\[({{<]{BLANK}?(?:[aA][tT]|[dD][oO][tT]){BLANK}?[\])}}>]|{BLANK}[dD][oO][tT]{BLANK}"
+    rf"|{BLANK}[aA][tT]{BLANK}{PART}+(?:\.{PART}|{BLANK}\.{BLANK}|{BLANK}?[\[({{<]{BLANK}?\.)|:[A-Fa-f]{{0,4}}:[A-Fa-f]{{0,4}}:"
+)
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 Span = tuple[int, int, int]  # kind, start, end
 
@@ -449,12 +456,59 @@ def train(rows: int = 6000, epochs: int = 6, seed: int = 0, rate: float = 0.01)
 ANCHORS = re.compile(ANCHOR)
 
 
+#: Words of addresses, and what lies between two of them where it is a dot or an at sign; runs of what numbers are written with; zones.
+TOKENS = re.compile(r"[a-z0-9_%+-]+", re.I)
+SIGNS = re.compile(rf"(?:{DOT_SIGN})|({AT_SIGN})", re.I)
+SPREAD = re.compile(rf"[0-9 \u00a0\u2009./\u00b7\u2013()+-]{{{REACH},}}")
+ZONE = re.compile(r":[0-9A-Fa-f.]*%\S+")
+AT = re.compile(AT_SIGN, re.I)
+
+
+def addresses(text: str) -> list[tuple[int, int]]:
+    """The widest places of loosely written addresses: words joined by dots around an at sign. In one pass over the words."""
+    if not AT.search(text):
+        return []
+    words = [m.span() for m in TOKENS.finditer(text)]
+    n = len(words)
+    # the word that a sign behind word i leads to: the next, or the one behind a spelled sign
+    dots: list[list[int]] = [[] for _ in range(n)]
+    ats: list[tuple[int, int]] = []
+    for i in range(n):
+        for k in (i + 1, i + 2):
+            if k >= n or words[k][0] - words[i][1] > 9:
+                break
+            m = SIGNS.fullmatch(text, words[i][1], words[k][0])
+            if m and m[1] is None:
+                dots[i].append(k)
+            elif m:
+                ats.append((i, k))
+    if not ats:
+        return []
+    begin, end = [a for a, _ in words], [b for _, b in words]
+    for i in range(n):
+        for k in dots[i]:
+            begin[k] = min(begin[k], begin[i])
+    for i in range(n - 1, -1, -1):
+        for k in dots[i]:
+            end[i] = max(end[i], end[k])
+    return [(begin[i], end[k]) for i, k in ats if dots[k]]
+
+
+def reaches(text: str) -> list[tuple[int, int]]:
+    """Places (start, end), ascending, outside of which no span of any form can lie: the anchors with REACH around them, and whole forms that reach further."""
+    out = [m.span() for m in ANCHORS.finditer(text)]
+    if out:
+        out += addresses(text)
+        out += [m.span() for m in SPREAD.finditer(text) if any(c in "0123456789" for c in m.group())]
+        out += [m.span() for m in ZONE.finditer(text)]
+    return sorted((max(0, a - REACH), min(len(text), b + REACH)) for a, b in out)
+
+
 def windows(text: str) -> list[tuple[int, int]]:
-    """Windows (start, end) over all that lies within REACH of an anchor, each of WIDTH at most."""
+    """Windows (start, end) over all that a span could cover, each of WIDTH at most."""
     out: list[tuple[int, int]] = []
     start = end = -1
-    for m in ANCHORS.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.end() + REACH)
+    for a, b in reaches(text):
         if a <= end:
             end = max(end, b)
         else:

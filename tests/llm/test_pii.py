@@ -195,3 +195,27 @@ def test_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert pii.find(df, pii.Network.fresh(0)).count() == 0
     assert pii.find(spark.createDataFrame([(1, "x")], "doc_id long, text string"), pii.Network.fresh(0)).filter(F.size("spans") == 0).count() == 1
+
+
+FORMS = [
+    (0, "john at example.com"), (0, "john at example . com"), (0, "john at example[.]com"), (0, "john Dot doe at x Dot org"), (0, "john [\u00a0at\u00a0] example.com"), (0, "john\u2003dot\u2003doe\u2003at\u2003example\u2003dot\u2003com"),
+    (0, ".".join(["name"] * 30) + " [at] " + " dot ".join(["host"] * 20) + " dot com"), (0, "dot at y.com"), (0, "x dot at dot dot dot y [at] z.com"),
+    (1, "dead:beef::cafe:face"), (1, "::ffff:255.255.255.255"), (2, "4111" + " " * 200 + "1111" + "-" * 120 + "11111111"), (3, "+1" + " " * 150 + "361 555 8283"),
+]
+
+
+@pytest.mark.parametrize("kind, span", FORMS)
+def test_all_of_a_form_is_read(spark, kind, span):
+    """Whatever has the form of its kind lies in windows as a whole, and its text reaches Python."""
+    text = "plain words of prose " * 8 + span + " more words of prose" * 8
+    at = text.index(span)
+    assert pii.fits(kind, span)
+    assert set(range(at, at + len(span))) <= {t for a, b in pii.windows(text) for t in range(a, b)}
+    assert spark.createDataFrame([(text,)], "t string").filter(F.col("t").rlike(pii.ANCHOR)).count() == 1
+
+
+def test_places_of_addresses_are_found_in_linear_time():
+    began = time.perf_counter()
+    assert pii.windows("dot at dot dot " * 40_000 + "x.com")
+    assert pii.windows("at home. " * 40_000) == []
+    assert time.perf_counter() - began < 20
