@@ -1,7 +1,7 @@
 """A data source for folders of company-fact files: spark.read.format("company_facts").load(folder).
 
 Each file is one JSON document (or one per line) facts.<namespace>.<tag>.units.<unit>[]; its rows are those of
-disclosures.company_facts, and the path. Files are packed into partitions of `bytes_per_partition`. Filters on
+disclosures.company_facts, and the path. Files are packed into partitions of `bytes_per_partition`; a file of lines is held one line at a time. Filters on
 cik, form, fp, fy, namespace, tag and unit (equality or IN) are pushed down: where the path tells the value (a folder
 cik=0000000001, or a file CIK0000000001.json) files are not opened, else branches and rows that do not fit are
 skipped before they reach Spark. Columns that a query does not need are not asked for by Spark's interface; it
@@ -13,10 +13,12 @@ Documents that are not valid JSON, and parts of another shape, give no rows.
 
 from __future__ import annotations
 
+import io
 import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import TextIO
 from urllib.parse import unquote
 
 import pyarrow as pa
@@ -47,18 +49,27 @@ def child(node: object, name: str) -> dict:
     return inner if isinstance(inner, dict) else {}
 
 
-def documents(text: str) -> list[dict]:
-    """The JSON objects of a file: it is one, or has one on each line."""
+def parsed(text: str) -> object:
     try:
-        found = [json.loads(text)]
+        return json.loads(text)
     except ValueError:
-        found = []
-        for line in text.splitlines():
-            try:
-                found.append(json.loads(line))
-            except ValueError:
-                continue
-    return [d for d in found if isinstance(d, dict)]
+        return None
+
+
+def documents(file: TextIO) -> Iterator[dict]:
+    """The JSON objects of a file: it has one on each line, and is read line by line; or it is one over several lines."""
+    first = next((line for line in file if line.strip()), "")
+    found = parsed(first)
+    if found is None:  # a document that goes on, or a line that is no JSON before others that are
+        rest = [first, *file]
+        whole = parsed("".join(rest))
+        yield from (d for d in ([whole] if whole is not None else map(parsed, rest)) if isinstance(d, dict))
+        return
+    if isinstance(found, dict):
+        yield found
+    for line in file:
+        if isinstance(d := parsed(line), dict):
+            yield d
 
 
 def number(x: object) -> float | None:
@@ -105,8 +116,8 @@ class FactReader(DataSourceReader):
             held += size
         return packed or [Files([])]
 
-    def rows(self, path: str, text: str) -> Iterator[dict]:
-        for d in documents(text):
+    def rows(self, path: str, file: TextIO) -> Iterator[dict]:
+        for d in documents(file):
             cik = str(d["cik"]).zfill(10) if isinstance(d.get("cik"), (str, int)) else None
             if not self.fits("cik", cik):
                 continue
@@ -125,13 +136,12 @@ class FactReader(DataSourceReader):
         system, _ = self.opened()
         held: list[dict] = []
         for path in partition.paths:
-            with system.open_input_stream(path) as f:
-                text = f.read().decode("utf-8", "replace")
-            for row in self.rows(path, text):
-                held.append(row)
-                if len(held) == ROWS_AT_ONCE:
-                    yield pa.RecordBatch.from_pylist(held, schema=ARROW)
-                    held = []
+            with system.open_input_stream(path) as f, io.TextIOWrapper(f, encoding="utf-8", errors="replace") as file:
+                for row in self.rows(path, file):
+                    held.append(row)
+                    if len(held) == ROWS_AT_ONCE:
+                        yield pa.RecordBatch.from_pylist(held, schema=ARROW)
+                        held = []
         yield pa.RecordBatch.from_pylist(held, schema=ARROW)
 
 

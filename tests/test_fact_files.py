@@ -65,3 +65,21 @@ def test_no_files(spark, tmp_path):
 def test_paths_tell_values():
     assert fact_files.told_by("/a/cik=0000000001/form=10%2DK/x.json") == {"cik": "0000000001", "form": "10-K"}
     assert fact_files.told_by("/CIK0000000012.json") == {"cik": "0000000012"} and fact_files.told_by("/form=x") == {}
+
+
+def test_files_of_lines_are_read_line_by_line():
+    """The first document comes before the second line is asked for; what is one document over several lines, or broken, reads as before."""
+    import io
+
+    class Lines(io.StringIO):
+        def __next__(self):
+            asked.append(1)
+            return super().__next__()
+
+    asked = []
+    found = fact_files.documents(Lines('{"a": 1}\n{"a": 2}\n\n[3]\nbroken\n{"a": 4}'))
+    assert next(found) == {"a": 1} and len(asked) == 1
+    assert list(found) == [{"a": 2}, {"a": 4}]
+    texts = {'{\n"a":\n1}\n': [{"a": 1}], 'broken\n{"a": 1}\n': [{"a": 1}], "": [], "\n\n": [], "[1]": [], '\n{"a": "\u2028"}\n\n': [{"a": "\u2028"}], 'null\n{"a": 1}': [{"a": 1}]}
+    for text, want in texts.items():
+        assert list(fact_files.documents(io.StringIO(text))) == want
