@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from . import trees
 
@@ -18,6 +20,39 @@ STANDING = {
 }
 OPEN = ["unknowns", "missing_evidence", "unresolved_questions"]
 OBJECTIONS = ["unsupported_assumptions", "strongest_counterarguments"]
+#: All sections in their order, and those that stages can give.
+SECTIONS = [
+    "executive_summary", "business_model", "financial_quality", "competitive_position", "growth_opportunities", "counterarguments",
+    "scenarios", "thesis", "invalidation_conditions", "leading_indicators", "unresolved_questions", "claims",
+]
+GIVEN = [name for name in SECTIONS if name not in ("executive_summary", "thesis")]
+
+
+def sections(business, financial, accounting, growth, skeptic, forecast) -> tuple[str | None, ...]:
+    """The sections that the stages' trees give, in the order of GIVEN; null where a standing text is due."""
+    member = lambda tree, name, otherwise: tree.get(name, otherwise) if isinstance(tree, dict) else otherwise
+    listed = lambda tree, keys: trees.told(found) if (found := trees.strings_of(tree, keys)) else None
+    shown = trees.without(business, trees.hidden_or_claims)
+    moats = member(shown, "possible_moats", None)
+    return (
+        trees.told(shown),
+        trees.told({"accounting_risk": trees.without(accounting, trees.hidden_or_claims), "financial_analysis": trees.without(financial, trees.hidden_or_claims)}),
+        trees.told(moats) if moats else None,
+        trees.told(member(growth, "opportunities", growth)),
+        trees.told(member(skeptic, "strongest_counterarguments", skeptic)),
+        trees.told(member(forecast, "scenarios", forecast)),
+        listed(skeptic, OBJECTIONS),
+        listed(growth, ["leading_indicators"]),
+        listed([business, skeptic], OPEN),
+        trees.told(trees.claims_of([business, financial, accounting, growth, skeptic, forecast])),
+    )
+
+
+def given(*stages: pa.Array) -> pa.Array:
+    texts = zip(*(stage.to_numpy(zero_copy_only=False) for stage in stages), strict=True)
+    made = [sections(*[trees.read(text, {}) for text in row]) for row in texts]
+    columns = zip(*made, strict=True) if made else [()] * len(GIVEN)
+    return pa.StructArray.from_arrays([pa.array(column, pa.string()) for column in columns], GIVEN)
 
 
 def fallback_report(business: Column, financial: Column, accounting: Column, growth: Column, skeptic: Column, forecast: Column, language: Column) -> Column:
@@ -25,34 +60,14 @@ def fallback_report(business: Column, financial: Column, accounting: Column, gro
 
     A stage that is missing or no JSON counts as {}. Analyses come without private members and claims; lists that
     came out empty have a standing text in the language ("en", else Chinese); claims are those of all stages,
-    the first of each text.
+    the first of each text. Each stage's text is read once, all sections are made of it in one pass.
     """
-    tree = lambda stage: F.coalesce(trees.canonical(stage), F.lit("{}"))
-    business, financial, accounting, growth, skeptic, forecast = map(tree, (business, financial, accounting, growth, skeptic, forecast))
     standing = lambda name: F.concat(F.lit('"'), F.when(language == "en", STANDING[name][1]).otherwise(STANDING[name][0]), F.lit('"'))
-    shown = trees.presentation()
-
-    def member(stage: Column, name: str, otherwise: Column) -> Column:
-        return F.coalesce(F.to_json(F.try_variant_get(F.parse_json(stage), f"$.{name}", "variant")), otherwise)
-
-    def listed(stage: Column, keys: list[str], name: str) -> Column:
-        found = trees.strings_under(*keys)(stage)
-        return F.when(F.size(found) > 0, F.to_json(found)).otherwise(standing(name))
-
-    joined = lambda *stages: F.concat(F.lit("["), F.concat_ws(",", *stages), F.lit("]"))
-    moats = member(shown(business), "possible_moats", F.lit("[]"))
-    sections = {
-        "executive_summary": standing("executive_summary"),
-        "business_model": shown(business),
-        "financial_quality": F.concat(F.lit('{"accounting_risk":'), shown(accounting), F.lit(',"financial_analysis":'), shown(financial), F.lit("}")),
-        "competitive_position": F.when(moats.isin("[]", "{}", '""', "null", "0", "false"), standing("competitive_position")).otherwise(moats),
-        "growth_opportunities": member(growth, "opportunities", growth),
-        "counterarguments": member(skeptic, "strongest_counterarguments", skeptic),
-        "scenarios": member(forecast, "scenarios", forecast),
-        "thesis": standing("thesis"),
-        "invalidation_conditions": listed(skeptic, OBJECTIONS, "invalidation_conditions"),
-        "leading_indicators": listed(growth, ["leading_indicators"], "leading_indicators"),
-        "unresolved_questions": listed(joined(business, skeptic), OPEN, "unresolved_questions"),
-        "claims": F.concat(F.lit("["), F.concat_ws(",", trees.stage_claims(joined(business, financial, accounting, growth, skeptic, forecast))), F.lit("]")),
-    }
-    return F.struct(*[c.alias(n) for n, c in sections.items()])
+    made = arrow_udf(given, "struct<" + ",".join(f"{name}:string" for name in GIVEN) + ">")(business, financial, accounting, growth, skeptic, forecast)
+
+    def section(name: str) -> Column:
+        if name not in GIVEN:
+            return standing(name)
+        return F.coalesce(made[name], standing(name)) if name in STANDING else made[name]
+
+    return F.struct(*[section(name).alias(name) for name in SECTIONS])

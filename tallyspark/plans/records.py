@@ -168,7 +168,9 @@ def fallback_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     skeptic = F.when(ID % 5 == 0, F.lit('{"strongest_counterarguments": ["no run"]}'))
     forecast = said('{"scenarios": {"base": 1}, "claims": [{"text": "c', USER, '"}]}')
     made = reports.fallback_report(business, financial, F.lit(None).cast("string"), growth, skeptic, forecast, F.when(ID % 2 == 0, "en").otherwise("zh-CN"))
-    return events(spark, sf_dir, made.alias("r")).select("event_id", "r.*")
+    # Rows cost far more here than their exchange, and a file's row groups may be fewer than the cores.
+    spread = events(spark, sf_dir, "user_id").repartition(4 * spark.sparkContext.defaultParallelism, "event_id")
+    return spread.select("event_id", made.alias("r")).select("event_id", "r.*")
 
 
 # Trees of any depth.
