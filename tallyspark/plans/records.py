@@ -15,6 +15,11 @@ def events(spark: SparkSession, sf_dir: str, *columns) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", *columns)
 
 
+def spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys dealt to all cores, for rows that cost far more than their exchange: a file's row groups may be fewer than the cores."""
+    return events(spark, sf_dir, "user_id").repartition(4 * spark.sparkContext.defaultParallelism, "event_id")
+
+
 def said(*parts) -> F.Column:
     """Text from literals and columns."""
     return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
@@ -168,9 +173,7 @@ def fallback_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     skeptic = F.when(ID % 5 == 0, F.lit('{"strongest_counterarguments": ["no run"]}'))
     forecast = said('{"scenarios": {"base": 1}, "claims": [{"text": "c', USER, '"}]}')
     made = reports.fallback_report(business, financial, F.lit(None).cast("string"), growth, skeptic, forecast, F.when(ID % 2 == 0, "en").otherwise("zh-CN"))
-    # Rows cost far more here than their exchange, and a file's row groups may be fewer than the cores.
-    spread = events(spark, sf_dir, "user_id").repartition(4 * spark.sparkContext.defaultParallelism, "event_id")
-    return spread.select("event_id", made.alias("r")).select("event_id", "r.*")
+    return spread(spark, sf_dir).select("event_id", made.alias("r")).select("event_id", "r.*")
 
 
 # Trees of any depth.
@@ -190,7 +193,7 @@ def tree_text():
 def json_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One tree as canonical text, as readers see it, projected on known fields; its unknown paths, rows, claims and texts."""
     known = {"z", "a", "claims", "summary", "text", "conclusion", "kind", "structured_output_valid"}
-    made = events(spark, sf_dir, tree_text().alias("tree"))
+    made = spread(spark, sf_dir).select("event_id", tree_text().alias("tree"))
     names = F.transform(trees.stage_claims(F.col("tree")), lambda c: F.coalesce(F.get_json_object(c, "$.text"), F.get_json_object(c, "$.conclusion")))
     shown = trees.projected(known - {"structured_output_valid"})(F.col("tree"))
     return made.select(

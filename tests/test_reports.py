@@ -20,6 +20,11 @@ def test_all_sections_come_of_one_pass_over_rows_dealt_to_all_cores(spark):
     assert report.select(F.spark_partition_id()).distinct().count() >= spark.sparkContext.defaultParallelism
 
 
+def test_trees_are_dealt_to_all_cores(spark):
+    found = QUERIES["json_trees"](spark, "/root/testdata/sf0.001")
+    assert found.select(F.spark_partition_id()).distinct().count() >= spark.sparkContext.defaultParallelism
+
+
 def test_values_have_the_canonical_form_in_every_section(spark):
     long = "1" + "0" * 44 + "7"
     moats = f'{{"z": [{long}, 1e-9, 2.50], "a": "\\u001f x"}}'
