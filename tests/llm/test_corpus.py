@@ -378,6 +378,47 @@ def test_leaks_of_long_items(spark):
     assert {(r.doc_id, r.item_id) for r in found} == want
 
 
+def test_leaks_space_is_fitted_on_every_passage_of_every_document(spark, monkeypatch):
+    """Cosines in a space of few dimensions, against a dense matrix of all passages of 4,500 documents."""
+    rng = random.Random(13)
+    draw = lambda n: [f"m{int(rng.paretovariate(0.6)) % 70}" for _ in range(n)]
+    bench = [(i, " ".join([*draw(18), f"only{i}"])) for i in range(12)]
+    rows = [(d, " ".join(draw(rng.choice([0, 10, 50, 150])))) for d in range(4488)] + [(5000 + i, text) for i, text in bench]
+    place = {w: k for k, w in enumerate(sorted({w for _, text in bench for w in text.split()}))}
+    bag = lambda words: np.bincount([place[w] for w in words if w in place], minlength=len(place))
+    texts = [text.split() for _, text in rows]
+    weight = np.log((len(texts) + len(bench) + 1) / (sum(bag(set(t)) for t in texts) + 1))
+    dense = lambda bags: (m := np.array(bags)) * weight / np.sqrt(np.maximum(m @ weight**2, 1e-9))[:, None]
+    corpus, items = dense([bag(t[at : at + 64]) for t in texts for at in range(0, len(t), 32)]), dense([bag(text.split()) for _, text in bench])
+    block = np.linalg.qr(np.random.default_rng(0).normal(size=(len(place), 4 + decontaminate.EXTRA)))[0]
+    for k in range(2):
+        mine, others = items.T @ (items @ block), corpus.T @ (corpus @ block)
+        share = share if k else 0.1 * np.linalg.norm(mine) / np.linalg.norm(others)
+        q, r = np.linalg.qr(mine + share * others)
+        block = q @ np.linalg.svd(r)[0]
+    want = np.linalg.norm(items @ block[:, :4], axis=1)
+    monkeypatch.setattr(decontaminate, "COMMON", 20)
+    found = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(bench, "item_id long, text string"), latent=4).collect()
+    got = {r.item_id: r.cosine for r in found if r.doc_id == 5000 + r.item_id}
+    assert [got[i] for i, _ in bench] == pytest.approx(want.tolist(), abs=1e-3)
+
+
+def test_leaks_words_and_passages_have_their_transposes(monkeypatch):
+    """Sums by stride and passage against the transposed sums, with tables and slices that end inside texts."""
+    monkeypatch.setattr(decontaminate, "STRIDES", 3)
+    rng = np.random.default_rng(3)
+    first = np.array([0, 0, 1, 6, 6, 8, 8])
+    numbers, words = np.sort(rng.integers(0, 8, 90)), rng.integers(0, 30, 90)
+    common, rows, vectors = np.array([2, 3, 17]), rng.normal(size=(30, 5)), rng.normal(size=(8, 5))
+    held = np.zeros((8, 30))
+    np.add.at(held, (numbers, words), 1)
+    both = np.eye(8) + np.diag([0, 1, 1, 1, 1, 0, 1], 1)
+    assert np.allclose(decontaminate.passages(decontaminate.stride_vectors(rows, common, words, numbers, 8), first), both @ held @ rows, atol=1e-4)
+    out = np.zeros((30, 5))
+    decontaminate.add_to_words(out, decontaminate.of_passages(vectors, first), common, words, numbers)
+    assert np.allclose(out, (both @ held).T @ vectors)
+
+
 def test_bit_parallel_lcs():
     rng = random.Random(6)
     for _ in range(200):
