@@ -378,31 +378,56 @@ def test_leaks_of_long_items(spark):
     assert {(r.doc_id, r.item_id) for r in found} == want
 
 
-def test_leaks_space_is_fitted_on_every_passage_of_every_document(spark, monkeypatch):
-    """Cosines in a space of few dimensions, against a dense matrix of all passages of 4,500 documents."""
-    rng = random.Random(13)
-    draw = lambda n: [f"m{int(rng.paretovariate(0.6)) % 70}" for _ in range(n)]
-    bench = [(i, " ".join([*draw(18), f"only{i}"])) for i in range(12)]
-    rows = [(d, " ".join(draw(rng.choice([0, 10, 50, 150])))) for d in range(4488)] + [(5000 + i, text) for i, text in bench]
+def dense_space(texts, bench, latent):
+    """The items in the latent space of all passages of all texts, by dense matrices."""
     place = {w: k for k, w in enumerate(sorted({w for _, text in bench for w in text.split()}))}
     bag = lambda words: np.bincount([place[w] for w in words if w in place], minlength=len(place))
-    texts = [text.split() for _, text in rows]
+    texts = [text.split() for text in texts]
     weight = np.log((len(texts) + len(bench) + 1) / (sum(bag(set(t)) for t in texts) + 1))
     dense = lambda bags: (m := np.array(bags)) * weight / np.sqrt(np.maximum(m @ weight**2, 1e-9))[:, None]
     corpus, items = dense([bag(t[at : at + 64]) for t in texts for at in range(0, len(t), 32)]), dense([bag(text.split()) for _, text in bench])
-    block = np.linalg.qr(np.random.default_rng(0).normal(size=(len(place), 4 + decontaminate.EXTRA)))[0]
+    block = np.linalg.qr(np.random.default_rng(0).normal(size=(len(place), min(len(place), latent + decontaminate.EXTRA))))[0]
     for k in range(2):
         mine, others = items.T @ (items @ block), corpus.T @ (corpus @ block)
         share = share if k else 0.1 * np.linalg.norm(mine) / np.linalg.norm(others)
         q, r = np.linalg.qr(mine + share * others)
         block = q @ np.linalg.svd(r)[0]
-    want = np.linalg.norm(items @ block[:, :4], axis=1)
+    return items @ block[:, :latent]
+
+
+def test_leaks_space_is_fitted_on_every_passage_of_every_document(spark, monkeypatch):
+    """Cosines in a space of few dimensions, against a dense matrix of all passages of 4,500 documents."""
+    rng = random.Random(13)
+    draw = lambda n: [f"m{int(rng.paretovariate(0.6)) % 70}" for _ in range(n)]
+    bench = [(i, " ".join([*draw(18), f"only{i}"])) for i in range(12)]
+    rows = [(d, " ".join(draw(rng.choice([0, 10, 50, 150])))) for d in range(4488)] + [(5000 + i, text) for i, text in bench]
+    want = np.linalg.norm(dense_space([text for _, text in rows], bench, 4), axis=1)
     monkeypatch.setattr(decontaminate, "COMMON", 20)
     found = decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(bench, "item_id long, text string"), latent=4).collect()
     got = {r.item_id: r.cosine for r in found if r.doc_id == 5000 + r.item_id}
     assert [got[i] for i, _ in bench] == pytest.approx(want.tolist(), abs=1e-3)
 
 
+def test_pipeline_fits_the_space_of_its_leaks_on_all_documents_left(spark, monkeypatch, tmp_path):
+    """The stage's own space, without ids, against a dense matrix of all passages of 4,500 documents."""
+    import corpus_pipeline
+
+    rng = random.Random(17)
+    draw = lambda n: [f"p{int(rng.paretovariate(0.4)) % 400}" for _ in range(n)]
+    bench = [(i, " ".join(draw(25))) for i in range(60)]
+    texts, fitted, search = [" ".join(draw(rng.choice([0, 10, 50, 150]))) for _ in range(4500)], [], decontaminate.search
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    monkeypatch.setattr(decontaminate, "search", lambda docs, items, *rest: (fitted.append(items), search(docs, items, *rest))[1])
+    docs = spark.createDataFrame([(None, t) for t in texts] + [(1, bench[0][1])], "doc_id long, text string")
+    left = corpus_pipeline.drop_leaks(spark, docs, str(tmp_path))
+    assert left.filter("doc_id = 1").count() == 0 and left.count() > 0
+    want = dense_space([*texts, bench[0][1]], bench, decontaminate.LATENT)
+    want /= np.linalg.norm(want, axis=1, keepdims=True)
+    (items,) = fitted
+    assert len(items.vocabulary) > decontaminate.LATENT + decontaminate.EXTRA
+    assert np.allclose(items.latent @ items.latent.T, want @ want.T, atol=2e-3)
+
+
 def test_leaks_words_and_passages_have_their_transposes(monkeypatch):
     """Sums by stride and passage against the transposed sums, with tables and slices that end inside texts."""
     monkeypatch.setattr(decontaminate, "STRIDES", 3)
